@@ -138,6 +138,19 @@ def find_spans(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: floa
     return docs.withColumn("_spans", F.array_sort(every))
 
 
+def _replacement(t: Column, kind: Kind, threshold: float):
+    def build(found: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            near = lambda k: F.lower(F.right(F.get(gaps, k), F.lit(NEAR))).rlike(rf"(?:{kind.context})")
+            scored = lambda k: F.lit(kind.score) + F.when(near(k), BONUS).otherwise(0.0) >= (0.0 if kind.base else threshold)
+            put = F.transform(found, lambda x, k: F.concat(F.get(gaps, k), F.when(kind.check(x) & scored(k), F.lit(f"[{kind.name.upper()}]")).otherwise(x)))
+            return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
+
+        return F.when(F.size(found) > 0, let(F.split(t, kind.pattern, -1), with_gaps)).otherwise(t)
+
+    return build
+
+
 def redact(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each confirmed span of ``text`` replaced by its kind in brackets.
 
@@ -145,20 +158,10 @@ def redact(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: float =
     zipped and joined, so the work is linear in the text.
     """
     out = docs
-    for i, kind in enumerate(kinds):
+    for kind in kinds:
         t = F.col(text)
-
-        def build(found: Column, t=t, kind=kind, i=i) -> Column:
-            def with_gaps(gaps: Column) -> Column:
-                near = lambda k: F.lower(F.right(F.get(gaps, k), F.lit(NEAR))).rlike(rf"(?:{kind.context})")
-                scored = lambda k: F.lit(kind.score) + F.when(near(k), BONUS).otherwise(0.0) >= (0.0 if kind.base else threshold)
-                put = F.transform(found, lambda x, k: F.concat(F.get(gaps, k), F.when(kind.check(x) & scored(k), F.lit(f"[{kind.name.upper()}]")).otherwise(x)))
-                return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
-
-            return F.when(F.size(found) > 0, let(F.split(t, kind.pattern, -1), with_gaps)).otherwise(t)
-
         found = F.when(t.rlike(kind.hint), F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn(text, F.when(t.isNotNull(), let(found, build)))
+        out = out.withColumn(text, F.when(t.isNotNull(), let(found, _replacement(t, kind, threshold))))
     return out
 
 
