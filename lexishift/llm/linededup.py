@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexishift.llm.storage import materialise, workspace
+from lexishift.llm.storage import carried, materialise, restored, workspace
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +55,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: st
     return out.withColumn("_kept_text", F.when(F.size("_dropped") == 0, t).otherwise(F.array_join(kept, "\n"))).drop("_id", "_th")
 
 
+def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars", **limits) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text`` and ``n_chars``, where there is one, counted anew."""
+    out = line_dedup(carried(docs, text=text, doc_id=doc_id), **limits)
+    return restored(out, docs, **{text: F.when(F.col("text").isNotNull(), F.col("_kept_text")), n_chars: F.when(F.col("text").isNotNull(), F.length("_kept_text"))})
+
+
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup(docs).select(

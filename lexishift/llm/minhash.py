@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexishift.llm.storage import delete, materialise, workspace
+from lexishift.llm.storage import carried, delete, materialise, restored, workspace
 
 WIDTH, PERMUTATIONS, BANDS, ROWS, ROUNDS = 5, 32, 16, 4, 3
 NUMERATOR, DENOMINATOR = 85, 100
@@ -246,7 +246,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """``docs`` without the near copies: of each component the row with the smallest id stays (rows that share that
     id all stay), as do rows without id or words."""
     found = near_duplicates(docs, text, doc_id).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    rows = carried(docs, _id=doc_id)
+    return restored(rows.join(found, F.col("_id").cast("long") == F.col("_gone"), "left_anti"), docs)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexishift.llm.quality import let
+from lexishift.llm.storage import carried, restored
 
 
 @dataclass(frozen=True)
@@ -151,18 +152,18 @@ def _replacement(t: Column, kind: Kind, threshold: float):
     return build
 
 
-def redact(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each confirmed span of ``text`` replaced by its kind in brackets.
+def redact(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: float = THRESHOLD, n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with each confirmed span of ``text`` replaced by its kind in brackets; ``n_chars``, where there is one, counted anew.
 
     Kinds go in order, each over the text that the kinds before it have left; pieces and replacements are
     zipped and joined, so the work is linear in the text.
     """
-    out = docs
+    out = carried(docs, text=text)
     for kind in kinds:
-        t = F.col(text)
+        t = F.col("text")
         found = F.when(t.rlike(kind.hint), F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn(text, F.when(t.isNotNull(), let(found, _replacement(t, kind, threshold))))
-    return out
+        out = out.withColumn("text", F.when(t.isNotNull(), let(found, _replacement(t, kind, threshold))))
+    return restored(out, docs, **{text: F.col("text"), n_chars: F.length("text")})
 
 
 def named(spans: Column) -> Column:

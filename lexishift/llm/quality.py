@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexishift.llm.storage import carried, restored
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -129,7 +131,7 @@ def verdicts(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def quality_filter(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    return verdicts(docs, text, rules).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(verdicts(carried(docs, text=text), "text", rules).filter("_kept"), docs)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

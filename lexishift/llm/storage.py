@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,3 +45,13 @@ def task_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def carried(docs: DataFrame, **columns: str) -> DataFrame:
+    """All columns of ``docs`` as one struct ``_row`` beside the named ones, so no name of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+
+
+def restored(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` from ``_row``, those in ``changed`` replaced where ``docs`` has them."""
+    return df.select(*[(changed[c].cast(docs.schema[c].dataType) if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns])
