@@ -38,7 +38,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: st
     keyed = F.transform(F.split(t, "\n", -1), lambda line, i: F.struct(i.alias("pos"), line_key(line).alias("key")))
     long_ones = F.filter(keyed, lambda x: F.length(x["key"]) >= min_chars)
     hashed = F.transform(long_ones, lambda x: F.struct(x["pos"].alias("pos"), F.struct(F.xxhash64(F.lit(1), x["key"]).alias("a"), F.xxhash64(F.lit(2), x["key"]).alias("b")).alias("h")))
-    table = materialise(docs.select(*ident, hashed.alias("marks")).filter(F.size("marks") > 0), f"{root}/marks")
+    table = materialise(docs.select(*ident, hashed.alias("marks")), f"{root}/marks")
 
     held = table.select("_id", F.explode(F.array_distinct(F.transform("marks", lambda x: x["h"]))).alias("h"))
     counted = held.select("_id", "h.a", "h.b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("_id").alias("keeper"))

@@ -4,7 +4,7 @@ Every metric is a built-in Spark expression over one row, so nothing shuffles an
 
 Defined results: a null text counts as empty (no words, no lines); a null ``doc_id`` stays null; repeated
 rows give repeated results; an empty table gives an empty result; other columns are ignored by
-:func:`quality_metrics` and kept by :func:`quality_filter`.
+:func:`verdicts` and kept by :func:`quality_filter`.
 """
 
 from __future__ import annotations
@@ -74,30 +74,30 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(F.array_sort(marked), lambda rows: let(places(rows), covered))).otherwise(F.lit(0).cast("long"))
 
 
-def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_quality`` of all metrics."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
-    n = F.size("_words").cast("long")
-    lines = F.size("_lines").cast("long")
-    base = cut.withColumn(
-        "_quality",
-        F.struct(
-            n.alias("n_words"),
-            F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("_words")).alias("n_repeat_words"),
-            F.size(F.filter("_words", lambda w: F.lower(w).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
-            F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
-            lines.alias("n_lines"),
-        ),
-    )
-    return base.drop("_words", "_lines")
+def metrics_of(text: Column) -> Column:
+    """All metrics of a text as one struct. One expression, so a filter on it can be pushed without computing it anew."""
+
+    def build(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        return let(
+            F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)),
+            lambda lines: F.struct(
+                n.alias("n_words"),
+                F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+                (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                repeated_words(words).alias("n_repeat_words"),
+                F.size(F.filter(words, lambda w: F.lower(w).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
+                F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
+                F.size(lines).cast("long").alias("n_lines"),
+            ),
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), build)
 
 
 def rule_columns(q: Column) -> dict[str, Column]:
-    """The metrics that rules name, as expressions over the ``_quality`` struct."""
+    """The metrics that rules name, as expressions over the metrics struct."""
     per = lambda part, whole: F.when(q[whole] > 0, q[part] / q[whole])
     return {
         "n_words": q["n_words"],
@@ -122,22 +122,25 @@ def compile_rules(rules, q: Column) -> Column:
 
 
 def verdicts(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with ``_quality``, ``_base_failed`` and ``_kept``."""
-    q = F.col("_quality")
-    scored = quality_metrics(docs, text)
-    failed = ~compile_rules(BASE_RULES, q) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
-    return scored.withColumn("_base_failed", failed).withColumn("_kept", ~F.col("_base_failed") & compile_rules(rules, q))
+    """``docs`` with a struct ``_verdict``: ``metrics``, ``base_failed`` and ``kept``."""
+
+    def judge(q: Column) -> Column:
+        failed = ~compile_rules(BASE_RULES, q) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+        return F.struct(q.alias("metrics"), failed.alias("base_failed"), (~failed & compile_rules(rules, q)).alias("kept"))
+
+    return docs.withColumn("_verdict", let(metrics_of(F.coalesce(F.col(text), F.lit(""))), judge))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    return restored(verdicts(carried(docs, text=text), "text", rules).filter("_kept"), docs)
+    return restored(verdicts(carried(docs, text=text), "text", rules).filter("_verdict.kept"), docs)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    q = F.col("_quality")
-    return verdicts(docs).select("doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    v = F.col("_verdict")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return verdicts(docs).select("doc_id", *[v["metrics"][c].alias(c) for c in counts], v["base_failed"].alias("base_failed"), v["kept"].alias("kept"))
 
 
 def oracle_op10() -> str:
