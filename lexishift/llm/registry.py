@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexishift.llm import linededup, minhash, packing, pii, quality
+from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, warc, wavelet
 
 
 def queries():
     out = {
+        "op1_warc": warc.op1_warc,
         "op2_minhash": minhash.op2_minhash,
         "op3_pii": pii.op3_pii,
+        "op4_wavelet": wavelet.op4_wavelet,
         "op5_line_dedup": linededup.op5_line_dedup,
+        "op6_bpe": automaton.op6_bpe,
         "op7_packing": packing.op7_packing,
+        "op8_brown": brown.op8_brown,
+        "op9_chroma": chroma.op9_chroma,
         "op10_quality": quality.op10_quality,
         "pipeline": corpus_pipeline.run,
     }
