@@ -1,0 +1 @@
+"""Streams: every row-wise operator of functions/ and operators/breakage.py (keys, predicates, routing, stale columns) is stateless and runs unchanged on a streaming DataFrame; the rules themselves know no windows or late data."""
