@@ -172,15 +172,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         labelled = open_ if comp is None else open_.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
         labelled = labelled.withColumn("comp", F.col("rep") if comp is None else F.coalesce("comp", "rep"))
         spread = labelled.groupBy("k", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("top")).filter("c0 <> c1")
+        spread = materialise(spread, f"{root}/open-{turn}")
+        if spread.isEmpty():  # every bucket is one component
+            break
         if turn < ROUNDS:
-            fresh = spread if turn == 0 else _untested_pivot(labelled, spread, tested)
+            fresh = spread if tested is None else _untested_pivot(labelled, spread, tested)
             pivots = fresh.select("k", "h", (-F.col("top.neg")).alias("pivot"))
             pairs = labelled.join(pivots.join(spread.select("k", "h"), ["k", "h"], "left_semi"), ["k", "h"]).filter("rep <> pivot")
-            if turn:
+            if comp is not None:
                 pairs = pairs.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc")), "pivot", "left").filter(F.coalesce("pc", "pivot") != F.col("comp"))
             pairs = pairs.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
         else:
-            pairs = _open_pairs(labelled, spread, sigs, tested)
+            none = spark.createDataFrame([], "u long, v long, agree int, linked boolean")
+            pairs = _open_pairs(labelled, spread, sigs, none if tested is None else tested)
         pairs = materialise(pairs, f"{root}/pairs-{turn}")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -189,6 +193,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         b = seen.select(F.col("rep").alias("v"), F.col("sig").alias("sv"), F.col("n").alias("nv"))
         agreed = pairs.join(a, "u").join(b, "v").withColumn("agree", agreement(F.col("su"), F.col("sv"))).select("u", "v", "nu", "nv", "agree")
         agreed = materialise(agreed, f"{root}/agreed-{turn}")
+        if agreed.isEmpty():  # these pivots' pairs have all been compared; the last turn takes what is still open
+            continue
         fits = (DENOMINATOR * F.least("nu", "nv") >= NUMERATOR * F.greatest("nu", "nv")) & (F.col("agree") >= CLOSE)
         likely = agreed.filter(fits)
         if sets is None:
@@ -199,10 +205,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         tested = materialise(tested, f"{root}/tested-{turn}")
         links = found if links is None else links.unionByName(found)
         comp = materialise(components(links, f"{root}/cc-{turn}"), f"{root}/comp-{turn}")
-        if agreed.isEmpty():
-            break
 
-    label = classes.select("set_a", "set_b", "rep").join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
+    none = spark.createDataFrame([], "node long, comp long")
+    label = classes.select("set_a", "set_b", "rep").join((none if comp is None else comp).select(F.col("node").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b"], "left")
     return out.select("doc_id", "n_shingles", "set_a", "set_b", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
