@@ -115,8 +115,9 @@ def is_c_like(locale: Column) -> Column:
 
 
 def string_name(text: Column) -> Column:
-    """``U+0057`` for one character."""
-    return F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(text)), 4, "0"))
+    """``U+0057`` for one character, four digits at least."""
+    h = F.hex(F.ascii(text))
+    return F.concat(F.lit("U+"), F.when(F.length(h) < 4, F.lpad(h, 4, "0")).otherwise(h))
 
 
 def parse_string_name(name: Column) -> Column:

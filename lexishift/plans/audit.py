@@ -124,7 +124,7 @@ def f9(spark, sf):
     return names(spark, sf).select("name", keys.normalize_codeset(F.col("name")).alias("codeset"))
 
 
-@query("f11_string_names", "with c as (select distinct unnest(string_split(text, '')) as c from documents) select c, 'U+' || lpad(printf('%X', unicode(c)), 4, '0') as name, true as back from c where c <> ''")
+@query("f11_string_names", "with c as (select distinct unnest(string_split(text, '')) as c from documents) select c, 'U+' || lpad(printf('%X', unicode(c)), greatest(4, len(printf('%X', unicode(c))))::int, '0') as name, true as back from c where c <> ''")
 def f11(spark, sf):
     n = C.characters(S.table(spark, sf, "documents"), "text").withColumn("name", keys.string_name(F.col("c")))
     return n.withColumn("back", keys.parse_string_name(F.col("name")) == F.col("c"))
