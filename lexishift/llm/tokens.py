@@ -10,12 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-KNOWN = 400_000
+KNOWN = 1_200_000
 _meet = re.compile(r"\s\s|^\s|\s$")
-_odd = re.compile(r"[^\S \n]")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -27,7 +25,7 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes."""
+    """Ids of a text as unsigned 32-bit bytes in the machine's order, which is little-endian wherever Spark runs."""
 
     def __init__(self, path: str, blanks_dropped: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +37,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
         if self.blanks_dropped:
@@ -51,14 +49,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        known, fresh = self.known, set()
-        for p in cut:
-            if p is not None:
-                fresh.update(p)
-        fresh = [p for p in fresh if p not in known]
+        known = self.known
+        fresh = list(set().union(*[p for p in cut if p is not None]).difference(known))
         if len(known) + len(fresh) > KNOWN:
             known.clear()
-            fresh = list({p for c in cut if c is not None for p in c})
+            fresh = list(set().union(*[p for p in cut if p is not None]))
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             known.update(zip(part, self.whole(part), strict=True))
