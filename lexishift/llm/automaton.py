@@ -30,7 +30,7 @@ from lexishift.llm.tokens import _meet, vocabulary_path
 TOKENIZER = "byte_bpe_50k.json"
 # Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORDS, ARCS = 400_000, 2_000_000
+WORDS, ARCS = 800_000, 2_000_000
 
 
 def byte_names() -> dict[str, int]:
