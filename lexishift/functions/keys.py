@@ -128,3 +128,20 @@ def parse_string_name(name: Column) -> Column:
 def decode_hex(h: Column, encoding: str) -> Column:
     """hexadecimal bytes to text; encodings that Spark knows (utf-8, utf-16, utf-32, iso-8859-1, us-ascii)."""
     return F.decode(F.unhex(h), encoding)
+
+
+# Codesets (normalised), the encoding each means to a server, and what a server can do with it.
+ENCODINGS = (("utf8", "UTF8", "multibyte"), ("iso88591", "LATIN1", "single byte"), ("iso885915", "LATIN9", "single byte"), ("eucjp", "EUC_JP", "multibyte"), ("euckr", "EUC_KR", "multibyte"), ("sjis", "SJIS", "client only"), ("big5", "BIG5", "client only"), ("gbk", "GBK", "client only"), ("gb18030", "GB18030", "client only"))
+
+
+def server_encoding(codeset: Column) -> tuple[Column, Column]:
+    """(encoding, class) of a normalised codeset; null and ``unknown`` for others."""
+    name, kind = F.lit(None).cast("string"), F.lit("unknown")
+    for c, n, k in ENCODINGS:
+        name, kind = F.when(codeset == c, n).otherwise(name), F.when(codeset == c, k).otherwise(kind)
+    return name, kind
+
+
+def case_map(col: Column, lower: str, upper: str, to: str) -> Column:
+    """``col`` in lower or upper case under a side's one-to-one pairs."""
+    return F.translate(col, upper, lower) if to == "lower" else F.translate(col, lower, upper)

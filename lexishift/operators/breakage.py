@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexishift.functions.keys import Profile, key
-from lexishift.operators.order import rank
+from lexishift.operators.order import rank, ranks
 
 
 def route(col: Column, bounds: list[tuple[str, str | None, str | None]], p: Profile) -> Column:
@@ -144,3 +144,26 @@ def best_rank(hits: DataFrame, obj: str = "obj") -> DataFrame:
     """Of an object's hits those of the best rank, labels joined."""
     least = Window.partitionBy(obj)
     return hits.withColumn("_m", F.min("rank").over(least)).filter("rank = _m").groupBy(obj, "rank").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
+
+
+def class_violations(df: DataFrame, outside: DataFrame, col: str = "w") -> DataFrame:
+    """Distinct values with a character of ``outside`` (c), the characters that the class no longer has; they meet by character."""
+    parts = df.select(col).distinct().select(col, F.explode(F.array_distinct(F.filter(F.split(F.col(col), ""), lambda x: x != ""))).alias("c"))
+    return parts.join(outside.select("c").distinct(), "c", "left_semi").select(col).distinct()
+
+
+def stale_expression_key(df: DataFrame, stored: str, expression: Column) -> DataFrame:
+    """Rows per group of a stored comparison result, and of the live one; a group that one of them lacks counts 0."""
+    both = F.explode(F.array(F.struct(F.col(stored).alias("g"), F.lit(1).alias("s"), F.lit(0).alias("l")), F.struct(expression.alias("g"), F.lit(0).alias("s"), F.lit(1).alias("l"))))
+    return df.select(both.alias("x")).groupBy(F.col("x.g").alias("grp")).agg(F.sum("x.s").alias("n_stored"), F.sum("x.l").alias("n_live"))
+
+
+def histogram_check(df: DataFrame, old: Profile, new: Profile, n: int) -> DataFrame:
+    """The old bounds (rank, w), whether each sorts before its predecessor now, and rows to the next bound as expected and now."""
+    placed = ranks(df, old, new)
+    total = placed.agg(F.max("old_rank")).first()[0] or 0
+    at = sorted({1 + (i * (total - 1)) // n for i in range(n + 1)}) if total else []
+    own = Window.orderBy("old_rank")  # n + 1 rows
+    bounds = placed.filter(F.col("old_rank").isin(at))
+    step = F.lead("new_rank").over(own) - F.col("new_rank")
+    return bounds.select("old_rank", "w", F.coalesce(F.lag("new_rank").over(own) > F.col("new_rank"), F.lit(False)).alias("out_of_order"), (F.lead("old_rank").over(own) - F.col("old_rank")).alias("n_expected"), F.when(step < 0, 0).otherwise(step).alias("n_now"))

@@ -63,3 +63,18 @@ def gone_names_in_use(uses: DataFrame, names: DataFrame) -> DataFrame:
 def dedup_warnings(warnings: DataFrame) -> DataFrame:
     """V7: equal warnings once, at the place of the first."""
     return warnings.groupBy("text").agg(F.min("pos").alias("pos"))
+
+
+def version_check(answers: DataFrame, reported: str, expected: str) -> DataFrame:
+    """V4: is the reported version the side's; what is unknown is said, and is no pass."""
+    a, b = F.col(reported), F.col(expected)
+    return answers.withColumn("status", F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "equal").otherwise("differs"))
+
+
+def collation_halves(collations: DataFrame, databases: DataFrame) -> DataFrame:
+    """What each collation takes from the library: ``sorts`` and ``chars``; a default takes its database's, others than the library's give ''."""
+    own = collations.join(databases.select("db", F.col("provider").alias("_p"), F.col("datcollate").alias("_s"), F.col("datctype").alias("_c")), "db", "left")
+    default = F.col("provider") == "d"
+    libc = F.when(default, F.col("_p")).otherwise(F.col("provider")) == "c"
+    half = lambda mine, base: F.when(libc, F.coalesce(F.when(default, F.col(base)).otherwise(F.col(mine)), F.lit(""))).otherwise("")
+    return own.select(*collations.columns, half("collcollate", "_s").alias("sorts"), half("collctype", "_c").alias("chars"))

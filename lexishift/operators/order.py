@@ -116,3 +116,27 @@ def runs(df: DataFrame, col: str = "cp") -> DataFrame:
     edge = F.lag("last").over(Window.orderBy("first"))  # at most one run a gap in 1.1 million code points
     joined = part.withColumn("fresh", (F.coalesce(edge, F.lit(-2)) + 1 != F.col("first")).cast("int")).withColumn("r", F.sum("fresh").over(Window.orderBy("first")))
     return joined.groupBy("r").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("r")
+
+
+def named_pairs(df: DataFrame, pairs: DataFrame, old: Profile, new: Profile, col: str = "w") -> DataFrame:
+    """O3: (a, b, old, new): does ``a`` sort before ``b`` on either side, for pairs whose strings are both in ``df``."""
+    have = df.select(F.col(col).alias("_s")).distinct()
+    both = pairs.join(have.withColumnRenamed("_s", "a"), "a", "left_semi").join(have.withColumnRenamed("_s", "b"), "b", "left_semi")
+    return both.select("a", "b", (key(F.col("a"), old) < key(F.col("b"), old)).alias("old"), (key(F.col("a"), new) < key(F.col("b"), new)).alias("new"))
+
+
+def controls(df: DataFrame, old: Profile, new: Profile, control: tuple[Profile, Profile], plain: Profile) -> DataFrame:
+    """One row: the old order is not that of bytes, the control's order did not move, the order did; else the comparison is void."""
+    rows = [(n, order_digest(df, p)) for n, p in (("b", plain), ("o", old), ("n", new), ("c", control[0]), ("d", control[1]))]
+    wide = rows[0][1].withColumnRenamed("digest", "b")
+    for n, d in rows[1:]:  # one row each
+        wide = wide.crossJoin(d.withColumnRenamed("digest", n))
+    out = wide.select((F.col("b") != F.col("o")).alias("unlike_bytes"), (F.col("c") == F.col("d")).alias("control_same"), (F.col("o") != F.col("n")).alias("moved"))
+    return out.withColumn("verdict", F.when(~F.col("unlike_bytes") | ~F.col("control_same"), "void").when(F.col("moved"), "differs").otherwise("same"))
+
+
+def chain_union(ab: DataFrame, bc: DataFrame, ac: DataFrame, col: str = "w") -> DataFrame:
+    """(value, status) over the changes a to b, b to c and a to c: in both, only in the steps, or only in the whole."""
+    steps = ab.select(col).unionByName(bc.select(col)).withColumn("step", F.lit(1)).withColumn("whole", F.lit(0))
+    each = steps.unionByName(ac.select(col).withColumn("step", F.lit(0)).withColumn("whole", F.lit(1))).groupBy(col).agg(F.max("step").alias("s"), F.max("whole").alias("t"))
+    return each.select(col, F.when((F.col("s") == 1) & (F.col("t") == 1), "both").when(F.col("s") == 1, "only steps").otherwise("only whole").alias("status"))

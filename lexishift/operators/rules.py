@@ -51,13 +51,15 @@ def changed_chars(rules: DataFrame) -> DataFrame:
     return on.groupBy("locale").agg(F.bool_or("steers").alias("every_rule")).join(chars, "locale", "left")
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """L4: (src, dst) for every node that src reaches. Paths double each round; a round is a checkpoint, so lineage stays short."""
+def closure(edges: DataFrame, max_rounds: int = 64, stop: DataFrame | None = None) -> DataFrame:
+    """L4: (src, dst) for every node that src reaches. Paths double each round; a round is a checkpoint, so lineage stays short.
+    Paths end at the nodes of ``stop`` (dst)."""
     spark = edges.sparkSession
     found = edges.select("src", "dst").distinct()
     n = found.count()
     for _ in range(max_rounds):
-        longer = found.alias("a").join(found.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        onward = found if stop is None else found.join(stop, "dst", "left_anti")
+        longer = onward.alias("a").join(found.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         found = found.union(longer).distinct()
         if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             found = found.checkpoint()
@@ -111,3 +113,32 @@ def attribute_diff(df: DataFrame, on: str, value: str) -> DataFrame:
     """One value per name compared: same, changed, or on one side only."""
     d = both_sides(df.select("side", on, value), [on])
     return d.select(on, F.when(F.col("in_old").isNull(), "only new").when(F.col("in_new").isNull(), "only old").when(F.col(f"old_{value}").eqNullSafe(F.col(f"new_{value}")), "same").otherwise("changed").alias("status"))
+
+
+def nearest_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, root) for the roots that src reaches without walking past another root."""
+    return closure(edges, stop=roots.select(F.col("root").alias("dst")).distinct()).join(roots.select(F.col("root").alias("dst")).distinct(), "dst", "left_semi").select("src", F.col("dst").alias("root"))
+
+
+def alias_expand(names: DataFrame, aliases: DataFrame, source: Column) -> DataFrame:
+    """(name, listed): the listed names and the aliases whose target (``source`` over ``aliases``) is one of them."""
+    reached = aliases.withColumn("_to", source).join(names.select(F.col("name").alias("_to")), "_to", "left_semi").select(F.col("alias").alias("name"))
+    return names.select("name", F.lit(True).alias("listed")).unionByName(reached.withColumn("listed", F.lit(False))).groupBy("name").agg(F.max("listed").alias("listed"))
+
+
+def affected_builds(builds: DataFrame, edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """(source, charmap, n_chars, via) for builds whose files, own or reached through ``edges``, name a changed character of their charmap."""
+    reach = closure(edges).unionByName(builds.select("source").distinct().select(F.col("source").alias("src"), F.col("source").alias("dst"))).distinct()
+    on = builds.distinct().join(reach, F.col("source") == F.col("src")).join(hits.distinct().withColumnRenamed("charmap", "_map"), (F.col("dst") == F.col("file")) & (F.col("charmap") == F.col("_map")))
+    return on.groupBy("source", "charmap").agg(F.count_distinct("cp").alias("n_chars"), F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("via"))
+
+
+def charmap_of(declared: DataFrame) -> DataFrame:
+    """The one file that declares a codeset; null where several do."""
+    per = declared.groupBy("codeset").agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
+    return per.select("codeset", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("file"))
+
+
+def rules_beside(verdicts: DataFrame, compared: DataFrame) -> DataFrame:
+    """Each verdict with the state of its locale's rules; ``no rules`` where the comparison has no such name."""
+    return verdicts.join(compared.select("locale", "state"), "locale", "left").withColumn("state", F.coalesce("state", F.lit("no rules")))

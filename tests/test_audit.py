@@ -10,7 +10,7 @@ from lexishift.operators import breakage as B
 from lexishift.operators import confirm as V
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
-from lexishift.plans import audit
+from lexishift.plans import audit, catalog
 from lexishift.sources import corpus as S
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +85,21 @@ def test_strict_reader_refuses_a_short_file(spark, tmp_path):
         S.read_rows_tsv(spark, str(f), ["x", "y"])
 
 
+def test_a_void_control_is_no_answer(seven):
+    same, moved = (P["same"], P["same"]), (P["vw_old"], P["vw_new"])
+    answer = lambda old, new, control: O.controls(seven, old, new, control, P["bytes"]).first().verdict
+    assert [answer(OLD, NEW, same), answer(NEW, P["same"], same), answer(OLD, NEW, moved), answer(P["bytes"], NEW, same)] == ["differs", "same", "void", "void"]
+
+
+def test_chain_and_roots(spark):
+    one = lambda *w: spark.createDataFrame([(x,) for x in w], "w string")
+    assert {tuple(r) for r in O.chain_union(one("a", "b"), one("b", "c"), one("a", "d")).collect()} == {("a", "both"), ("b", "only steps"), ("c", "only steps"), ("d", "only whole")}
+    edges = spark.createDataFrame([("a", "b"), ("b", "r"), ("r", "s"), ("s", "a")], "src string, dst string")
+    roots = spark.createDataFrame([("r",), ("s",)], "root string")
+    assert {tuple(x) for x in L.nearest_roots(edges, roots).collect()} == {("a", "r"), ("b", "r"), ("r", "s"), ("s", "r")}
+    assert catalog.l5 is audit.Q["l5_roots"][0]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "w string")
     assert O.rank(empty, key(F.col("w"), OLD)).count() == 0 and B.histogram(empty, OLD, 4).count() == 0 and O.ties(empty, OLD).first().n_tied == 0
@@ -99,7 +114,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["b2_misplaced", "o2_rank_diff", "o5_inversions", "b21_prefix_sweep", "l2_compare_rules", "l9_charmap_delta", "c3_ctype_detail", "b16_admit"])
+@pytest.mark.parametrize("name", ["b2_misplaced", "o2_rank_diff", "o5_inversions", "b21_prefix_sweep", "l2_compare_rules", "l9_charmap_delta", "c3_ctype_detail", "b16_admit", "o3_named_pairs", "b23_histogram_check", "b24_three_state", "l5_roots", "l11_affected_builds", "x1_collation_halves"])
 def test_query_against_duckdb(spark, duck, name):
     f, sql = audit.Q[name]
     got, want = f(spark, SF).toPandas(), duck.execute(sql).df()
