@@ -159,11 +159,11 @@ def stale_expression_key(df: DataFrame, stored: str, expression: Column) -> Data
 
 
 def histogram_check(df: DataFrame, old: Profile, new: Profile, n: int) -> DataFrame:
-    """The old bounds (rank, w), whether each sorts before its predecessor now, and rows to the next bound as expected and now."""
+    """The old bounds (rank, w), whether each sorts before its predecessor now, and rows to the next bound as expected and now (0 at the last)."""
     placed = ranks(df, old, new)
     total = placed.agg(F.max("old_rank")).first()[0] or 0
     at = sorted({1 + (i * (total - 1)) // n for i in range(n + 1)}) if total else []
     own = Window.orderBy("old_rank")  # n + 1 rows
     bounds = placed.filter(F.col("old_rank").isin(at))
     step = F.lead("new_rank").over(own) - F.col("new_rank")
-    return bounds.select("old_rank", "w", F.coalesce(F.lag("new_rank").over(own) > F.col("new_rank"), F.lit(False)).alias("out_of_order"), (F.lead("old_rank").over(own) - F.col("old_rank")).alias("n_expected"), F.when(step < 0, 0).otherwise(step).alias("n_now"))
+    return bounds.select("old_rank", "w", F.coalesce(F.lag("new_rank").over(own) > F.col("new_rank"), F.lit(False)).alias("out_of_order"), F.coalesce(F.lead("old_rank").over(own) - F.col("old_rank"), F.lit(0)).alias("n_expected"), F.when(step > 0, step).otherwise(0).alias("n_now"))

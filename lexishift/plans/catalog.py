@@ -62,7 +62,7 @@ def b11(spark, sf):
 @query(
     "b23_histogram_check",
     cte(RANKS, "t as (select count(*) as n from r), g as (select distinct 1 + (i * ((select n from t) - 1)) // 20 as p from (select unnest(range(21)) as i)), h as (select old_rank, w, lag(new_rank) over (order by old_rank) as pr, lead(new_rank) over (order by old_rank) - new_rank as st, lead(old_rank) over (order by old_rank) - old_rank as n_expected, new_rank from r where old_rank in (select p from g))")
-    + " select old_rank, w, coalesce(pr > new_rank, false) as out_of_order, n_expected, case when st < 0 then 0 else st end as n_now from h",
+    + " select old_rank, w, coalesce(pr > new_rank, false) as out_of_order, coalesce(n_expected, 0) as n_expected, case when st > 0 then st else 0 end as n_now from h",
 )
 def b23(spark, sf):
     return B.histogram_check(words(spark, sf).persist(), OLD, NEW, 20)
