@@ -8,10 +8,11 @@ Links are confirmed by intersecting full sets.
 
 No bucket's pairs are written out. In each round every bucket with more than one component sends its members
 to one pivot (the member whose buckets are largest, so the text that others were copied from), links that
-hold are merged into components, and buckets that have become one component are done. After ``ROUNDS``
-rounds the pairs that are still open are compared in full: they lie in different components, agree on enough
-signature values, and are not ruled out by the distances of both to their bucket's pivot (Jaccard distance is
-a metric: within 0.15 of the pivot and beyond 0.30 of it cannot link).
+hold are merged into components, and buckets that have become one component are done. What is still open after
+``ROUNDS`` rounds are mostly texts just below the similarity to their bucket's origin. Their shingles are put in
+one order, rarest first: the first shingle that a linked pair shares stands so early in both sets that the rest
+can still reach the similarity. Texts meet only at such a shingle, and only if their components differ. What a
+variant shares with all others comes last, so it meets those that share its own changes, not the group.
 
 Components are found by alternating large-star and small-star steps over written tables; nothing is collected.
 
@@ -27,17 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexishift.llm.storage import carried, delete, materialise, restored, workspace
 
-WIDTH, PERMUTATIONS, BANDS, ROWS, ROUNDS = 5, 32, 16, 4, 3
+WIDTH, PERMUTATIONS, BANDS, ROWS, ROUNDS = 5, 32, 16, 4, 2
 NUMERATOR, DENOMINATOR = 85, 100
-#: Signature values of 64 that must agree: a linked pair misses ``CLOSE`` with probability under 1e-7, and a pair
-#: within distance 0.30 misses ``FAR`` with probability under 1e-5.
-CLOSE, FAR = 36, 28
+#: Signature values of 64 that must agree: a linked pair misses ``CLOSE`` with probability under 1e-7.
+CLOSE = 36
 CHUNK = 1 << 15
 
 
@@ -166,7 +165,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     comp: DataFrame | None = None
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    sets: DataFrame | None = None
     open_ = member.select("k", "h", "rep").join(weight, "rep")
     for turn in range(ROUNDS + 1):
         labelled = open_ if comp is None else open_.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
@@ -183,8 +181,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 pairs = pairs.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc")), "pivot", "left").filter(F.coalesce("pc", "pivot") != F.col("comp"))
             pairs = pairs.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
         else:
-            none = spark.createDataFrame([], "u long, v long, agree int, linked boolean")
-            pairs = _open_pairs(labelled, spread, sigs, none if tested is None else tested)
+            pairs = _early_pairs(labelled, spread, texts, root)
         pairs = materialise(pairs, f"{root}/pairs-{turn}")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -197,12 +194,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             continue
         fits = (DENOMINATOR * F.least("nu", "nv") >= NUMERATOR * F.greatest("nu", "nv")) & (F.col("agree") >= CLOSE)
         likely = agreed.filter(fits)
-        if sets is None:
-            sets = _candidate_sets(spark, rows, texts)
-        found = materialise(_confirmed(likely, sets), f"{root}/links-{turn}")
-        marks = agreed.select("u", "v", "agree").join(found.select("u", "v", F.lit(True).alias("linked")), ["u", "v"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        found = materialise(_confirmed(likely, texts), f"{root}/links-{turn}")
+        marks = agreed.select("u", "v")
         tested = marks if tested is None else tested.unionByName(marks)
         tested = materialise(tested, f"{root}/tested-{turn}")
+        if found.isEmpty():
+            continue
         links = found if links is None else links.unionByName(found)
         comp = materialise(components(links, f"{root}/cc-{turn}"), f"{root}/comp-{turn}")
 
@@ -212,8 +209,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.select("doc_id", "n_shingles", "set_a", "set_b", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
-def _candidate_sets(spark: SparkSession, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    return texts.dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, shingles array<long>")
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, shingles) of those texts whose id is in ``ids`` (rep)."""
+    return texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, shingles array<long>")
 
 
 def _untested_pivot(labelled: DataFrame, spread: DataFrame, tested: DataFrame) -> DataFrame:
@@ -224,22 +222,32 @@ def _untested_pivot(labelled: DataFrame, spread: DataFrame, tested: DataFrame) -
     return pool.groupBy("k", "h").agg(F.max(rank).alias("top"))
 
 
-def _open_pairs(labelled: DataFrame, spread: DataFrame, sigs: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that no pivot rules out."""
-    pivots = spread.select("k", "h", (-F.col("top.neg")).alias("pivot"))
-    inside = labelled.join(pivots, ["k", "h"])
-    both = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v"), "agree", "linked"))
-    seen = both.select(F.col("u").alias("pivot"), F.col("v").alias("rep"), "agree", "linked")
-    state = F.when(F.col("rep") == F.col("pivot"), 0).when(F.col("linked"), 0).when(F.col("agree") < FAR, 2).otherwise(1)
-    placed = inside.join(seen, ["pivot", "rep"], "left").select("k", "h", "rep", "comp", state.alias("state"))
-    a = placed.select("k", "h", F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("state").alias("zu"))
-    b = placed.select("k", "h", F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("state").alias("zv"))
-    apart = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & ~((F.col("zu") == 0) & (F.col("zv") == 2)) & ~((F.col("zu") == 2) & (F.col("zv") == 0))
-    return a.join(b, ["k", "h"]).filter(apart).select("u", "v").distinct()
-
+def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root: str) -> DataFrame:
+    """Pairs (u, v) of different components in open buckets that share a shingle early enough in both sets.
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    With ``n`` shingles each and the first shared one at places p and q (from 1, rarest first), a pair shares at most
+    min(n_u - p + 1, n_v - q + 1) of them, which must reach NUMERATOR / (NUMERATOR + DENOMINATOR) of n_u + n_v.
+    """
+    member = labelled.join(spread.select("k", "h"), ["k", "h"], "left_semi").select("rep", "comp").distinct()
+    member = materialise(member.join(_sets_of(texts, member), "rep"), f"{root}/open-sets")
+    held = member.select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "s"))
+    early = held.join(often, "s", "left").withColumn("place", place)
+    early = early.filter((F.col("times") > 1) & (DENOMINATOR * (F.col("n") - F.col("place") + 1) >= NUMERATOR * F.col("n"))).select("s", "rep", "comp", "n", "place")
+    early = materialise(early, f"{root}/early")
+    met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("s")
+    early = early.join(met, "s", "left_semi")
+    a, b = early.toDF("s", "u", "cu", "nu", "pu"), early.toDF("s", "v", "cv", "nv", "pv")
+    least = NUMERATOR * (F.col("nu") + F.col("nv"))
+    rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1
+    reach = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & ((NUMERATOR + DENOMINATOR) * rest >= least)
+    return a.join(b, (a["s"] == b["s"]) & reach).select("u", "v").distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
+    sets = _sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
     a = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv"))
     common = F.size(F.array_intersect("su", "sv")).cast("long")
