@@ -5,10 +5,11 @@ each stands in training texts, and its texts as places in that list. Every later
 
 1. Word counts over all blocks (combined before the shuffle) give N, V, and the ``CORE`` most frequent words.
 2. Bigram counts among core words (everything else is one more symbol) make a table of fixed size, on which exchange
-   clustering moves words between ``CLASSES`` classes while the likelihood of class bigrams grows.
-3. All other words are assigned by one exchange step over all their occurrences: each block finds the class under
-   which its occurrences of a word are likeliest between their neighbours' classes, and a word takes the class that
-   most of its occurrences chose.
+   clustering moves words between ``CLASSES`` classes while the likelihood of class bigrams grows. It is only the start.
+3. Exchange passes over the whole vocabulary: each block counts the classes beside each of its words, the counts of a
+   word are summed over all blocks, and every word moves to the class with the greatest exact gain. Class bigrams
+   are counted anew before each pass. A pass that does not raise the likelihood is taken back, and a smaller share of
+   the words moves at once. Passes end when the vocabulary has settled (``STILL``).
 4. Words meet their class and count by a join of each block's word list with the word table (nothing that grows is
    broadcast); texts become class sequences; class bigrams are counted over all training texts.
 
@@ -22,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,10 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexishift.llm.storage import materialise, workspace
+from lexishift.llm.storage import delete, materialise, task_fs, workspace
 
 BLOCK_BYTES, CORE, CLASSES, SWEEPS = 16 << 20, 512, 64, 6
 FOLDS, HELD = 7, 2
+#: The vocabulary has settled when words that would move hold this share of the training tokens at most, or when a pass raised
+#: the likelihood by ``LEAST_RISE`` of itself at most, or when even one in ``FEWEST`` words moving at once did not raise it.
+STILL, LEAST_RISE, FEWEST = 0.01, 1e-3, 64
+PACKED = np.dtype([("key", "u1"), ("n", "<u4")])
 END = xxhash.xxh3_64_intdigest(b"end of text")  # no word has a blank, so no word is this
 BLOCK = "block long, words binary, counts binary, seq binary, doc_ids array<long>, lens array<int>, held array<boolean>"
 
@@ -138,6 +144,135 @@ def transition_logs(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + n * prior[None, :]) / (counts.sum(1, keepdims=True) + n))
 
 
+def likelihood(big: np.ndarray) -> float:
+    """The part of the class bigrams' log-likelihood that depends on the classes."""
+    return float(_xlogx(big).sum() - _xlogx(big.sum(1)).sum() - _xlogx(big.sum(0)).sum())
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def neighbour_counts(label: np.ndarray, seq: np.ndarray, train: np.ndarray, first: np.ndarray, classes: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(trained words, their packed neighbour counts, class bigrams) of a block whose word ``i`` has class ``label[i]``.
+
+    A text is a ring: before its first token and after its last stands its end token. Key c counts class c before a word,
+    classes + c class c after it, and 2 * classes the word beside itself.
+    """
+    n, keys = len(seq), 2 * classes + 1
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n) - 1
+    before, after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
+    before[starts], after[ends] = ends, starts
+    kind = np.uint32 if len(label) * keys < 2**32 else np.int64
+    word, before, after = seq[train].astype(kind), seq[before[train]], seq[after[train]]
+    pairs = np.bincount(label[before].astype(np.int64) * classes + label[word], minlength=classes * classes)
+    left = word * kind(keys) + np.where(before == word, 2 * classes, label[before]).astype(kind)
+    other = after != word
+    right = word[other] * kind(keys) + (label[after[other]].astype(kind) + kind(classes))
+    key, count = np.unique(np.concatenate([left, right]), return_counts=True)
+    found, at = np.unique(key // kind(keys), return_index=True)
+    packed = np.empty(len(key), PACKED)
+    packed["key"], packed["n"] = key % kind(keys), count
+    offsets = (np.append(at, len(key)) * PACKED.itemsize).astype(np.int32)
+    return found.astype(np.int64), pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]), pairs
+
+
+def gains(counts: np.ndarray, was: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Exact gain in likelihood of each word (a row of ``counts``, by key) in each class, once it has left class ``was``."""
+    n, classes = len(counts), len(big)
+    col, row, own, every = counts[:, :classes], counts[:, classes : 2 * classes], counts[:, 2 * classes], np.arange(len(counts))
+    gain = np.zeros((n, classes))
+    for side, back, table in ((row, col, big.T), (col, row, big)):  # table[e, c]: class c beside class e
+        i, e = np.nonzero(side)
+        m, base, home = side[i, e][:, None], table[e], np.flatnonzero(e == was[i])
+        base[np.arange(len(i)), was[i]] -= m[:, 0]
+        base[home] -= back[i[home]]
+        base[home, e[home]] -= own[i[home]]
+        if len(i):
+            who, at = np.unique(i, return_index=True)
+            gain[who] += np.add.reduceat(_xlogx(base + m) - _xlogx(base), at, axis=0)
+    d, left, right = (np.tile(x, (n, 1)) for x in (np.diag(big), big.sum(1), big.sum(0)))
+    out, inn, alone = row.sum(1) + own, col.sum(1) + own, own[:, None]
+    d[every, was] -= row[every, was] + col[every, was] + own
+    left[every, was] -= out
+    right[every, was] -= inn
+    gain += _xlogx(d + row + col + alone) - _xlogx(d + row) - _xlogx(d + col) + _xlogx(d)
+    return gain - (_xlogx(left + out[:, None]) - _xlogx(left) + _xlogx(right + inn[:, None]) - _xlogx(right))
+
+
+def _moves(big: np.ndarray):
+    """From (h, class, packed) sorted by h: each word's best class by its counts over all blocks, its class before, and its count."""
+    classes = len(big)
+    keys = 2 * classes + 1
+
+    def decided(h: np.ndarray, was: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(h), 512):
+            part, a = counts[at : at + 512], was[at : at + 512]
+            gain, every = gains(part, a, big), np.arange(len(a))
+            to = gain.argmax(1)
+            to = np.where(gain[every, to] > gain[every, a] + 1e-9, to, a)
+            count = part[:, :classes].sum(1) + part[:, -1]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 512]), pa.array(to, pa.int32()), pa.array(a, pa.int32()), pa.array(count.astype(np.int64))], names=["h", "class", "was", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last word, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, was, packed = batch.column("h").to_numpy(), batch.column("class").to_numpy(), batch.column("packed")
+            sizes = np.array([len(x) for x in packed.to_pylist()]) // PACKED.itemsize
+            flat = np.frombuffer(b"".join(packed.to_pylist()), PACKED)
+            fresh = np.append(True, h[1:] != h[:-1])
+            who = np.cumsum(fresh) - 1
+            counts = np.bincount(np.repeat(who, sizes) * keys + flat["key"], flat["n"], (who[-1] + 1) * keys).reshape(-1, keys)
+            h, was = h[fresh], was[fresh].astype(np.int64)
+            if held is not None and held[0][0] == h[0]:
+                counts[0] += held[2][0]
+            elif held is not None:
+                yield from decided(*held)
+            held = h[-1:], was[-1:], counts[-1:].copy()
+            yield from decided(h[:-1], was[:-1], counts[:-1])
+        if held is not None:
+            yield from decided(*held)
+
+    return run
+
+
+def _writer(folder: str):
+    """Writes a block's classes, in the order of its words, as one file below ``folder``."""
+
+    def run(key, table):
+        at = table.column("at").to_numpy()
+        label = np.zeros(at.max() + 1, np.uint8)
+        label[at] = table.column("class").to_numpy()
+        fs, base = task_fs(folder)
+        fs.create_dir(base, recursive=True)
+        name = f"{base}/{key[0].as_py()}"
+        temporary = f"{name}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(temporary) as out:
+            out.write(label.tobytes())
+        fs.move(temporary, name)
+        return pa.table({"block": [key[0].as_py()]})
+
+    return run
+
+
+def _reader(folder: str):
+    """Classes of a block's words; a block without training texts has no file, and its words no class that counts."""
+
+    def run(block: int, words: np.ndarray) -> np.ndarray:
+        fs, base = task_fs(folder)
+        label = np.zeros(len(words), np.uint8)
+        if fs.get_file_info(f"{base}/{block}").is_file:
+            with fs.open_input_stream(f"{base}/{block}", compression=None) as f:
+                known = np.frombuffer(f.read(), np.uint8)
+            label[: len(known)] = known
+        return label
+
+    return run
+
+
 def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words: int = CORE, classes: int = CLASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -171,36 +306,27 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
         pairs[at] = n
     pairs = pairs.reshape(other + 1, other + 1)
     label = exchange(pairs, classes)
-    hot = np.eye(classes)[label]
-    logs = transition_logs(hot.T @ pairs @ hot).astype(np.float32)
-    core_label, core_count = label[:other], {r.h: r.c for r in top}
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    start = label.astype(np.uint8)
+
+    def counted(labels) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    words, seq, train, first = _training(batch, i)
+                    own = labels(batch.column("block")[i].as_py(), words)
+                    found, packed, pairs = neighbour_counts(own, seq, train, first, classes)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[found]), pa.array(own[found].astype(np.int32)), packed, pa.nulls(len(found), pa.binary())], names=["h", "class", "packed", "pairs"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([pairs.astype("<i8").tobytes()])], names=["h", "class", "packed", "pairs"])
+
+        return table.select("block", "words", "seq", "lens", "held").mapInArrow(run, "h long, class int, packed binary, pairs binary")
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                words, seq, train, first = _training(batch, i)
-                code = _codes(words, core, other)
-                before, after = _neighbours(label[code[seq]], first, label[end])
-                rare = train & (code[seq] == other)
-                order = np.argsort(seq[rare], kind="stable")
-                who, before, after = seq[rare][order], before[rare][order], after[rare][order]
-                found, starts, counts = np.unique(who, return_index=True, return_counts=True)
-                best = np.empty(len(found), np.int32)
-                for at in range(0, len(found), 8192):
-                    part = slice(at, min(at + 8192, len(found)))
-                    n, low, high = part.stop - at, starts[at], starts[part.stop - 1] + counts[part.stop - 1]
-                    rows = np.repeat(np.arange(n), counts[part]) * classes
-                    sums = lambda c: np.bincount(rows + c[low:high], minlength=n * classes).reshape(n, classes).astype(np.float32)  # noqa: B023, E731
-                    best[part] = (sums(before) @ logs + sums(after) @ logs.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([pa.array(words[found]), pa.array(best), pa.array(counts.astype(np.int64))], names=["h", "class", "n"])
-
-    chosen = lean.mapInArrow(votes, "h long, class int, n long").repartition("h").groupBy("h", "class").agg(F.sum("n").alias("n"))
-    rest = chosen.groupBy("h").agg(F.max_by("class", F.struct("n", "class")).alias("class"), F.sum("n").alias("c"))
-    own = spark.createDataFrame([(int(h), int(k), int(core_count[int(h)])) for h, k in zip(core, core_label, strict=True)], "h long, class int, c long")
-    known = materialise(rest.unionByName(own), f"{root}/words")
-    in_class = np.zeros(classes)
-    for k, n in known.groupBy("class").agg(F.sum("c")).collect():  # a row a class
-        in_class[k] = n
+            for x in batch.column(0):
+                sums += _array(x, "<i8")
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,6 +334,38 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
                 h = _array(words, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block.as_py(), np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], names=["block", "at", "h"])
 
+    places = table.select("block", "words").mapInArrow(exploded, "block long, at int, h long")
+    labels, turn, best, share = (lambda block, words: start[_codes(words, core, other)]), 0, -np.inf, 1
+    known: DataFrame | None = None  # h, class: where the word is best placed, was: where it is, c
+    while True:
+        counts = materialise(counted(labels), f"{root}/counts-{turn}")
+        big = np.zeros(classes * classes)
+        for at, n in counts.filter("pairs is not null").select("pairs").mapInArrow(bigrams, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # classes^2 numbers at most
+            big[at] = n
+        big = big.reshape(classes, classes)
+        reached = likelihood(big)
+        if known is None or reached > best:
+            rise, best = reached - best, reached
+            sums = counts.filter("h is not null").select("h", "class", "packed").repartition("h").sortWithinPartitions("h")
+            known = materialise(sums.mapInArrow(_moves(big), "h long, class int, was int, c long"), f"{root}/words-{turn}")
+            wish = known.agg(F.coalesce(F.sum(F.when(F.col("class") != F.col("was"), F.col("c"))), F.lit(0))).first()[0]
+            share = max(share, 1 + (turn > 0))
+            settled = wish <= STILL * total or rise <= LEAST_RISE * abs(reached)
+        else:  # words that moved at once undid each other: from the same classes, half as many move
+            share *= 2
+            settled = share > FEWEST
+        delete(spark, f"{root}/counts-{turn}")
+        if settled:
+            known = known.select("h", F.col("was").alias("class"), "c")
+            break
+        folder, goes = f"{root}/labels-{turn}", F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(share)) == 0
+        met = places.join(known.select("h", F.when(goes, F.col("class")).otherwise(F.col("was")).alias("class")), "h").select("block", "at", "class")
+        met.groupBy("block").applyInArrow(_writer(folder), "block long").write.format("noop").mode("overwrite").save()
+        labels, turn = _reader(folder), turn + 1
+    in_class = np.zeros(classes)
+    for k, n in known.groupBy("class").agg(F.sum("c")).collect():  # a row a class
+        in_class[k] = n
+
     def coded(key, left, right):
         words = _array(left.column("words").combine_chunks()[0], "<i8")
         kind, count = np.full(len(words), classes, np.int16), np.zeros(len(words), np.int64)
@@ -226,11 +384,12 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "line"],
         )
 
-    met = table.select("block", "words").mapInArrow(exploded, "block long, at int, h long").join(known, "h").select("block", "at", "class", "c")
+    met = places.join(known, "h").select("block", "at", "class", "c")
     whole = table.select("block", "words", "seq", "doc_ids", "lens", "held")
     texts = whole.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(coded, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, line binary")
     texts = materialise(texts, f"{root}/texts")
-    end_class = int(label[end])
+    last = known.filter(F.col("h") == end_word).first()
+    end_class = int(last["class"]) if last else 0
 
     def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, sums = classes + 1, np.zeros((classes + 1) ** 2, np.int64)

@@ -176,6 +176,30 @@ def test_exchange_finds_planted_classes():
     assert len(set(label[:4])) == 1 and len(set(label[4:])) == 1 and label[0] != label[4]
 
 
+def test_brown_gains_equal_recounted_likelihood():
+    rng = np.random.default_rng(5)
+    seq, label, first = rng.integers(0, 9, 60), rng.integers(0, 3, 9).astype(np.uint8), np.arange(60) % 12 == 0
+    count = lambda x: brown.neighbour_counts(x, seq, np.ones(60, bool), first, 3)
+    found, packed, pairs = count(label)
+    dense = np.zeros((9, 7))
+    for i, x in zip(found, packed.to_pylist(), strict=True):
+        for k, n in np.frombuffer(x, brown.PACKED):
+            dense[i, k] = n
+    got = brown.gains(dense, label.astype(int), pairs.reshape(3, 3).astype(float))
+    for w in range(9):
+        want = [brown.likelihood(count(np.where(np.arange(9) == w, c, label).astype(np.uint8))[2].reshape(3, 3).astype(float)) for c in range(3)]
+        assert np.allclose(got[w] - got[w][0], np.array(want) - want[0])
+
+
+def test_brown_moves_words_beyond_the_core_alike_in_any_blocks(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.integers(0, 40)}" for k in range(30)) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = [{r.doc_id: r.score for r in brown.score_documents(rows, size, core_words=6, classes=4).collect()} for size in (1 << 20, 2000)]
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in scores[0])
+    assert np.mean(list(scores[0].values())) / 31 > -1.75  # alternating kinds are found: log10(1/40) is -1.60, one class would give -1.90
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 64))
