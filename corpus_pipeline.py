@@ -4,7 +4,7 @@ Each stage takes all rows its predecessor kept and, but for the last, returns th
 
 1. ``quality``: documents that the rules reject go.
 2. ``lines``: repeated lines go from the texts (a document may be left with an empty text; it stays).
-3. ``near_duplicates``: of each group of near copies the document with the smallest id stays.
+3. ``near_duplicates``: of each group of near copies (five-word sets with a similarity of 0.8 or more) the document with the smallest id stays.
 4. ``personal_data``: confirmed spans are replaced by their kind in brackets.
 5. ``packing``: pieces of the texts' ids with their sequence and offset.
 

@@ -1,9 +1,9 @@
 """Near duplicates by min-max hashing: keep the minimum and the maximum under each permutation.
 
 A text's set is its distinct five-word shingles (64-bit, from 64-bit word hashes). Texts with equal sets are one
-class. A class's signature has the minimum and the maximum of ``PERMUTATIONS`` hash functions, so half as many
+class. A class's signature has the minimum and the maximum of each of some hash functions, so half as many
 evaluations give a signature of full length. Bands of ``ROWS`` values (two permutations, both ends) propose
-candidates; at a Jaccard similarity of 0.85 the ``BANDS`` bands miss a pair with probability under 1e-5.
+candidates; ``plan_for`` takes as many bands as a Jaccard similarity needs to miss a pair with probability under 1e-5.
 Links are confirmed by intersecting full sets.
 
 No bucket's pairs are written out. In each round every bucket with more than one component sends its members
@@ -24,6 +24,9 @@ text are one document returned as often; an empty table gives an empty result; o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +36,43 @@ from pyspark.sql import functions as F
 
 from lexishift.llm.storage import carried, delete, materialise, restored, workspace
 
-WIDTH, PERMUTATIONS, BANDS, ROWS, ROUNDS = 5, 32, 16, 4, 2
-NUMERATOR, DENOMINATOR = 85, 100
-#: Signature values of 64 that must agree: a linked pair misses ``CLOSE`` with probability under 1e-7.
-CLOSE = 36
+WIDTH, ROWS, ROUNDS = 5, 4, 2
+CONTRACT, GENERAL = 0.85, 0.8  # similarity of op2_minhash, and of near-duplicate stages
+BAND_MISS, SIGNATURE_MISS = 1e-5, 1e-8
 CHUNK = 1 << 15
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What follows from a similarity of ``numerator / denominator``: ``bands`` bands of two permutations miss a linked pair with
+    probability under ``BAND_MISS``; it agrees in fewer than ``close`` signature values with probability under ``SIGNATURE_MISS``."""
+
+    numerator: int
+    denominator: int
+    bands: int
+    close: int
+
+    @property
+    def permutations(self) -> int:
+        return 2 * self.bands
+
+
+def plan_for(similarity: float) -> Plan:
+    s = Fraction(str(similarity))
+    if not 0 < s <= 1:
+        raise ValueError(f"a similarity is above 0 and at most 1, not {similarity}")
+    bands = 1 if s == 1 else ceil(log(BAND_MISS) / log(1 - float(s) ** ROWS))
+    n, below, close = 4 * bands, 0.0, 0  # both ends of every permutation
+    while close < n and (below := below + comb(n, close) * float(s) ** close * float(1 - s) ** (n - close)) < SIGNATURE_MISS:
+        close += 1
+    return Plan(s.numerator, s.denominator, bands, close)
+
+
 def _constants(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 PLACE = _constants(WIDTH, 11)
-FACTOR, SHIFTED = _constants(PERMUTATIONS, 12), _constants(PERMUTATIONS, 13)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,15 +96,16 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, factor: np.ndarray, shifted: np.ndarray) -> np.ndarray:
     """Minima, then maxima, of every permutation, folded to 32 bits."""
-    low, high = np.full(PERMUTATIONS, 2**64 - 1, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
+    n = len(factor)
+    low, high = np.full(n, 2**64 - 1, np.uint64), np.zeros(n, np.uint64)
     for at in range(0, len(s), CHUNK):
         part = s[at : at + CHUNK]
-        for i in range(PERMUTATIONS):
-            x = (part ^ SHIFTED[i]) * FACTOR[i]
+        for i in range(n):
+            x = (part ^ shifted[i]) * factor[i]
             x ^= x >> np.uint64(29)
-            x *= FACTOR[PERMUTATIONS - 1 - i]
+            x *= factor[n - 1 - i]
             low[i], high[i] = min(low[i], x.min()), max(high[i], x.max())
     both = np.concatenate([low, high])
     return (both ^ (both >> np.uint64(32))).astype(np.uint32).view(np.int32)
@@ -86,18 +114,23 @@ def signature(s: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, counts, a, b, sigs = batch.column(0), [], [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py())
-            counts.append(len(s))
-            if len(s):
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                a.append(int(digest[0])), b.append(int(digest[1])), sigs.append(signature(s))
-            else:
-                a.append(None), b.append(None), sigs.append(None)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+def _signer(permutations: int):
+    factor, shifted = _constants(permutations, 12), _constants(permutations, 13)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts, a, b, sigs = batch.column(0), [], [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py())
+                counts.append(len(s))
+                if len(s):
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+                    a.append(int(digest[0])), b.append(int(digest[1])), sigs.append(signature(s, factor, shifted))
+                else:
+                    a.append(None), b.append(None), sigs.append(None)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +144,10 @@ def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def band(sig: Column, k: int) -> Column:
+def band(sig: Column, k: int, permutations: int) -> Column:
     """Band ``k``: both ends of two permutations. Permutations go in pairs, so every value is used once."""
-    i, j = 2 * k % PERMUTATIONS, (2 * k + 1) % PERMUTATIONS
-    return F.xxhash64(F.lit(k), *[sig[x] for x in (i, j, PERMUTATIONS + i, PERMUTATIONS + j)])
+    i, j = 2 * k, 2 * k + 1
+    return F.xxhash64(F.lit(k), *[sig[x] for x in (i, j, permutations + i, permutations + j)])
 
 
 def components(edges: DataFrame, root: str) -> DataFrame:
@@ -145,16 +178,17 @@ def components(edges: DataFrame, root: str) -> DataFrame:
         before = mark
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, component_id) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = CONTRACT) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, component_id) for every row of ``docs``; links reach ``similarity``."""
     spark: SparkSession = docs.sparkSession
+    plan = plan_for(similarity)
     root = workspace(spark, "near")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialise(rows.mapInArrow(_signed, SIGNED), f"{root}/signed")
+    signed = materialise(rows.mapInArrow(_signer(plan.permutations), SIGNED), f"{root}/signed")
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = materialise(classes, f"{root}/classes")
 
-    banded = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), band(F.col("sig"), k).alias("h")) for k in range(BANDS)])).alias("b"))
+    banded = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), band(F.col("sig"), k, plan.permutations).alias("h")) for k in range(plan.bands)])).alias("b"))
     banded = banded.select("rep", F.col("b.k").alias("k"), F.col("b.h").alias("h"))
     shared = banded.groupBy("k", "h").agg(F.count("*").alias("size")).filter("size > 1")
     member = materialise(banded.join(shared, ["k", "h"]), f"{root}/member")
@@ -181,7 +215,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 pairs = pairs.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc")), "pivot", "left").filter(F.coalesce("pc", "pivot") != F.col("comp"))
             pairs = pairs.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
         else:
-            pairs = _early_pairs(labelled, spread, texts, root)
+            pairs = _early_pairs(labelled, spread, texts, root, plan)
         pairs = materialise(pairs, f"{root}/pairs-{turn}")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -192,9 +226,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         agreed = materialise(agreed, f"{root}/agreed-{turn}")
         if agreed.isEmpty():  # these pivots' pairs have all been compared; the last turn takes what is still open
             continue
-        fits = (DENOMINATOR * F.least("nu", "nv") >= NUMERATOR * F.greatest("nu", "nv")) & (F.col("agree") >= CLOSE)
+        fits = (plan.denominator * F.least("nu", "nv") >= plan.numerator * F.greatest("nu", "nv")) & (F.col("agree") >= plan.close)
         likely = agreed.filter(fits)
-        found = materialise(_confirmed(likely, texts), f"{root}/links-{turn}")
+        found = materialise(_confirmed(likely, texts, plan), f"{root}/links-{turn}")
         marks = agreed.select("u", "v")
         tested = marks if tested is None else tested.unionByName(marks)
         tested = materialise(tested, f"{root}/tested-{turn}")
@@ -222,11 +256,11 @@ def _untested_pivot(labelled: DataFrame, spread: DataFrame, tested: DataFrame) -
     return pool.groupBy("k", "h").agg(F.max(rank).alias("top"))
 
 
-def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root: str) -> DataFrame:
+def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root: str, plan: Plan) -> DataFrame:
     """Pairs (u, v) of different components in open buckets that share a shingle early enough in both sets.
 
     With ``n`` shingles each and the first shared one at places p and q (from 1, rarest first), a pair shares at most
-    min(n_u - p + 1, n_v - q + 1) of them, which must reach NUMERATOR / (NUMERATOR + DENOMINATOR) of n_u + n_v.
+    min(n_u - p + 1, n_v - q + 1) of them, which must reach numerator / (numerator + denominator) of n_u + n_v.
     """
     member = labelled.join(spread.select("k", "h"), ["k", "h"], "left_semi").select("rep", "comp").distinct()
     member = materialise(member.join(_sets_of(texts, member), "rep"), f"{root}/open-sets")
@@ -234,35 +268,35 @@ def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root:
     often = held.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "s"))
     early = held.join(often, "s", "left").withColumn("place", place)
-    early = early.filter((F.col("times") > 1) & (DENOMINATOR * (F.col("n") - F.col("place") + 1) >= NUMERATOR * F.col("n"))).select("s", "rep", "comp", "n", "place")
+    early = early.filter((F.col("times") > 1) & (plan.denominator * (F.col("n") - F.col("place") + 1) >= plan.numerator * F.col("n"))).select("s", "rep", "comp", "n", "place")
     early = materialise(early, f"{root}/early")
     met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("s")
     early = early.join(met, "s", "left_semi")
     a, b = early.toDF("s", "u", "cu", "nu", "pu"), early.toDF("s", "v", "cv", "nv", "pv")
-    least = NUMERATOR * (F.col("nu") + F.col("nv"))
+    least = plan.numerator * (F.col("nu") + F.col("nv"))
     rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1
-    reach = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & ((NUMERATOR + DENOMINATOR) * rest >= least)
+    reach = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & ((plan.numerator + plan.denominator) * rest >= least)
     return a.join(b, (a["s"] == b["s"]) & reach).select("u", "v").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     sets = _sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
     a = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv"))
     common = F.size(F.array_intersect("su", "sv")).cast("long")
     both = pairs.select("u", "v", "nu", "nv").join(a, "u").join(b, "v").withColumn("common", common)
-    return both.filter(DENOMINATOR * F.col("common") >= NUMERATOR * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v")
+    return both.filter(plan.denominator * F.col("common") >= plan.numerator * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = GENERAL) -> DataFrame:
     """``docs`` without the near copies: of each component the row with the smallest id stays (rows that share that
     id all stay), as do rows without id or words."""
-    found = near_duplicates(docs, text, doc_id).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = near_duplicates(docs, text, doc_id, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     rows = carried(docs, _id=doc_id)
     return restored(rows.join(found, F.col("_id").cast("long") == F.col("_gone"), "left_anti"), docs)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return near_duplicates(docs, similarity=CONTRACT).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -92,6 +92,25 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_drops_copies_between_general_and_contract_similarity(spark):
+    import corpus_pipeline
+
+    assert minhash.plan_for(0.85) == minhash.Plan(17, 20, 16, 36)
+    plan = minhash.plan_for(0.8)
+    assert (1 - 0.8**minhash.ROWS) ** plan.bands < minhash.BAND_MISS
+    rng, rows = np.random.default_rng(8), []
+    for g in range(30):
+        w = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 104)]
+        v = list(w)
+        v[20], v[60] = "x", "y"  # 10 of 100 shingles: similarity 90 / 110
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == [2 * g for g in range(30)]
+    assert minhash.keep_one(docs, similarity=0.85).count() == 60
+
+
 def library_ids(name, texts):
     from tokenizers import Tokenizer
 
