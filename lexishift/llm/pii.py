@@ -3,7 +3,7 @@ r"""Personal data: patterns propose spans, checksums confirm them, nearby words
 Only built-in Spark expressions over one row: nothing shuffles and no Python runs on the executors.
 
 Base kinds (found leftmost, without overlap within a kind): ``email``, ``ip`` (parts up to 255), ``card``
-(14 to 19 digits, Luhn) and ``phone`` (10 to 15 digits). The method adds ``iban`` (length 15 to 34, mod-97) and
+(14 to 19 digits, Luhn) and ``phone`` (10 to 15 digits). The method adds ``iban`` (its country's length, else 15 to 34; mod-97) and
 ``ssn`` (a three-two-four digit number, which needs a context word nearby). Each span has a score: the kind's
 own confidence, plus a bonus where one of its context words stands in the 40 code points before it. Base
 spans stay whatever their score is; spans of the added kinds stay from ``threshold`` on.
@@ -69,13 +69,20 @@ def _count_between(x: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
+# Countries of each IBAN length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A number of its country's length, whatever follows it after a blank.
+IBAN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 # The kinds in the order that spans of one start take.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda x: F.lit(True), 0.9, "mail|contact|write|courriel|correo"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", _small_parts, 0.6, "ip|host|server|address|adresse"),
     Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++", r"[0-9](?:[\x20-]?+[0-9]){13}", lambda x: F.when(_count_between(x, 14, 19), luhn(digits_of(x))).otherwise(F.lit(False)), 0.8, "card|credit|visa|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda x: _count_between(x, 10, 15), 0.6, "phone|tel|call|mobile|fax|anruf"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|konto|compte|cuenta", base=False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{IBAN})\x20?+[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))", r"[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|konto|compte|cuenta", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda x: ~x.rlike("^(?:000|666|9..)|-00-|-0000$"), 0.3, "ssn|social|security", base=False),
 )
 BONUS, THRESHOLD, NEAR, CHUNK = 0.35, 0.5, 40, 128
@@ -104,6 +111,14 @@ def running_starts(gaps: Column, found: Column) -> Column:
     return let(steps, chunked)
 
 
+def before(gaps: Column, found: Column, i: Column) -> Column:
+    """The ``NEAR`` code points before match ``i``, from the last pieces: a match has two or more, so ``NEAR // 2`` of them do."""
+    low = F.greatest(i - NEAR // 2, F.lit(0))
+    cut = lambda x: F.right(x, F.lit(NEAR))
+    pieces = F.zip_with(F.slice(gaps, low + 1, i - low), F.slice(found, low + 1, i - low), lambda g, x: F.concat(cut(g), cut(x)))
+    return cut(F.concat(F.array_join(pieces, ""), cut(F.get(gaps, i))))
+
+
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,score:double>>"
 
 
@@ -113,7 +128,7 @@ def spans_of(text: Column, kind: Kind, rank: int, threshold: float = THRESHOLD)
     def build(found: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
             def rows(starts: Column) -> Column:
-                near = lambda i: F.lower(F.right(F.get(gaps, i), F.lit(NEAR))).rlike(rf"(?:{kind.context})")
+                near = lambda i: F.lower(before(gaps, found, i)).rlike(rf"(?:{kind.context})")
                 score = lambda i: F.lit(kind.score) + F.when(near(i), BONUS).otherwise(0.0)
                 every = F.transform(
                     found,
@@ -142,8 +157,8 @@ def find_spans(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: floa
 def _replacement(t: Column, kind: Kind, threshold: float):
     def build(found: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
-            near = lambda k: F.lower(F.right(F.get(gaps, k), F.lit(NEAR))).rlike(rf"(?:{kind.context})")
-            scored = lambda k: F.lit(kind.score) + F.when(near(k), BONUS).otherwise(0.0) >= (0.0 if kind.base else threshold)
+            near = lambda k: F.lower(before(gaps, found, k)).rlike(rf"(?:{kind.context})")
+            scored = lambda k: F.lit(True) if kind.base else F.lit(kind.score) + F.when(near(k), BONUS).otherwise(0.0) >= threshold
             put = F.transform(found, lambda x, k: F.concat(F.get(gaps, k), F.when(kind.check(x) & scored(k), F.lit(f"[{kind.name.upper()}]")).otherwise(x)))
             return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
 

@@ -57,6 +57,17 @@ def test_personal_data(docs, empty):
     assert [len(r._spans) for r in pii.find_spans(one).collect()] == [1, 0, 0]
 
 
+def test_ibans_end_at_their_length_and_context_reaches_over_matches(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {iban} Please pay", f"IBAN {iban.replace(' ', '')} Please", f"IBAN {iban} BIC COBA", f"REF AB12 CODE XY {iban} 7 days", f"{iban} {iban}", "SSN 123-45-6789, 123-45-6780", "123-45-6789, 123-45-6780", "SSN 123-45-6789 " + "x" * 40 + " 123-45-6780"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [[iban], [iban.replace(" ", "")], [iban], [iban], [iban, iban], ["123-45-6789", "123-45-6780"], [], ["123-45-6789"]]
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r._spans] for r in pii.find_spans(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    out = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert out[2] == "IBAN [IBAN] BIC COBA" and out[5] == "SSN [SSN], [SSN]" and out[6] == texts[6]
+
+
 def shingle_set(t):
     w = (t or "").encode().lower().split()
     return frozenset([tuple(w)]) if 0 < len(w) < 5 else frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if w else frozenset()
