@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexishift.llm.storage import materialise, workspace
-from lexishift.llm.tokens import encoder, in_groups, vocabulary_path
+from lexishift.llm.tokens import encoder, vocabulary_path
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
@@ -38,16 +38,13 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path, True), np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids, at, cols = batch.column(0).to_pylist(), 0, [[] for _ in range(6)]
-            for group in in_groups([t or "" for t in batch.column(1).to_pylist()]):
-                for data in enc.encode(group):
-                    data += tail
-                    view = memoryview(data)
-                    for k, p in enumerate(range(0, len(data), 4 * capacity)):
-                        own = view[p : p + 4 * capacity]
-                        for c, v in zip(cols, (ids[at], k, p // 4, len(own) // 4, zlib.crc32(own), at), strict=True):
-                            c.append(v)
-                    at += 1
+            cols = [[] for _ in range(6)]
+            for at, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True)):
+                view = memoryview(bytes(data) + tail)
+                for k, p in enumerate(range(0, len(view), 4 * capacity)):
+                    own = view[p : p + 4 * capacity]
+                    for c, v in zip(cols, (doc_id, k, p // 4, len(own) // 4, zlib.crc32(own), at), strict=True):
+                        c.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 

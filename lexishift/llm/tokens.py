@@ -1,20 +1,26 @@
-"""Encoding whole texts with the tokenizers library, a piece of text at a time, with what is known kept.
+"""Whole texts as pieces: cut in Arrow, looked up once a distinct piece, encoded by the tokenizers library where unknown.
 
-Texts are cut only where the tokenizer itself always cuts: before a single space that stands between two
-characters that are not blank (byte-level), or at blanks that the pre-tokenizer drops (word-level). A text in
-which blanks meet goes to the library whole. Pieces repeat, so most are looked up; the rest are encoded by
-the library in batches. The table of known pieces is emptied when it reaches ``KNOWN`` entries, so a task's memory is bounded.
+Texts are cut only where the tokenizer itself always cuts: before a single blank or line break (byte-level), or at blanks that
+the pre-tokenizer drops (word-level). A byte-level text with three blanks on end, two at its end or before a special token's ``<``, or a zero byte is one piece,
+since there a cut could part what the tokenizer keeps together. A group of texts is split and its pieces are numbered by
+Arrow; only the distinct ones meet Python. What is known of a piece is kept; the table is emptied when it reaches
+``KNOWN`` entries and holds no long pieces, so a task's memory is bounded by its texts.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Iterator
 
-KNOWN = 1_200_000
-_meet = re.compile(r"\s\s|^\s|\s$")
-_encoders: dict[tuple[str, bool], Encoder] = {}
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+KNOWN, LONG_PIECE, GROUP_BYTES = 1_000_000, 64, 8 << 20
+# Fixed value: white space, as RE2 writes it; each text that matches is one piece.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_WHOLE = rf"{_SPACE}{{3}}|{_SPACE}{_SPACE}(?:\z|<)|\x00"
 
 
 def vocabulary_path(name: str) -> str:
@@ -24,41 +30,97 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of a text as unsigned 32-bit bytes in the machine's order, which is little-endian wherever Spark runs."""
+def groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of ``texts``, nulls made empty, in slices of about ``limit`` bytes and one row at least."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def cut(texts: pa.Array, blanks_dropped: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(number of each piece, where each text's pieces start and end, the distinct pieces) of non-null ``texts``."""
+    if blanks_dropped:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    else:
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        if pc.any(whole).as_py():
+            apart = pc.indices_nonzero(pc.invert(whole))
+            kept = pc.indices_nonzero(whole)
+            alone = pa.LargeListArray.from_arrays(np.arange(len(kept) + 1), texts.take(kept))
+            split = pc.split_pattern(marked.take(apart), "\0").cast(pa.large_list(pa.large_string()))
+            order = np.argsort(np.concatenate([apart.to_numpy(), kept.to_numpy()]))
+            lists = pa.concat_arrays([split, alone]).take(pa.array(order))
+        else:
+            lists = pc.split_pattern(marked, "\0")
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), offsets - offsets[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+class Pieces:
+    """Ids of pieces as unsigned 32-bit bytes in the machine's order, which is little-endian wherever Spark runs."""
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of ``pieces``."""
+        known = self.known
+        found = list(map(known.get, pieces))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        if unknown:
+            if len(known) + len(unknown) > KNOWN:
+                known.clear()
+            for at in range(0, len(unknown), 20_000):
+                part = unknown[at : at + 20_000]
+                for i, x in zip(part, self.fresh([pieces[i] for i in part]), strict=True):
+                    found[i] = x
+                    if len(pieces[i]) <= LONG_PIECE:
+                        known[pieces[i]] = x
+        return found
+
+
+class Encoder(Pieces):
+    """The tokenizers library over a vocabulary file."""
 
     def __init__(self, path: str, blanks_dropped: bool):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
         self.blanks_dropped = blanks_dropped
-        self.known: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str] | None:
-        if self.blanks_dropped:
-            return text.replace("\n", " ").split(" ")
-        if _meet.search(text):
-            return None
-        # a piece keeps the blank before it: " word" or "\nword" (a line break is a token of its own there)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else None
+    def encode(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The ids of each of ``texts`` (nulls are empty), in order."""
+        for _, group in groups(texts):
+            index, offsets, pieces = cut(group, self.blanks_dropped)
+            data, at = taken(pa.array(self.ids(pieces), pa.large_binary()), index)
+            ends = at[offsets].tolist()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                yield data[a:b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        known = self.known
-        fresh = list(set().union(*[p for p in cut if p is not None]).difference(known))
-        if len(known) + len(fresh) > KNOWN:
-            known.clear()
-            fresh = list(set().union(*[p for p in cut if p is not None]))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            known.update(zip(part, self.whole(part), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self.whole([t])[0] for p, t in zip(cut, texts, strict=True)]
+
+def taken(values: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of ``values`` at ``index`` one after another, and where each starts (and the last ends)."""
+    out = values.take(pa.array(index))
+    offsets = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, 8 * out.offset)
+    return memoryview(out.buffers()[2] or b""), offsets
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, blanks_dropped: bool) -> Encoder:
@@ -66,16 +128,3 @@ def encoder(path: str, blanks_dropped: bool) -> Encoder:
     if (path, blanks_dropped) not in _encoders:
         _encoders[path, blanks_dropped] = Encoder(path, blanks_dropped)
     return _encoders[path, blanks_dropped]
-
-
-def in_groups(texts, limit: int = 2_000_000):
-    """Lists of texts of together about ``limit`` characters."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group

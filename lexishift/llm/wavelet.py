@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexishift.llm.storage import delete, materialise, task_fs, workspace
-from lexishift.llm.tokens import encoder, in_groups, vocabulary_path
+from lexishift.llm.tokens import encoder, vocabulary_path
 
 MAGIC, BLOCK, SHARD_TOKENS, END = b"WVMX0001", 512, 2_000_000, 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -157,13 +157,11 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end: int = END,
             return row
 
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for group in in_groups([t or "" for t in batch.column(1).to_pylist()]):
-                for data in enc.encode(group):
-                    held.append(doc_ids[at]), ids.append(data + tail), lengths.append(len(data) // 4 + 1)
-                    n, at = n + lengths[-1], at + 1
-                    if n >= shard_tokens:
-                        yield flush()
+            for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                held.append(doc_id), ids.append(bytes(data)), ids.append(tail), lengths.append(len(data) // 4 + 1)
+                n += lengths[-1]
+                if n >= shard_tokens:
+                    yield flush()
         if held:
             yield flush()
 
