@@ -1,17 +1,20 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-partitioned by ``page_id`` and sorted, so the same input gives the same archives. A task writes
-one gzip member a record, rolls to a new file when the compressed size passes ``roll_bytes``, and returns a
-manifest row a file under a temporary name; a second job renames what the manifest names. Headers (dates, ids,
-lengths, digests) are made anew from the record alone. Of records with one payload the smallest ``page_id`` is
-the response and the others are revisits, which carry headers only.
+Records are sorted by (``page_id``, payload digest, url) and cut into parts at bounds that follow from the data alone: exact counts
+in ``FINE`` even ranges of ids, whose crowded ones are cut again, by id or, where one id crowds them, by digest. No sampling
+is involved, so the same rows give the same archives, byte for byte, however they are partitioned and whichever
+task runs twice. A task writes one gzip member a record, rolls to a new file at the end of a part or when the compressed
+size passes ``roll_bytes``, and returns a manifest row a file under a temporary name; a second job renames what the manifest
+names. Headers (dates, ids, lengths, digests) are made anew from the record alone. Of records with one payload the
+smallest ``page_id`` is the response and the others are revisits, which carry headers only.
 
 Which record is a revisit follows from digests: those are grouped before the shuffle, so a payload that a third of
 all pages share is one row a task, and only ids of revisits travel to the writer beside the pages.
 
 Defined results: a null payload is empty; payloads under ``min_revisit_bytes`` are always responses; rows that share
 both the smallest ``page_id`` and the payload are all responses; a null ``page_id`` sorts first and is a response; null
-urls are written as empty; an empty table writes no file and gives an empty result; other columns are ignored.
+urls are written as empty; repeated rows differ in their record id, which counts them; an empty table writes no file and
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from lexishift.llm.storage import delete, materialise, task_fs, workspace
 from lexishift.llm.wavelet import commit
 
 ROLL_BYTES, LEVEL, DATE = 64 << 20, 3, "1970-01-01T00:00:00Z"
+#: Even ranges of ids that are counted; bytes of payload a part holds about, and the least number of parts.
+FINE, PART_BYTES, LEAST_PARTS = 4096, 256 << 20, 64
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,13 +46,14 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url: str, payload: bytes, refers_to) -> bytes:
-    """One WARC/1.1 record, compressed as one gzip member."""
+def record(page_id, url: str, payload: bytes, refers_to, copy: int = 0) -> bytes:
+    """One WARC/1.1 record, compressed as one gzip member; ``copy`` counts equal records before it."""
+    digest = base32_sha1(payload)
     http = HTTP % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {url}')}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}", f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {digest} {copy} {url}')}>", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {url}", f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
@@ -97,23 +102,58 @@ def parse(raw: bytes) -> dict:
     }
 
 
+def parts_of(keyed: DataFrame) -> tuple[DataFrame, int, int]:
+    """(fine, first, k, low, width, by_digest), a row for each of at most ``FINE`` + 1 ranges of ids that hold rows of
+    ``keyed`` (page_id, digest, size): its rows go to parts ``first`` to ``first`` + k - 1, by id in steps of ``width`` from
+    ``low``, or by digest.
+    """
+    spark = keyed.sparkSession
+    low, high, size = keyed.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    low, high, size = low or 0, high or 0, size or 0
+    step, aim = (high - low) // FINE + 1, max(1, size // max(LEAST_PARTS, size // PART_BYTES))
+    ranges = keyed.withColumn("fine", fine_of(low, step)).groupBy("fine").agg(F.sum("size"), F.min("page_id"), F.max("page_id")).orderBy("fine").collect()  # FINE + 1 rows at most
+    rows, first, held = [], 0, 0
+    for fine, own, a, b in ranges:
+        k = -(-own // aim)
+        if k > 1 or held + own > aim:  # a crowded range has parts of its own
+            first, held = first + (held > 0), 0
+        if k > 1:
+            rows.append((fine, first, k, a or 0, ((b or 0) - (a or 0)) // k + 1, a == b))
+            first += k
+        else:
+            rows.append((fine, first, 1, a or 0, 1, False))
+            held += own
+    return spark.createDataFrame(rows, "fine int, first int, k int, low long, width long, by_digest boolean"), low, step
+
+
+def fine_of(low: int, step: int):
+    """The range of an id: -1 for null, else from 0 to ``FINE`` - 1."""
+    return F.coalesce(F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(step)).cast("int"), F.lit(-1))
+
+
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``folder``; the committed manifest."""
     spark, run = pages.sparkSession, uuid.uuid4().hex
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")).filter((F.col("size") >= min_revisit_bytes) & F.col("page_id").isNotNull())
-    keyed = materialise(keyed, f"{folder}/digests")
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = keyed.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-    both = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    marks = revisits.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    # pages and marks of one page_id fall into one range, marks first: no join moves the payloads
-    ordered = both.unionByName(marks).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url")
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    keyed = materialise(rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size")), f"{folder}/digests")
+    plan, low, step = parts_of(keyed)
+    told = keyed.filter((F.col("size") >= min_revisit_bytes) & F.col("page_id").isNotNull())
+    first = told.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    revisits = told.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    both = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    marks = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
+    # pages and marks of one (page_id, digest) fall into one part, marks first: no join moves the payloads
+    inner = F.when(F.col("by_digest"), F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("k") / F.lit(1 << 32))).otherwise(F.floor((F.col("page_id") - F.col("low")) / F.col("width")))
+    placed = both.unionByName(marks).withColumn("fine", fine_of(low, step)).join(F.broadcast(plan), "fine")  # FINE + 1 rows at most
+    placed = placed.select((F.col("first") + F.when(F.col("k") > 1, F.least(F.coalesce(inner, F.lit(0)), F.col("k") - 1)).otherwise(0)).cast("int").alias("part"), *both.columns)
+    ordered = placed.repartition("part").sortWithinPartitions("part", "page_id", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = task_fs(folder)
         fs.create_dir(f"{base}/_temporary_{run}", recursive=True)
-        part, seq, out, temporary, n, size, known, known_id = TaskContext.get().partitionId(), 0, None, "", 0, 0, {}, None
+        part, seq, out, temporary, n, size = -1, 0, None, "", 0, 0
+        mark, target, last, copy = None, None, None, 0
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -121,18 +161,21 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_
             return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
         for batch in batches:
-            for page_id, kind, url, html, digest, target in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for own, page_id, digest, kind, url, html, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if kind == 0:
-                    if page_id != known_id:
-                        known, known_id = {}, page_id
-                    known[digest] = target
+                    mark, target = (page_id, digest), refers_to
                     continue
+                if own != part:
+                    if out is not None:
+                        yield close()
+                    part, seq, out = own, 0, None
                 payload = html.encode("utf-8", "surrogatepass")
-                refers_to = known.get(hashlib.sha1(payload).hexdigest()) if known and page_id == known_id else None
+                copy = copy + 1 if last == (page_id, digest, url) else 0
+                last = (page_id, digest, url)
                 if out is None:
                     temporary = f"_temporary_{run}/{uuid.uuid4().hex}"
                     out, n, size = fs.open_output_stream(f"{base}/{temporary}", compression=None), 0, 0
-                data = record(page_id, url, payload, refers_to)
+                data = record(page_id, url, payload, target if mark == (page_id, digest) else None, copy)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= roll_bytes:
@@ -144,6 +187,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), f"{folder}/manifest")
     commit(manifest, folder)
     delete(spark, f"{folder}/_temporary_{run}")
+    delete(spark, f"{folder}/digests")
     return manifest
 
 
