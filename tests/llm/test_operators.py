@@ -208,17 +208,35 @@ def test_exchange_finds_planted_classes():
 
 def test_brown_gains_equal_recounted_likelihood():
     rng = np.random.default_rng(5)
-    seq, label, first = rng.integers(0, 9, 60), rng.integers(0, 3, 9).astype(np.uint8), np.arange(60) % 12 == 0
-    count = lambda x: brown.neighbour_counts(x, seq, np.ones(60, bool), first, 3)
-    found, packed, pairs = count(label)
-    dense = np.zeros((9, 7))
-    for i, x in zip(found, packed.to_pylist(), strict=True):
-        for k, n in np.frombuffer(x, brown.PACKED):
-            dense[i, k] = n
-    got = brown.gains(dense, label.astype(int), pairs.reshape(3, 3).astype(float))
-    for w in range(9):
-        want = [brown.likelihood(count(np.where(np.arange(9) == w, c, label).astype(np.uint8))[2].reshape(3, 3).astype(float)) for c in range(3)]
-        assert np.allclose(got[w] - got[w][0], np.array(want) - want[0])
+    for n in (60, 2000):  # counts within and beyond the table of small ones
+        seq, label, first = rng.integers(0, 9, n), rng.integers(0, 3, 9).astype(np.uint8), np.arange(n) % 12 == 0
+        train = np.repeat(rng.random(-(-n // 12)) < 0.8, 12)[:n]
+        sizes, keys, counts = brown.neighbour_counts(label, seq, train, first, 3)
+        dense = np.zeros((9, 7))
+        dense[np.repeat(np.arange(9), sizes), keys] = counts
+        big = lambda x: brown.class_pairs(x, seq, train, first, 3).reshape(3, 3).astype(float)
+        got = brown.Gains(big(label))(dense, label.astype(int))
+        for w in range(9):
+            want = [brown.likelihood(big(np.where(np.arange(9) == w, c, label).astype(np.uint8))) for c in range(3)]
+            assert np.allclose(got[w] - got[w][0], np.array(want) - want[0])
+
+
+def test_brown_probabilities_sum_to_one():
+    rng = np.random.default_rng(7)
+    count, kind = rng.integers(1, 50, 40), rng.integers(0, 5, 40)
+    step = brown.step_logs(rng.integers(0, 30, (5, 5)).astype(float), 0.07)
+    emit = count / np.bincount(kind, count, 5)[kind]
+    for before in range(6):  # five classes and the unknown type
+        assert abs((10 ** step[before, kind] * emit).sum() + 10 ** step[before, 5] - 1) < 1e-9
+
+
+def test_brown_beats_the_base_on_held_out_texts(spark):
+    rng = np.random.default_rng(9)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in "abc"]
+    texts = [" ".join(kinds[j % 3][rng.integers(0, 30)] for j in range(60)) for _ in range(300)]
+    rows = brown.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), classes=6, core_words=20).collect()
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.3 * sum(r.n_tokens for r in held)
 
 
 def test_brown_moves_words_beyond_the_core_alike_in_any_blocks(spark):
