@@ -1,7 +1,9 @@
 """The ten operators on small frames with nulls, ties, empty texts and clashing columns, against brute force."""
 
 import hashlib
+import io
 import re
+import wave
 import zlib
 from collections import Counter
 from math import ceil
@@ -253,11 +255,48 @@ def test_chroma(spark):
     base = rng.normal(size=(6, 64))
     near = base[0] + rng.normal(size=64) * 0.02
     shifted = np.concatenate([rng.normal(size=8), base[1][:56]])
-    rows = [(100 * i, v.tolist()) for i, v in enumerate(base)] + [(7, near.tolist()), (8, shifted.tolist()), (9, base[2].tolist()), (10, None), (None, base[3].tolist()), (11, [])]
-    got = chroma.align(chroma.recordings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))).collect()
-    pairs = {(r.query_id, r.match_id) for r in got}
-    assert {(0, 0), (0, 7), (100, 8), (200, 9)} <= pairs | {(0, 0)} and (300, 0) not in pairs
-    assert {r.shift for r in got if (r.query_id, r.match_id) == (100, 8)} == {16} and len(chroma.fingerprint(b"junk")) == 0
+    rows = [(100 * i, v.tolist()) for i, v in enumerate(base)] + [(7, near.tolist()), (8, shifted.tolist()), (9, base[2].tolist()), (10, None), (None, base[3].tolist()), (11, []), (12, [0.0] * 64), (500, base[5].tolist())]
+    schema = "vec_id long, embedding array<double>"
+    got = chroma.align(chroma.recordings(spark.createDataFrame(rows, schema))).collect()
+    pairs = Counter((r.query_id, r.match_id) for r in got)
+    near_one = {(0, 7)} if chroma.fingerprint(*chroma.sound(chroma.play(near))).tolist() != chroma.fingerprint(*chroma.sound(chroma.play(base[0]))).tolist() else set()
+    assert set(pairs) == {(100 * i, 100 * i) for i in (0, 1, 3, 4, 5)} | {(200, 9), (100, 8)} | near_one and pairs[500, 500] == 2
+    assert {r.shift for r in got if (r.query_id, r.match_id) == (100, 8)} == {16} and len(chroma.fingerprint(*chroma.sound(b"junk"))) == 0
+    assert chroma.align(chroma.recordings(spark.createDataFrame([], schema))).count() == 0
+
+
+def with_noise(recording, rng, deviation, shift):
+    """The recording with noise on its 8-bit samples, cut by ``shift`` samples."""
+    with wave.open(io.BytesIO(recording)) as w:
+        x = np.frombuffer(w.readframes(w.getnframes()), np.uint8)[shift:]
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(chroma.RATE)
+        w.writeframes(np.clip(x + rng.normal(0, deviation, len(x)), 0, 255).astype(np.uint8).tobytes())
+    return out.getvalue()
+
+
+def least_error(x, y):
+    """The least share of differing bits over all offsets with enough overlap: the definition of a match, by brute force."""
+    best, n = 1.0, chroma.MIN_OVERLAP
+    for s in range(n - len(x), len(y) - n + 1):
+        low, high = max(0, -s), min(len(x), len(y) - s)
+        best = min(best, np.bitwise_count(x[low:high] ^ y[low + s : high + s]).mean() / 32)
+    return best
+
+
+def test_chroma_recall_against_all_offsets(spark):
+    rng = np.random.default_rng(11)
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").limit(40).collect()
+    audio = {100 * i: chroma.play(r.embedding) for i, r in enumerate(vectors)}
+    for i in range(30):
+        for k, (deviation, shift) in enumerate([(30, 0), (30, 50), (60, 0), (60, 64), (100, 0), (100, 50), (30, 4000)]):
+            audio[100 * i + k + 1] = with_noise(audio[100 * i], rng, deviation, shift)
+    prints = {i: chroma.fingerprint(*chroma.sound(a)) for i, a in audio.items()}
+    want = {(q, i) for q in prints if q % 100 == 0 for i in prints if i != q and least_error(prints[q], prints[i]) <= chroma.MAX_ERROR}
+    rows = chroma.align(spark.createDataFrame(list(audio.items()), "rec_id long, audio binary")).collect()
+    got = {(r.query_id, r.match_id) for r in rows if r.query_id != r.match_id}
+    assert len(want) > 180 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_pipeline_stages(spark, docs):
