@@ -1,7 +1,7 @@
 """Near duplicates by min-max hashing: keep the minimum and the maximum under each permutation.
 
 A text's set is its distinct five-word shingles (64-bit, from 64-bit word hashes). Texts with equal sets are one
-class. A class's signature has the minimum and the maximum of each of some hash functions, so half as many
+class, named by a number of its own (a ``doc_id`` may stand beside several texts). A class's signature has the minimum and the maximum of each of some hash functions, so half as many
 evaluations give a signature of full length. Bands of ``ROWS`` values (two permutations, both ends) propose
 candidates; ``plan_for`` takes as many bands as a Jaccard similarity needs to miss a pair with probability under 1e-5.
 Links are confirmed by intersecting full sets.
@@ -18,7 +18,8 @@ Components are found by alternating large-star and small-star steps over written
 
 Defined results: a null or empty text has an empty set, is linked with nothing and kept; a row whose
 ``doc_id`` is null takes no part, has a null component and is kept; repeated rows with one ``doc_id`` and one
-text are one document returned as often; an empty table gives an empty result; other columns are ignored.
+text are one document returned as often; rows with one ``doc_id`` and different texts are linked each by its own
+text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def signature(s: np.ndarray, factor: np.ndarray, shifted: np.ndarray) -> np.ndar
     return (both ^ (both >> np.uint64(32))).astype(np.uint32).view(np.int32)
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<int>"
 
 
 def _signer(permutations: int):
@@ -128,7 +129,10 @@ def _signer(permutations: int):
                     a.append(int(digest[0])), b.append(int(digest[1])), sigs.append(signature(s, factor, shifted))
                 else:
                     a.append(None), b.append(None), sigs.append(None)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, batch.column(2), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig"],
+            )
 
     return run
 
@@ -151,7 +155,7 @@ def band(sig: Column, k: int, permutations: int) -> Column:
 
 
 def components(edges: DataFrame, root: str) -> DataFrame:
-    """(node, comp) for every node of ``edges`` (u, v): comp is the least node that can be reached.
+    """(node, comp) for every node of ``edges`` (u, v) but the least of each component: comp is the least node that can be reached.
 
     Large-star and small-star alternate until the edges no longer change; each step is a written table.
     """
@@ -179,14 +183,15 @@ def components(edges: DataFrame, root: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = CONTRACT) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, component_id) for every row of ``docs``; links reach ``similarity``."""
+    """(doc_id, text_hash, n_shingles, set_a, set_b, component_id) for every row of ``docs``; links reach ``similarity``."""
     spark: SparkSession = docs.sparkSession
     plan = plan_for(similarity)
     root = workspace(spark, "near")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.lit(5), F.col(text)).alias("text_hash"))
     signed = materialise(rows.mapInArrow(_signer(plan.permutations), SIGNED), f"{root}/signed")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = materialise(classes, f"{root}/classes")
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "sig", "n")
+    classes = materialise(classes, f"{root}/classes")  # the numbers hold once written
 
     banded = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), band(F.col("sig"), k, plan.permutations).alias("h")) for k in range(plan.bands)])).alias("b"))
     banded = banded.select("rep", F.col("b.k").alias("k"), F.col("b.h").alias("h"))
@@ -194,7 +199,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     member = materialise(banded.join(shared, ["k", "h"]), f"{root}/member")
     weight = materialise(member.groupBy("rep").agg(F.sum("size").alias("weight")), f"{root}/weight")
     sigs = materialise(classes.join(weight, "rep", "left_semi"), f"{root}/sigs")
-    texts = rows.join(sigs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = rows.join(sigs.select("doc_id", "text_hash", "rep"), ["doc_id", "text_hash"]).select("rep", "text")
 
     comp: DataFrame | None = None
     links: DataFrame | None = None
@@ -237,15 +242,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         links = found if links is None else links.unionByName(found)
         comp = materialise(components(links, f"{root}/cc-{turn}"), f"{root}/comp-{turn}")
 
-    none = spark.createDataFrame([], "node long, comp long")
-    label = classes.select("set_a", "set_b", "rep").join((none if comp is None else comp).select(F.col("node").alias("rep"), "comp"), "rep", "left").select("set_a", "set_b", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b"], "left")
-    return out.select("doc_id", "n_shingles", "set_a", "set_b", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+    label = classes.select("set_a", "set_b", F.col("doc_id").alias("comp"))
+    if comp is not None:
+        every = comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())  # the least of a component has no row in ``comp``
+        named = classes.select("set_a", "set_b", "rep", F.col("doc_id").alias("own")).join(every.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+        least = named.filter("comp is not null").groupBy("comp").agg(F.min("own").alias("least"))
+        label = named.join(least, "comp", "left").select("set_a", "set_b", F.coalesce("least", "own").alias("comp"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(label, ["set_a", "set_b"], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, shingles) of those texts whose id is in ``ids`` (rep)."""
-    return texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, shingles array<long>")
+    """(rep, shingles) of those classes whose number is in ``ids`` (rep)."""
+    return texts.join(ids.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, shingles array<long>")
 
 
 def _untested_pivot(labelled: DataFrame, spread: DataFrame, tested: DataFrame) -> DataFrame:
@@ -271,7 +280,7 @@ def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root:
     early = early.filter((F.col("times") > 1) & (plan.denominator * (F.col("n") - F.col("place") + 1) >= plan.numerator * F.col("n"))).select("s", "rep", "comp", "n", "place")
     early = materialise(early, f"{root}/early")
     met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("s")
-    early = early.join(met, "s", "left_semi")
+    early = materialise(early.join(met, "s", "left_semi"), f"{root}/met")  # written, so the join below is dealt anew and a frequent shingle's rows split
     a, b = early.toDF("s", "u", "cu", "nu", "pu"), early.toDF("s", "v", "cv", "nv", "pv")
     least = plan.numerator * (F.col("nu") + F.col("nv"))
     rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1
@@ -292,9 +301,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = GENERAL) -> DataFrame:
     """``docs`` without the near copies: of each component the row with the smallest id stays (rows that share that
     id all stay), as do rows without id or words."""
-    found = near_duplicates(docs, text, doc_id, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = carried(docs, _id=doc_id)
-    return restored(rows.join(found, F.col("_id").cast("long") == F.col("_gone"), "left_anti"), docs)
+    gone = near_duplicates(docs, text, doc_id, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    rows = carried(docs, _id=doc_id, _text=text)
+    met = (F.col("_id").cast("long") == F.col("_gone")) & (F.xxhash64(F.lit(5), F.col("_text")) == F.col("_gone_text"))
+    return restored(rows.join(gone, met, "left_anti"), docs)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
