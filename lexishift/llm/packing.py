@@ -4,8 +4,9 @@ A document's ids (with the end id) longer than ``capacity`` are cut into pieces
 never cut. Only the histogram of piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver.
 There the covering program "use as few configurations as cover every length's count" is solved by multiplicative
 weights: each round a knapsack dynamic program finds the configuration of most weight, and the lengths that it
-covers lose weight. Fractions are rounded down; what rounding leaves is solved again, and the last few pieces
-are placed best-fit decreasing. The plan is a table (length, ranks from, to -> sequences, offset), so every piece
+covers lose weight. Fractions are rounded down, and what rounding leaves is solved again. Where few pieces are left, or
+few were there, each configuration is used once at least, fullest first; the last pieces are placed best-fit decreasing
+where that takes no more sequences. The plan is a table (length, ranks from, to -> sequences, offset), so every piece
 finds its place by its rank among pieces of its length, by a join.
 
 Ranks come from counts by (length, chunk of ids) and row numbers within a chunk: no length is numbered in one task.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lexishift.llm.storage import materialise, workspace
 from lexishift.llm.tokens import encoder, vocabulary_path
 
-CAPACITY, END = 2048, 0
+CAPACITY, END, PLAN_ROWS = 2048, 0, 32
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -89,48 +90,98 @@ def filled(config: np.ndarray, left: np.ndarray) -> np.ndarray:
     return config
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 160, rate: float = 0.25, levels: int = 8) -> list[tuple[int, dict[int, int]]]:
-    """(how many sequences, {length: copies}) covering ``histogram`` (counts by length, index 0 unused) exactly."""
-    left, plan = histogram.astype(np.int64).copy(), []
+def bounded_knapsack(weight: np.ndarray, capacity: int, most: np.ndarray) -> np.ndarray:
+    """The same with ``most`` as an exact bound: a length's copies are taken in lots of 1, 2, 4 and so on."""
+    lots = []
+    for length in np.flatnonzero(most > 0).tolist():
+        rest, lot = min(int(most[length]), capacity // length), 1
+        while rest:
+            lot = min(lot, rest)
+            lots.append((length, lot))
+            rest, lot = rest - lot, 2 * lot
+    best, taken = np.zeros(capacity + 1), np.zeros((len(lots), capacity + 1), bool)
+    for k, (length, lot) in enumerate(lots):
+        size = length * lot
+        with_it = best[: capacity + 1 - size] + lot * weight[length]
+        taken[k, size:] = with_it > best[size:]
+        best[size:] = np.maximum(best[size:], with_it)
+    out, c = np.zeros(len(weight), np.int64), capacity
+    for k in range(len(lots) - 1, -1, -1):
+        if taken[k, c]:
+            out[lots[k][0]] += lots[k][1]
+            c -= lots[k][0] * lots[k][1]
+    return out
 
-    def use(config: np.ndarray, times: int) -> None:
-        left[:] -= config * times
-        plan.append((int(times), {int(k): int(config[k]) for k in np.flatnonzero(config)}))
 
-    if left[capacity]:
-        whole = np.zeros_like(left)
-        whole[capacity] = 1
-        use(whole, left[capacity])
+#: Rounds of weights, how fast weights fall, how often what rounding leaves is solved again, and under how many sequences the
+#: program has exact bounds and ``FEW_ROUNDS`` rounds.
+ROUNDS, RATE, LEVELS, FEW, FEW_ROUNDS = 160, 0.25, 8, 40, 24
+
+
+def fractions(left: np.ndarray, capacity: int, price, rounds: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used by the program's solution for the counts ``left``, fullest first."""
     sizes = np.arange(len(left))
-    for _ in range(levels):
-        total = int(left @ sizes)
-        if total <= 40 * capacity:
-            break
-        weight, found = np.where(left > 0, sizes / capacity, 0.0), {}
-        for _ in range(rounds):
-            config = filled(knapsack(weight, capacity, left), left)
-            share = np.divide(config, left, out=np.zeros(len(left)), where=left > 0)
-            found[config.tobytes()] = found.get(config.tobytes(), 0.0) + 1 / share.max()
-            weight *= np.exp(-rate * share / share.max())
-        # the rounds' steps, scaled to the volume bound; fullest first, rounded down, within what is left
-        scale, before = total / capacity / sum(found.values()), int(left.sum())
-        for config, n in sorted(((np.frombuffer(k, np.int64), n) for k, n in found.items()), key=lambda x: (-int(x[0] @ sizes), -x[1])):
-            some = config > 0
-            times = min(int(scale * n), int((left[some] // config[some]).min()))
-            if times > 0:
-                use(config, times)
-        if left.sum() > 0.9 * before:
-            break
-    _best_fit(left, capacity, use)
-    return plan
+    weight, found = np.where(left > 0, sizes / capacity, 0.0), {}
+    for _ in range(rounds):
+        config = filled(price(weight, capacity, left), left)
+        share = np.divide(config, left, out=np.zeros(len(left)), where=left > 0)
+        found[config.tobytes()] = found.get(config.tobytes(), 0.0) + 1 / share.max()
+        weight *= np.exp(-RATE * share / share.max())
+    scale = int(left @ sizes) / capacity / sum(found.values())  # the rounds' steps, scaled to the volume bound
+    return sorted(((np.frombuffer(k, np.int64), scale * n) for k, n in found.items()), key=lambda x: (-int(x[0] @ sizes), -x[1]))
+
 
+class Cover:
+    """Configurations used so far, and the counts that are left to cover."""
 
-def _best_fit(left: np.ndarray, capacity: int, use) -> None:
-    """Longest first; each sequence takes the longest piece that fits, and is repeated while counts allow."""
-    while left.any():
-        config = filled(np.zeros_like(left), left)
+    def __init__(self, left: np.ndarray):
+        self.left, self.plan = left.copy(), []
+
+    def use(self, config: np.ndarray, times: int) -> None:
+        """``times`` sequences of ``config``, or as many as the counts allow."""
         some = config > 0
-        use(config, max(1, int((left[some] // config[some]).min())))
+        times = min(times, int((self.left[some] // config[some]).min()))
+        if times > 0:
+            self.left -= config * times
+            self.plan.append((times, {int(k): int(config[k]) for k in np.flatnonzero(config)}))
+
+    def round_off(self, solution: list[tuple[np.ndarray, float]], least: int) -> None:
+        for config, n in solution:
+            self.use(config, max(least, int(n)))
+
+    def best_fit(self) -> None:
+        """Longest first; each sequence takes the longest piece that fits, and is repeated while counts allow."""
+        while self.left.any():
+            config = filled(np.zeros_like(self.left), self.left)
+            some = config > 0
+            self.use(config, max(1, int((self.left[some] // config[some]).min())))
+
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.plan)
+
+
+def solve(histogram: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(how many sequences, {length: copies}) covering ``histogram`` (counts by length, index 0 unused) exactly."""
+    cover, sizes = Cover(histogram.astype(np.int64)), np.arange(len(histogram))
+    if cover.left[capacity]:
+        whole = np.zeros_like(cover.left)
+        whole[capacity] = 1
+        cover.use(whole, int(cover.left[capacity]))
+    for _ in range(LEVELS):
+        before = int(cover.left.sum())
+        if cover.left @ sizes <= FEW * capacity:
+            break
+        cover.round_off(fractions(cover.left, capacity, knapsack, ROUNDS), 0)
+        if cover.left.sum() > 0.9 * before:
+            break
+    rest, other = Cover(cover.left), Cover(cover.left)
+    other.best_fit()
+    if cover.left @ sizes <= FEW * capacity:  # fractions below 1 are taken whole
+        while rest.left.any():
+            rest.round_off(fractions(rest.left, capacity, bounded_knapsack, FEW_ROUNDS), 1)
+            if rest.sequences() >= other.sequences():
+                break
+    return cover.plan + (other if rest.left.any() else rest).plan
 
 
 PLAN = "length long, first long, last long, sequence long, per long, offset long"
@@ -155,7 +206,7 @@ def pack(pieces: DataFrame, root: str, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with ``length``) with ``sequence_id`` and ``offset``. ``pieces`` must be a written table.
 
     The chunk of a piece depends on its row alone, so retried tasks number alike. The plan's size depends on
-    ``capacity`` only (below ``4 * capacity`` rows of six numbers), which is what bounds the broadcast.
+    ``capacity`` only (it is held to ``PLAN_ROWS * capacity`` rows of six numbers), which is what bounds the broadcast.
     """
     spark = pieces.sparkSession
     chunks = int(max(8, pieces.count() // 200_000 + 1))
@@ -165,6 +216,8 @@ def pack(pieces: DataFrame, root: str, capacity: int = CAPACITY) -> DataFrame:
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
         histogram[length] = n
     rows = placement(solve(histogram, capacity))
+    if len(rows) > PLAN_ROWS * capacity:
+        raise ValueError(f"a plan of {len(rows)} rows is too large to broadcast")
     plan = spark.createDataFrame(rows, PLAN)
     before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
     own = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "row", "ids_crc32")
