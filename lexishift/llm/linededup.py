@@ -47,12 +47,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: st
     hits = marks.join(frequent, ["a", "b"]).filter(F.col("_id") < F.col("keeper"))
     drops = hits.groupBy("_id", "_th").agg(F.collect_set("pos").alias("_dropped"))
 
-    out = docs.select("*", *ident).join(drops, ["_id", "_th"], "left")
-    lines = F.split(t, "\n", -1)
-    out = out.withColumn("_lines", lines).withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
+    own = [c for c in docs.columns if c not in ("_lines", "_dropped", "_kept_text")]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), t.alias("_text"), *ident).join(drops, ["_id", "_th"], "left")
+    out = out.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(every, F.col("_dropped")), lambda p: F.get(F.col("_lines"), p))
-    return out.withColumn("_kept_text", F.when(F.size("_dropped") == 0, t).otherwise(F.array_join(kept, "\n"))).drop("_id", "_th")
+    return out.select("_row.*", "_lines", "_dropped", F.when(F.size("_dropped") == 0, F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("_kept_text"))
 
 
 def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars", **limits) -> DataFrame:

@@ -12,7 +12,8 @@ Patterns are written so that one scan is linear: a run of characters is entered
 where the last match ended, ``\G``), and quantifiers are possessive where the next character decides anyway.
 
 Defined results: a null text counts as empty (no spans); a null ``doc_id`` stays null; repeated rows give
-repeated results; an empty table gives an empty result; other columns are kept.
+repeated results; an empty table gives an empty result; other columns are kept, but for one named ``_spans`` by
+:func:`find_spans`.
 """
 
 from __future__ import annotations

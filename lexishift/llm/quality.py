@@ -3,8 +3,8 @@
 Every metric is a built-in Spark expression over one row, so nothing shuffles and nothing leaves the JVM.
 
 Defined results: a null text counts as empty (no words, no lines); a null ``doc_id`` stays null; repeated
-rows give repeated results; an empty table gives an empty result; other columns are ignored by
-:func:`verdicts` and kept by :func:`quality_filter`.
+rows give repeated results; an empty table gives an empty result; other columns are kept, but for one named
+``_verdict`` by :func:`verdicts`.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ class Rule:
     high: float | None = None
 
 
-#: The threshold table. The first two rules are the base; the others are the method's own verdict.
-BASE_RULES = (Rule("enough_words", "n_words", low=50),)
+#: The threshold table: the base, and the method's own verdict.
+BASE_RULES = (Rule("enough_words", "n_words", low=50), Rule("repeated_words", "repeat_ratio", high=0.5))
 RULES = (
     Rule("mean_word_length", "mean_word_length", low=1.5, high=20.0),
     Rule("symbols_per_word", "symbols_per_word", high=0.25),
@@ -105,6 +105,7 @@ def rule_columns(q: Column) -> dict[str, Column]:
         "symbols_per_word": per("n_symbols", "n_words"),
         "stop_word_ratio": per("n_stop_words", "n_words"),
         "dup_line_ratio": per("n_dup_lines", "n_lines"),
+        "repeat_ratio": per("n_repeat_words", "n_words"),
         "alpha_ratio": per("n_alpha_words", "n_words"),
     }
 
@@ -125,7 +126,7 @@ def verdicts(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with a struct ``_verdict``: ``metrics``, ``base_failed`` and ``kept``."""
 
     def judge(q: Column) -> Column:
-        failed = ~compile_rules(BASE_RULES, q) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+        failed = ~compile_rules(BASE_RULES, q)
         return F.struct(q.alias("metrics"), failed.alias("base_failed"), (~failed & compile_rules(rules, q)).alias("kept"))
 
     return docs.withColumn("_verdict", let(metrics_of(F.coalesce(F.col(text), F.lit(""))), judge))

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (tests), a fresh one is set and used."""
+    """The session's checkpoint folder. Where none is set, a local session (as in tests) gets one; a cluster must name its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lexishift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") if "://" in root or not root.startswith("/") else "file://" + root.rstrip("/")
