@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW, UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -115,14 +115,16 @@ def is_c_like(locale: Column) -> Column:
 
 
 def string_name(text: Column) -> Column:
-    """``U+0057`` for one character, four digits at least."""
+    """``U+0057`` for one character, four digits at least; ``bytes F0 AB`` for several."""
     h = F.hex(F.ascii(text))
-    return F.concat(F.lit("U+"), F.when(F.length(h) < 4, F.lpad(h, 4, "0")).otherwise(h))
+    one = F.concat(F.lit("U+"), F.when(F.length(h) < 4, F.lpad(h, 4, "0")).otherwise(h))
+    return F.when(F.length(text) == 1, one).otherwise(F.concat(F.lit("bytes "), F.rtrim(F.regexp_replace(F.hex(F.encode(text, "utf-8")), "(..)", "$1 "))))
 
 
 def parse_string_name(name: Column) -> Column:
-    """the character that ``U+XXXX`` names."""
-    return F.decode(F.unhex(F.lpad(F.regexp_extract(name, "^U[+]([0-9A-F]+)$", 1), 8, "0")), "utf-32")
+    """the string that ``U+XXXX`` or ``bytes XX XX`` names."""
+    one = F.decode(F.unhex(F.lpad(F.regexp_extract(name, "^U[+]([0-9A-F]+)$", 1), 8, "0")), "utf-32")
+    return F.when(name.startswith("bytes "), F.decode(F.unhex(F.replace(F.substring(name, 7, 2**31 - 1), F.lit(" "), F.lit(""))), "utf-8")).otherwise(one)
 
 
 def decode_hex(h: Column, encoding: str) -> Column:
@@ -130,18 +132,54 @@ def decode_hex(h: Column, encoding: str) -> Column:
     return F.decode(F.unhex(h), encoding)
 
 
-# Codesets (normalised), the encoding each means to a server, and what a server can do with it.
-ENCODINGS = (("utf8", "UTF8", "multibyte"), ("iso88591", "LATIN1", "single byte"), ("iso885915", "LATIN9", "single byte"), ("eucjp", "EUC_JP", "multibyte"), ("euckr", "EUC_KR", "multibyte"), ("sjis", "SJIS", "client only"), ("big5", "BIG5", "client only"), ("gbk", "GBK", "client only"), ("gb18030", "GB18030", "client only"))
+# Encodings of a server, what each is to it, and the codesets that mean it.
+ENCODING_TABLE = """
+EUC_JP multibyte EUC-JP eucJP IBM-eucJP sdeckanji CP20932
+EUC_CN multibyte EUC-CN eucCN IBM-eucCN GB2312 dechanzi CP20936
+EUC_KR multibyte EUC-KR eucKR IBM-eucKR deckorean 5601 CP51949
+EUC_TW multibyte EUC-TW eucTW IBM-eucTW cns11643
+UTF8 multibyte UTF-8 utf8 CP65001
+LATIN1 single ISO-8859-1 ISO8859-1 iso88591 CP28591
+LATIN2 single ISO-8859-2 ISO8859-2 iso88592 CP28592
+LATIN3 single ISO-8859-3 ISO8859-3 iso88593 CP28593
+LATIN4 single ISO-8859-4 ISO8859-4 iso88594 CP28594
+LATIN5 single ISO-8859-9 ISO8859-9 iso88599 CP28599
+LATIN6 single ISO-8859-10 ISO8859-10 iso885910
+LATIN7 single ISO-8859-13 ISO8859-13 iso885913
+LATIN8 single ISO-8859-14 ISO8859-14 iso885914
+LATIN9 single ISO-8859-15 ISO8859-15 iso885915 CP28605
+LATIN10 single ISO-8859-16 ISO8859-16 iso885916
+KOI8R single KOI8-R CP20866
+KOI8U single KOI8-U CP21866
+WIN866 single CP866
+WIN874 single CP874
+WIN1250 single CP1250
+WIN1251 single CP1251 ansi-1251
+WIN1252 single CP1252
+WIN1253 single CP1253
+WIN1254 single CP1254
+WIN1255 single CP1255
+WIN1256 single CP1256
+WIN1257 single CP1257
+WIN1258 single CP1258
+ISO_8859_5 single ISO-8859-5 ISO8859-5 iso88595 CP28595
+ISO_8859_6 single ISO-8859-6 ISO8859-6 iso88596 CP28596
+ISO_8859_7 single ISO-8859-7 ISO8859-7 iso88597 CP28597
+ISO_8859_8 single ISO-8859-8 ISO8859-8 iso88598 CP28598
+SQL_ASCII single US-ASCII
+- client SJIS PCK CP932 SHIFT_JIS BIG5 BIG5HKSCS Big5-HKSCS CP950 GBK CP936 UHC CP949 JOHAB CP1361 GB18030 CP54936 SJIS_2004
+"""
+CODESETS = [(c, None if e == "-" else e, {"single": "single byte", "client": "client only"}.get(k, k)) for e, k, *names in map(str.split, ENCODING_TABLE.strip().splitlines()) for c in names]
 
 
-def server_encoding(codeset: Column) -> tuple[Column, Column]:
-    """(encoding, class) of a normalised codeset; null and ``unknown`` for others."""
-    name, kind = F.lit(None).cast("string"), F.lit("unknown")
-    for c, n, k in ENCODINGS:
-        name, kind = F.when(codeset == c, n).otherwise(name), F.when(codeset == c, k).otherwise(kind)
-    return name, kind
+def server_encoding(df: DataFrame, codeset: str) -> DataFrame:
+    """``df`` with encoding and class of a codeset, whatever its case; no encoding and ``unknown`` for others. The mapping is a small table."""
+    known = df.sparkSession.createDataFrame([(c.upper(), e, k) for c, e, k in {c.upper(): (c, e, k) for c, e, k in CODESETS}.values()], "_c string, encoding string, class string")
+    return df.join(F.broadcast(known), F.upper(codeset) == F.col("_c"), "left").drop("_c").withColumn("class", F.coalesce("class", F.lit("unknown")))
 
 
 def case_map(col: Column, lower: str, upper: str, to: str) -> Column:
-    """``col`` in lower or upper case under a side's one-to-one pairs."""
+    """``col`` in lower, upper or initial capital case under a side's one-to-one pairs."""
+    if to == "initcap":
+        return F.concat(F.translate(F.substring(col, 1, 1), lower, upper), F.translate(F.substring(col, 2, 2**31 - 1), upper, lower))
     return F.translate(col, upper, lower) if to == "lower" else F.translate(col, lower, upper)

@@ -100,10 +100,17 @@ def block_skip_loss(df: DataFrame, stats: DataFrame, block: str, lo: str, hi: st
 
 
 def prefix_sweep(df: DataFrame, stats: DataFrame, block: str, length: int, p: Profile, col: str = "w") -> DataFrame:
-    """Per prefix how many of its rows lie in blocks whose range now leaves them out."""
+    """B20 for the range of every prefix: rows with the prefix that lie in blocks which skipping for its range would not read.
+
+    A prefix's range goes from its least to its greatest key now; a block is read if its own range [lo, hi] meets that. Rows
+    are counted by (block, prefix) before anything is joined.
+    """
     k = key(F.col(col), p)
-    met = df.join(stats, block).withColumn("lost", (k < key(F.col("lo"), p)) | (k > key(F.col("hi"), p)))
-    return met.groupBy(F.substring(col, 1, length).alias("prefix")).agg(F.count_if("lost").alias("n_lost"), F.count("*").alias("n")).filter("n_lost > 0")
+    held = df.groupBy(block, F.substring(col, 1, length).alias("prefix")).agg(F.count("*").alias("n"), F.min(k).alias("_a"), F.max(k).alias("_b"))
+    ranges = held.groupBy("prefix").agg(F.min("_a").alias("_from"), F.max("_b").alias("_to"))
+    edges = stats.select(block, key(F.col("lo"), p).alias("_l"), key(F.col("hi"), p).alias("_h"))
+    met = held.select(block, "prefix", "n").join(ranges, "prefix").join(edges, block).withColumn("lost", (F.col("_h") < F.col("_from")) | (F.col("_l") > F.col("_to")))
+    return met.groupBy("prefix").agg(F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("n_lost"), F.sum("n").alias("n")).filter("n_lost > 0")
 
 
 def histogram(df: DataFrame, p: Profile, n: int) -> DataFrame:
@@ -141,9 +148,9 @@ def first_rows(df: DataFrame, n: int, p: Profile) -> DataFrame:
 
 
 def best_rank(hits: DataFrame, obj: str = "obj") -> DataFrame:
-    """Of an object's hits those of the best rank, labels joined."""
-    least = Window.partitionBy(obj)
-    return hits.withColumn("_m", F.min("rank").over(least)).filter("rank = _m").groupBy(obj, "rank").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
+    """Of an object's hits those of the best rank, labels joined. Equal labels combine before the shuffle, and an object's few ranks after it."""
+    per = hits.groupBy(obj, "rank").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
+    return per.groupBy(obj).agg(F.min(F.struct("rank", "labels")).alias("_b")).select(obj, "_b.rank", "_b.labels")
 
 
 def class_violations(df: DataFrame, outside: DataFrame, col: str = "w") -> DataFrame:

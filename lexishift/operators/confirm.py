@@ -27,14 +27,29 @@ def completeness(tests: DataFrame, answers: DataFrame, on: list[str]) -> DataFra
     return d.filter("asked <> 1 or given <> 1").withColumn("problem", F.when(F.col("asked") == 0, "extra").when(F.col("given") == 0, "missing").otherwise("duplicate"))
 
 
-def verdict(like: DataFrame, side: str) -> DataFrame:
-    """V3: one row: confirmed if every answer is like ``side``, else refused and why."""
-    counts = [F.count_if(F.col("like") == k).alias(k) for k in ("old", "new", "both", "neither")]
-    d, want, off = like.agg(F.count("*").alias("n"), *counts), F.col(side), F.col("new" if side == "old" else "old")
-    return d.select(
-        "n", "old", "new", "both", "neither",
-        F.when(F.col("n") == 0, "refused: no answers").when(want + F.col("both") == F.col("n"), "confirmed").when(off + F.col("both") == F.col("n"), "refused: like the other side").when(F.col("neither") == F.col("n"), "refused: like neither").otherwise("refused: mixed").alias("verdict"),
-    )
+def verdict(like: DataFrame) -> DataFrame:
+    """V3: (n, state, reasons) of what two sides answered, from (side, like): confirmed, or refused with every reason.
+
+    The old side must answer like old and the new side like new; answers like both tell nothing, so each side needs one that does.
+    """
+    count = lambda side, k: F.count_if((F.col("side") == side) & (F.col("like") == k)).alias(f"{side}_{k}")
+    d = like.agg(F.count("*").alias("n"), *[count(s, k) for s in ("old", "new") for k in ("old", "new", "both", "neither")])
+    c, reasons = F.col, []
+    for side in ("old", "new"):
+        other = "new" if side == "old" else "old"
+        told, off = c(f"{side}_{side}"), c(f"{side}_{other}")
+        reasons += [
+            F.when(told + off + c(f"{side}_both") + c(f"{side}_neither") == 0, f"no answers of the {side} side"),
+            F.when((told + off + c(f"{side}_neither") == 0) & (c(f"{side}_both") > 0), f"no answer of the {side} side tells the sides apart"),
+            F.when(c(f"{side}_neither") > 0, f"the {side} side has answers like neither"),
+            F.when((told > 0) & (off > 0), f"the {side} side is mixed"),
+        ]
+    all_off = lambda side, other: (c(f"{side}_{other}") > 0) & (c(f"{side}_{side}") == 0)
+    swapped, both_old, both_new = all_off("old", "new") & all_off("new", "old"), all_off("new", "old") & ~all_off("old", "new"), all_off("old", "new") & ~all_off("new", "old")
+    reasons += [F.when(swapped, "the sides are swapped"), F.when(both_old & (c("old_old") > 0), "both sides answer like old"), F.when(both_new & (c("new_new") > 0), "both sides answer like new")]
+    reasons += [F.when(both_old & (c("old_old") == 0), "the new side answers like old"), F.when(both_new & (c("new_new") == 0), "the old side answers like new")]
+    found = F.array_compact(F.array(*reasons))
+    return d.select("n", F.when(F.size(found) == 0, "confirmed").otherwise("refused").alias("state"), F.array_join(found, "; ").alias("reasons"))
 
 
 def verdict_counts(found: DataFrame, column: str, domain: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexishift.operators.rules import both_sides, short_hash
+from lexishift.operators.rules import both_sides, sum_hash
 
 # Character classes and their patterns.
-CLASSES = (("alpha", r"^\p{L}$"), ("upper", r"^\p{Lu}$"), ("lower", r"^\p{Ll}$"), ("digit", r"^[0-9]$"), ("space", r"^[ \t\n\r]$"), ("punct", r"^\p{P}$"))
+CLASSES = (("alpha", r"^\p{L}$"), ("upper", r"^\p{Lu}$"), ("lower", r"^\p{Ll}$"), ("digit", r"^[0-9]$"), ("space", r"^[ \t\n\r]$"), ("punct", r"^\p{P}$"), ("alnum", r"^[\p{L}0-9]$"), ("print", r"^[^\p{C}\t\n\r]$"), ("graph", r"^[^\p{C}\p{Z}\t\n\r]$"), ("xdigit", r"^[0-9A-Fa-f]$"))
 
 
 def char_class(c: Column) -> Column:
@@ -24,7 +24,7 @@ def characters(df: DataFrame, col: str) -> DataFrame:
 def ctype_blocks(ctype: DataFrame, width: int = 4096) -> DataFrame:
     """(side, block, digest, n) of all answers of a block of code points."""
     answer = F.concat_ws("|", F.col("cp").cast("string"), "lower", "classes")
-    return ctype.groupBy("side", F.floor(F.col("cp") / width).cast("int").alias("block")).agg(F.sum(short_hash(answer)).alias("digest"), F.count("*").alias("n"))
+    return ctype.groupBy("side", F.floor(F.col("cp") / width).cast("int").alias("block")).agg(sum_hash(answer).alias("digest"), F.count("*").alias("n"))
 
 
 def changed_blocks(blocks: DataFrame) -> DataFrame:

@@ -1,31 +1,44 @@
 """Orders compared: ranks, violations, inversions, ties and digests without a single-task sort.
 
-A global rank takes bounds from a sample of keys (at most ``BUCKETS``, whatever the input), a window within each
-bucket, and an offset from the table of bucket counts. Running maxima and minima work alike.
+A global rank takes bounds from a sample of keys, a window within each bucket, and an offset from the table of bucket
+counts. Buckets follow the number of rows; running maxima and minima work alike.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexishift.functions.keys import Profile, key, levels
 
-BUCKETS, SAMPLE = 200, 4000
+#: Rows a bucket holds about in large and in small tables, buckets that a table of middle size has, and sampled keys a bound.
+ROWS, FEW_ROWS, BUCKETS, SAMPLE = 200_000, 2000, 200, 20
 
 
 def bucketed(df: DataFrame, k: str) -> DataFrame:
-    """``df`` with ``_bucket``: which of at most BUCKETS ranges of column ``k`` a row lies in."""
+    """``df`` with ``_bucket``: which range of column ``k`` a row lies in; null keys are range -1.
+
+    A range holds about ``ROWS`` rows of a large table, so the bounds (sampled keys; ranks stay exact) grow with the rows as one in
+    ``ROWS``. Rows find their range by binary search, a batch at a time.
+    """
     n = df.count()
-    keys = sorted(r[0] for r in df.select(k).filter(F.col(k).isNotNull()).sample(min(1.0, SAMPLE / max(1, n)), seed=7).limit(4 * SAMPLE).collect())  # a bounded sample
-    parts = min(BUCKETS, max(1, n // 2000))
-    bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(k))) if bounds else F.lit(0)
-    return df.withColumn("_bucket", F.when(F.col(k).isNull(), -1).otherwise(at))
+    parts = max(1, n // ROWS, min(BUCKETS, n // FEW_ROWS))
+    if parts == 1:
+        return df.withColumn("_bucket", F.when(F.col(k).isNull(), -1).otherwise(0))
+    keys = sorted(r[0] for r in df.select(k).filter(F.col(k).isNotNull()).sample(min(1.0, SAMPLE * parts / n), seed=7).collect())  # SAMPLE keys a range
+    bounds = np.array(sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else [], object if df.schema[k].dataType.simpleString() == "string" else None)
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.where(x.isna(), -1, np.searchsorted(bounds, x.where(~x.isna(), bounds[0] if len(bounds) else x), "right")))
+
+    return df.withColumn("_bucket", place(k))
 
 
 def _before(per: DataFrame, total: Column, name: str) -> DataFrame:
-    """Per bucket the aggregate of all earlier buckets: a table of at most BUCKETS rows."""
+    """Per bucket the aggregate of all earlier buckets: a table of a row a bucket."""
     return per.withColumn(name, total.over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("_bucket", name)
 
 
@@ -102,11 +115,16 @@ def ties(df: DataFrame, p: Profile, col: str = "w", depth: int = 1) -> DataFrame
 
 
 def order_digest(df: DataFrame, p: Profile, block: int = 1000) -> DataFrame:
-    """One hash of an order: of the hashes of its blocks of ``block`` strings."""
-    placed = rank(df, key(F.col("w"), p)).withColumn("b", F.floor((F.col("rank") - 1) / block))
-    rows = F.array_sort(F.collect_list(F.struct("rank", "w")))
-    hashed = placed.groupBy("b").agg(F.md5(F.array_join(F.transform(rows, lambda x: x["w"]), ",")).alias("h"))
-    return hashed.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")).alias("digest"))
+    """One hash of an order: of the hashes of its blocks of ``block`` strings, in as many levels as leave one."""
+    held = rank(df, key(F.col("w"), p)).select((F.col("rank") - 1).alias("at"), "w")
+    n = held.count()
+    while True:
+        rows = F.array_sort(F.collect_list(F.struct("at", "w")))
+        held = held.groupBy(F.floor(F.col("at") / block).alias("at")).agg(F.md5(F.array_join(F.transform(rows, lambda x: x["w"]), ",")).alias("w"))
+        n = -(-n // block)
+        if n <= block:
+            last = F.array_sort(F.collect_list(F.struct("at", "w")))  # ``block`` rows at most
+            return held.agg(F.md5(F.array_join(F.transform(last, lambda x: x["w"]), ",")).alias("digest"))
 
 
 def runs(df: DataFrame, col: str = "cp") -> DataFrame:

@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def short_hash(text: Column) -> Column:
-    """32 bits of an MD5, as a number that sums."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def sum_hash(text: Column) -> Column:
+    """An aggregate that names a multiset of strings: both halves of their MD5s, each summed exactly (so it combines before a shuffle)."""
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(text), at, 16), 16, 10).cast("decimal(20,0)"))
+    return F.concat_ws(":", half(1).cast("string"), half(17).cast("string"))
 
 
 def rules_digest(rules: DataFrame) -> DataFrame:
     """L1: (side, locale, digest, n) over statements with their place; file and line are left out. The digest is a sum, so a locale
     with a third of all statements combines before the shuffle."""
-    return rules.groupBy("side", "locale").agg(F.sum(short_hash(F.concat_ws("|", F.col("seq").cast("string"), "stmt"))).alias("digest"), F.count("*").alias("n"))
+    return rules.groupBy("side", "locale").agg(sum_hash(F.concat_ws("|", F.col("seq").cast("string"), "stmt")).alias("digest"), F.count("*").alias("n"))
 
 
 def both_sides(df: DataFrame, on: list[str]) -> DataFrame:
@@ -79,7 +80,7 @@ def inventory_diff(names: DataFrame, renames: DataFrame) -> DataFrame:
 
 def charmap_delta(charmap: DataFrame) -> DataFrame:
     """Code points with other bytes, added or removed. Charmaps whose digests agree are left out before ranges are expanded."""
-    digest = charmap.groupBy("side", "charmap").agg(F.sum(short_hash(F.concat_ws("|", "lo", "hi", "bytes"))).alias("d"))
+    digest = charmap.groupBy("side", "charmap").agg(sum_hash(F.concat_ws("|", "lo", "hi", "bytes")).alias("d"))
     differ = both_sides(digest, ["charmap"]).filter(~F.col("old_d").eqNullSafe(F.col("new_d"))).select("charmap")
     wide = charmap.join(differ, "charmap", "left_semi").select("side", "charmap", F.explode(F.sequence("lo", "hi")).alias("cp"), "bytes")
     d = both_sides(wide, ["charmap", "cp"]).filter(~F.col("old_bytes").eqNullSafe(F.col("new_bytes")))

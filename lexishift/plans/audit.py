@@ -15,6 +15,7 @@ from lexishift.operators import order as O
 from lexishift.operators import rules as L
 from lexishift.sources import corpus as S
 
+settled = S.settled
 OLD, NEW = P["vw_old"], P["vw_new"]
 BOUNDS = [("lo", None, "vz"), ("hi", "vz", None)]
 Q: dict[str, tuple] = {}
@@ -58,13 +59,9 @@ STORED = f"s as (select w, ko, kn, case when ko < {lit('vz', OLD)} then 'lo' els
 TOK = "select unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from "
 
 
-@query("s1_corpus", None)
+@query("s1_corpus", "select doc_id::int as id, (['v', 'V', 'w', 'W'])[doc_id % 4 + 1] || chr((97 + (doc_id // 4) % 26)::int) || chr((97 + (doc_id // 104) % 26)::int) || repeat('0', greatest(0, 3 - length((doc_id // 2704)::varchar))::int) || (doc_id // 2704)::varchar as w from (select distinct doc_id from documents)")
 def s1(spark, sf):
-    n = S.table(spark, sf, "documents").count()
-    return S.corpus(spark, 20 * n).select("id", "w")
-
-
-Q["s1_corpus"] = (s1, "with n as (select 20 * count(*) as n from documents), i as (select unnest(range((select n from n))) as id) select id::int as id, (['v','w','va','wa','vi','wi','vo','wo'])[id % 8 + 1] || chr((97 + (id // 8) % 26)::int) || chr((97 + (id // 208) % 26)::int) || (id // 5408)::varchar as w from i")
+    return S.corpus(S.table(spark, sf, "documents").select(F.col("doc_id").alias("id")).distinct())
 
 
 @query("s2_words", cte() + " select w from words")
@@ -96,9 +93,9 @@ def f3(spark, sf):
     return words(spark, sf).select("w", F.size(keys.elements(F.col("w"))).alias("n"))
 
 
-@query("f6_byte_order", cte() + " select w from words order by w limit 1000")
+@query("f6_byte_order", cte() + " select w, row_number() over (order by w) as rank from words")
 def f6(spark, sf):
-    return words(spark, sf).orderBy("w").limit(1000)
+    return O.rank(settled(words(spark, sf)), key(F.col("w"), P["bytes"]))
 
 
 @query("f7_sign", cte() + f" select w, case when ko < {lit('vind', OLD)} then '<' when ko > {lit('vind', OLD)} then '>' else '=' end as o, case when kn < {lit('vind', NEW)} then '<' when kn > {lit('vind', NEW)} then '>' else '=' end as n from k")
@@ -130,9 +127,10 @@ def f11(spark, sf):
     return n.withColumn("back", keys.parse_string_name(F.col("name")) == F.col("c"))
 
 
-@query("f12_decode_hex", cte() + " select w, true as same from words")
+@query("f12_decode_hex", cte() + " select w, w as latin, w as utf, strlen(w)::int as n_misread from words")
 def f12(spark, sf):
-    return words(spark, sf).select("w", (keys.decode_hex(F.hex(F.encode("w", "utf-8")), "utf-8") == F.col("w")).alias("same"))
+    hexed = lambda enc: F.hex(F.encode("w", enc))
+    return words(spark, sf).select("w", keys.decode_hex(hexed("iso-8859-1"), "iso-8859-1").alias("latin"), keys.decode_hex(hexed("utf-8"), "utf-8").alias("utf"), F.length(keys.decode_hex(hexed("utf-8"), "iso-8859-1")).alias("n_misread"))
 
 
 CLASS_SQL = "concat_ws(',', " + ", ".join(f"case when regexp_matches(c, '{p}') then '{n}' end" for n, p in C.CLASSES) + ")"
@@ -148,9 +146,11 @@ def f15(spark, sf):
     return stored(spark, sf).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("f16_c_like", NAMES + "select name, 'exposed' as exposure from n")
+@query("f16_c_like", "select distinct name, case when name in ('C', 'POSIX') or regexp_matches(name, '^[Cc][.]') then 'byte order' else 'exposed' end as exposure from (select case doc_id % 6 when 0 then 'C' when 1 then 'POSIX' when 2 then 'c.utf8' when 3 then 'C.' || lang when 4 then 'Ca_' || lang else lang end as name from documents)")
 def f16(spark, sf):
-    return names(spark, sf).withColumn("exposure", keys.is_c_like(F.col("name")))
+    i, lang = F.col("doc_id") % 6, F.col("lang")
+    name = F.when(i == 0, "C").when(i == 1, "POSIX").when(i == 2, "c.utf8").when(i == 3, F.concat(F.lit("C."), lang)).when(i == 4, F.concat(F.lit("Ca_"), lang)).otherwise(lang)
+    return S.table(spark, sf, "documents").select(name.alias("name")).distinct().withColumn("exposure", keys.is_c_like(F.col("name")))
 
 
 @query("r1_range_filter", cte() + f" select w from k where ko >= {lit('va', OLD)} and ko < {lit('vz', OLD)}")
@@ -186,22 +186,22 @@ def r7(spark, sf):
 
 @query("o1_rank", cte(RANKS) + " select w, old_rank as rank from r")
 def o1(spark, sf):
-    return O.rank(words(spark, sf).persist(), key(F.col("w"), OLD))
+    return O.rank(settled(words(spark, sf)), key(F.col("w"), OLD))
 
 
 @query("o2_rank_diff", cte(RANKS) + " select bool_and(old_rank = new_rank) as same, count(*) filter (old_rank <> new_rank) as n_differ, count(*) as n from r")
 def o2(spark, sf):
-    return O.rank_diff(words(spark, sf).persist(), OLD, NEW)
+    return O.rank_diff(settled(words(spark, sf)), OLD, NEW)
 
 
 @query("o4_violations", cte(PREV) + " select prev, w from n where pn > kn")
 def o4(spark, sf):
-    return O.order_violations(words(spark, sf).persist(), OLD, NEW)
+    return O.order_violations(settled(words(spark, sf)), OLD, NEW)
 
 
 @query("o5_inversions", cte(RANKS, "p as (select w, old_rank, new_rank, max(new_rank) over (order by old_rank rows between unbounded preceding and 1 preceding) as hi, min(new_rank) over (order by old_rank desc rows between unbounded preceding and 1 preceding) as lo from r)") + " select w, old_rank, new_rank from p where hi > new_rank or lo < new_rank")
 def o5(spark, sf):
-    return O.inversion_participants(words(spark, sf).persist(), OLD, NEW).drop("witness")
+    return O.inversion_participants(settled(words(spark, sf)), OLD, NEW).drop("witness")
 
 
 def _level_sql(p, a: str, b: str) -> str:
@@ -211,12 +211,12 @@ def _level_sql(p, a: str, b: str) -> str:
 
 @query("o6_told_apart", cte(PREV) + f" select {_level_sql(OLD, 'prev', 'w')} as level, count(*) as n from n where prev is not null group by 1")
 def o6(spark, sf):
-    return O.told_apart(O.neighbours(words(spark, sf).persist(), OLD), OLD).groupBy("level").agg(F.count("*").alias("n"))
+    return O.told_apart(O.neighbours(settled(words(spark, sf)), OLD), OLD).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query("o7_told_apart_diff", cte(PREV) + f" select prev, w, {_level_sql(OLD, 'prev', 'w')} as old_level, {_level_sql(NEW, 'prev', 'w')} as new_level from n where prev is not null and {_level_sql(OLD, 'prev', 'w')} <> {_level_sql(NEW, 'prev', 'w')}")
 def o7(spark, sf):
-    return O.told_apart_diff(words(spark, sf).persist(), OLD, NEW)
+    return O.told_apart_diff(settled(words(spark, sf)), OLD, NEW)
 
 
 @query("o8_ties", cte(f"t as (select {levels_sql('w', OLD)[0]} as x, count(*) as n from words group by 1 having count(*) > 1)") + " select coalesce(sum(n), 0)::bigint as n_tied, count(*) as n_classes, coalesce(max(n), 0)::bigint as largest from t")
@@ -226,12 +226,16 @@ def o8(spark, sf):
 
 @query("o9_digest", cte(RANKS, "h as (select (old_rank - 1) // 1000 as b, md5(string_agg(w, ',' order by old_rank)) as h from r group by 1)") + " select md5(string_agg(h, ',' order by b)) as digest from h")
 def o9(spark, sf):
-    return O.order_digest(words(spark, sf).persist(), OLD)
+    return O.order_digest(settled(words(spark, sf)), OLD)
 
 
-@query("o10_witnesses", None)
+@query(
+    "o10_witnesses",
+    cte(RANKS, "p as (select w, old_rank, new_rank, max(new_rank) over u as hi, arg_max(w, new_rank) over u as hw, min(new_rank) over d as lo, arg_min(w, new_rank) over d as lw from r window u as (order by old_rank rows between unbounded preceding and 1 preceding), d as (order by old_rank desc rows between unbounded preceding and 1 preceding))", "f as (select w as a, case when hi > new_rank then hw else lw end as b, hi > new_rank as before from p where hi > new_rank or lo < new_rank)")
+    + " select a, b, case when before then '>' else '<' end as o, case when before then '<' else '>' end as n, true as opposite from f",
+)
 def o10(spark, sf):
-    found = O.inversion_participants(words(spark, sf).persist(), OLD, NEW).select(F.col("w").alias("a"), F.col("witness").alias("b"))
+    found = O.inversion_participants(settled(words(spark, sf)), OLD, NEW).select(F.col("w").alias("a"), F.col("witness").alias("b"))
     return found.withColumn("o", keys.sign(F.col("a"), F.col("b"), OLD)).withColumn("n", keys.sign(F.col("a"), F.col("b"), NEW)).withColumn("opposite", F.col("o") != F.col("n"))
 
 
@@ -291,7 +295,7 @@ def b10(spark, sf):
 
 @query("b12_stale_positions", cte(RANKS) + " select w, old_rank as stored, new_rank as now from r where old_rank <> new_rank")
 def b12(spark, sf):
-    return B.stale_positions(words(spark, sf).persist(), OLD, NEW)
+    return B.stale_positions(settled(words(spark, sf)), OLD, NEW)
 
 
 @query("b13_subset_drift", cte() + f" select ko < {lit('vz', OLD)} as stored, kn < {lit('vz', NEW)} as now, count(*) as n from k group by 1, 2")
@@ -325,11 +329,11 @@ def b18(spark, sf):
     return B.fk_blocked_deletes(words(spark, sf), tokens(spark, sf, "conversations"), "w")
 
 
-DOCW = f"dw as (select doc_id % 64 as block, w, {key_sql('w', OLD)} as ko, {key_sql('w', NEW)} as kn from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents) where w between 'u' and 'z'), st as (select block, min_by(w, ko) as lo, max_by(w, ko) as hi from dw group by block)"
+DOCW = f"dw as (select doc_id % 64 as block, w, {key_sql('w', OLD)} as ko, {key_sql('w', NEW)} as kn from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents)), st as (select block, min_by(w, ko) as lo, max_by(w, ko) as hi from dw group by block)"
 
 
 def blocked(spark, sf):
-    return S.tokens(S.table(spark, sf, "documents").select((F.col("doc_id") % 64).alias("block"), "text"), "text").filter("w between 'u' and 'z'")
+    return S.tokens(S.table(spark, sf, "documents").select((F.col("doc_id") % 64).alias("block"), "text"), "text")
 
 
 @query("b19_block_stats", f"with {DOCW} select block, lo, hi from st")
@@ -343,7 +347,10 @@ def b20(spark, sf):
     return B.block_skip_loss(d, B.block_stats(d, "block", OLD), "block", "w", "wz", NEW).select("block", "w")
 
 
-@query("b21_prefix_sweep", f"with {DOCW}, m as (select substring(w, 1, 2) as prefix, kn < {key_sql('lo', NEW)} or kn > {key_sql('hi', NEW)} as lost from dw join st on st.block = dw.block) select prefix, count(*) filter (lost) as n_lost, count(*) as n from m group by prefix having count(*) filter (lost) > 0")
+@query(
+    "b21_prefix_sweep",
+    f"with {DOCW}, h as (select block, substring(w, 1, 2) as prefix, count(*) as n, min(kn) as a, max(kn) as b from dw group by 1, 2), g as (select prefix, min(a) as a, max(b) as b from h group by 1), e as (select block, {key_sql('lo', NEW)} as l, {key_sql('hi', NEW)} as h from st) select prefix, sum(case when e.h < g.a or e.l > g.b then h.n else 0 end)::bigint as n_lost, sum(h.n)::bigint as n from h join g using (prefix) join e using (block) group by prefix having sum(case when e.h < g.a or e.l > g.b then h.n else 0 end) > 0",
+)
 def b21(spark, sf):
     d = blocked(spark, sf)
     return B.prefix_sweep(d, B.block_stats(d, "block", OLD), "block", 2, NEW)
@@ -351,12 +358,12 @@ def b21(spark, sf):
 
 @query("b22_histogram", cte(RANKS, "t as (select count(*) as n from r), g as (select distinct 1 + (i * ((select n from t) - 1)) // 20 as p from (select unnest(range(21)) as i))") + " select old_rank as rank, w from r where old_rank in (select p from g)")
 def b22(spark, sf):
-    return B.histogram(words(spark, sf).persist(), OLD, 20)
+    return B.histogram(settled(words(spark, sf)), OLD, 20)
 
 
 RULES = """with b as (select source as locale, doc_id as seq, lang || ' ' || (n_chars % 97) as stmt, n_chars % 11 as c, doc_id % 13 = 0 as steers from documents),
 rules as (select 'old' as side, * from b where locale <> 'src3' union all select 'new', locale, seq, case when seq % 31 = 0 and locale in ('src1', 'src5') then stmt || '!' else stmt end, c, steers from b where locale <> 'src4'),
-dg as (select side, locale, sum(('0x' || substring(md5(seq || '|' || stmt), 1, 8))::bigint)::bigint as d, count(*) as n from rules group by 1, 2)
+dg as (select side, locale, sum(('0x' || substring(md5(seq || '|' || stmt), 1, 16))::ubigint::hugeint)::varchar || ':' || sum(('0x' || substring(md5(seq || '|' || stmt), 17, 16))::ubigint::hugeint)::varchar as d, count(*) as n from rules group by 1, 2)
 """
 
 
@@ -386,13 +393,18 @@ def l3(spark, sf):
     return out.select("locale", "every_rule", F.array_join(F.array_sort(F.transform("chars", lambda c: c.cast("string"))), ",").alias("chars"))
 
 
-EDGES = "e as (select distinct source as src, 'src' || ((substring(source, 4)::int * 7 + 3) % 20) as dst from documents where source like 'src%')"
+NUMBER = "coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int), length(source))"
+EDGES = f"e as (select distinct source as src, 'src' || (({NUMBER} * 7 + 3) % 20) as dst from documents)"
+
+
+def edges(spark, sf):
+    """A copy graph over all sources of the documents."""
+    return S.table(spark, sf, "documents").select(F.col("source").alias("src"), F.concat(F.lit("src"), ((F.expr(NUMBER) * 7 + 3) % 20).cast("string")).alias("dst")).distinct()
 
 
 @query("l4_closure", f"with recursive {EDGES}, c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
 def l4(spark, sf):
-    s = S.table(spark, sf, "documents").filter("source like 'src%'")
-    return L.closure(s.select(F.col("source").alias("src"), F.concat(F.lit("src"), ((F.substring("source", 4, 9).cast("int") * 7 + 3) % 20).cast("string")).alias("dst")).distinct())
+    return L.closure(edges(spark, sf))
 
 
 @query("l7_inventory", RULES + "select coalesce(o.locale, n.locale) as name, case when o.locale is null then 'added' when o.locale = 'src4' then 'renamed to src3' else 'removed' end as status from (select distinct locale from rules where side = 'old') o full join (select distinct locale from rules where side = 'new') n on o.locale = n.locale where o.locale is null or n.locale is null")
@@ -426,11 +438,10 @@ def l10(spark, sf):
     return L.delta_hits(L.charmap_delta(charmap(spark, sf)), S.table(spark, sf, "documents").select(F.col("source").alias("name"), lo.alias("lo"), (lo + 40).alias("hi")).distinct())
 
 
-@query("l16_strongest", "select source, min_by(s, r) as state from (select source, case doc_id % 4 when 0 then 'changed' when 1 then 'transliteration' when 2 then 'not compared' else 'transliteration not compared' end as s, doc_id % 4 as r from documents where doc_id % 20 <> 0) group by source")
+@query("l16_strongest", "select source, min_by(s, r) as state from (select source, case doc_id % 4 when 0 then 'changed' when 1 then 'transliteration' when 2 then 'not compared' else 'transliteration not compared' end as s, doc_id % 4 as r from documents) group by source")
 def l16(spark, sf):
-    d = S.table(spark, sf, "documents").filter("doc_id % 20 <> 0")
     k = F.col("doc_id") % 4
-    return L.strongest_state(d.select("source", F.when(k == 0, "changed").when(k == 1, "transliteration").when(k == 2, "not compared").otherwise("transliteration not compared").alias("state")))
+    return L.strongest_state(S.table(spark, sf, "documents").select("source", F.when(k == 0, "changed").when(k == 1, "transliteration").when(k == 2, "not compared").otherwise("transliteration not compared").alias("state")))
 
 
 @query("l20_group_alike", RULES + ", " + STATE + " select state, string_agg(distinct locale, ',' order by locale) as names from st group by state")
@@ -439,14 +450,14 @@ def l20(spark, sf):
 
 
 CTYPE = f"""with ch as (select distinct unnest(string_split(text, '')) as c from documents), o as (select unicode(c)::int as cp, c, translate(c, '{keys.UP}', '{keys.LOW}') as lower, {CLASS_SQL} as classes from ch where c <> ''),
-n as (select cp, c, case when c = 'É' then 'é' else lower end as lower, case when classes = 'punct' and c in ('.', '|') then 'space' else classes end as classes from o),
+n as (select cp, c, case when c = 'É' then 'é' else lower end as lower, case when classes = 'punct,print,graph' and c in ('.', '-') then 'space' else classes end as classes from o),
 df as (select o.cp, o.c, case when o.classes <> n.classes then o.classes || ' -> ' || n.classes else 'other lower case' end as change from o join n on n.cp = o.cp where o.lower <> n.lower or o.classes <> n.classes)
 """
 
 
 def ctype(spark, sf):
     o = C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp"), "c", F.translate("c", keys.UP, keys.LOW).alias("lower"), C.char_class(F.col("c")).alias("classes"))
-    n = o.withColumn("lower", F.when(F.col("c") == "É", "é").otherwise(F.col("lower"))).withColumn("classes", F.when((F.col("classes") == "punct") & F.col("c").isin(".", "|"), "space").otherwise(F.col("classes")))
+    n = o.withColumn("lower", F.when(F.col("c") == "É", "é").otherwise(F.col("lower"))).withColumn("classes", F.when((F.col("classes") == "punct,print,graph") & F.col("c").isin(".", "-"), "space").otherwise(F.col("classes")))
     return o.withColumn("side", F.lit("old")).unionByName(n.withColumn("side", F.lit("new")))
 
 
@@ -480,28 +491,53 @@ def c7(spark, sf):
     return L.attribute_diff(L.rules_digest(rules(spark, sf)), "locale", "n")
 
 
-VTESTS = cte("t as (select w as a, 'vind' as b, ko, kn from k where w like 'v%' or w like 'w%')") + f", u as (select a, b, case when ko < {lit('vind', OLD)} then '<' when ko > {lit('vind', OLD)} then '>' else '=' end as o, case when kn < {lit('vind', NEW)} then '<' when kn > {lit('vind', NEW)} then '>' else '=' end as n from t)"
+VTESTS = cte(f"u as (select w as a, 'vind' as b, case when ko < {lit('vind', OLD)} then '<' when ko > {lit('vind', OLD)} then '>' else '=' end as o, case when kn < {lit('vind', NEW)} then '<' when kn > {lit('vind', NEW)} then '>' else '=' end as n from k)")
 
 
 def tests(spark, sf):
-    d = words(spark, sf).filter("w like 'v%' or w like 'w%'").select(F.col("w").alias("a"), F.lit("vind").alias("b"))
+    """Every word against one, with the signs of both sides."""
+    d = words(spark, sf).select(F.col("w").alias("a"), F.lit("vind").alias("b"))
     return d.withColumn("o", keys.sign(F.col("a"), F.col("b"), OLD)).withColumn("n", keys.sign(F.col("a"), F.col("b"), NEW))
 
 
-@query("v1_likeness", VTESTS + " select a, case when o = n then 'both' else 'new' end as \"like\" from u")
+@query("v1_likeness", VTESTS + ", w as (select *, case length(a) % 5 when 0 then o when 1 then '?' else n end as answer from u) select a, case when answer = o and answer = n then 'both' when answer = o then 'old' when answer = n then 'new' else 'neither' end as \"like\" from w")
 def v1(spark, sf):
-    return V.likeness(V.answer_tests(tests(spark, sf), NEW)).select("a", "like")
+    k, t = F.length("a") % 5, tests(spark, sf)
+    return V.likeness(t.withColumn("answer", F.when(k == 0, F.col("o")).when(k == 1, "?").otherwise(F.col("n")))).select("a", "like")
 
 
-@query("v2_completeness", VTESTS + " select a, 1::bigint as asked, 0::bigint as given, 'missing' as problem from u where a < 'w'")
+@query("v2_completeness", VTESTS + " select a, 1::bigint as asked, case when length(a) % 5 = 0 then 0 else 2 end::bigint as given, case when length(a) % 5 = 0 then 'missing' else 'duplicate' end as problem from u where length(a) % 5 < 2 union all select a || '#', 0, 1, 'extra' from u where length(a) % 5 = 2")
 def v2(spark, sf):
-    t = tests(spark, sf)
-    return V.completeness(t, V.answer_tests(t, NEW).filter("not a < 'w'"), ["a"])
+    t, k = tests(spark, sf), F.length("a") % 5
+    given = V.answer_tests(t, NEW).select("a")
+    twice = F.explode(F.when(k == 0, F.array()).when(k == 1, F.array("a", "a")).when(k == 2, F.array(F.col("a"), F.concat("a", F.lit("#")))).otherwise(F.array("a")))
+    return V.completeness(t, given.select(twice.alias("a")), ["a"])
+
+
+@query("v5_answer_tests", VTESTS + " select a, b, n as answer from u")
+def v5(spark, sf):
+    return V.answer_tests(tests(spark, sf), NEW).select("a", "b", "answer")
 
 
-@query("v3_verdict", VTESTS + " select count(*) as n, 0::bigint as old, count(*) filter (o <> n) as new, count(*) filter (o = n) as both, 0::bigint as neither, 'confirmed' as verdict from u")
+@query(
+    "v3_verdict",
+    VTESTS
+    + ", d as (select count(*) as m, count(*) filter (o <> n) as t from u), s as (select unnest(['as they are', 'swapped', 'both old', 'both new', 'unknown', 'only old']) as case_) "
+    + "select case_ as \"case\", case when case_ = 'only old' then m else 2 * m end as n, case when case_ = 'as they are' and t > 0 then 'confirmed' else 'refused' end as state, "
+    + "case case_ when 'as they are' then '' when 'swapped' then 'the sides are swapped' when 'both old' then 'both sides answer like old' when 'both new' then 'both sides answer like new' when 'unknown' then 'the new side has answers like neither' else 'no answers of the new side' end as reasons from s, d",
+)
 def v3(spark, sf):
-    return V.verdict(V.likeness(V.answer_tests(tests(spark, sf), NEW)), "new")
+    t = settled(tests(spark, sf))
+    out = None
+    for case, old, new in (("as they are", "o", "n"), ("swapped", "n", "o"), ("both old", "o", "o"), ("both new", "n", "n"), ("unknown", "o", None), ("only old", "o", None)):
+        sides = [("old", old)] + ([("new", new)] if case != "only old" else [])
+        like = None
+        for side, column in sides:
+            one = V.likeness(t.withColumn("answer", F.col(column) if column else F.lit("?"))).select(F.lit(side).alias("side"), "like")
+            like = one if like is None else like.unionByName(one)
+        row = V.verdict(like).withColumn("case", F.lit(case))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("p1_verdict_counts", RULES + ", " + STATE + " select d.state, count(st.state) as n from (select unnest(['same', 'differs', 'not compared', 'gone']) as state) d left join st on st.state = d.state group by d.state")

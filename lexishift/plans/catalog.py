@@ -12,15 +12,15 @@ from lexishift.operators import confirm as V
 from lexishift.operators import ctype as C
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
-from lexishift.plans.audit import BOUNDS, DBS, EDGES, NAMES, NEW, OLD, RANKS, RULES, STATE, STORED, cte, databases, lit, names, query, rules, stored, words
+from lexishift.plans.audit import BOUNDS, CTYPE, DBS, EDGES, NEW, OLD, RANKS, RULES, STATE, STORED, ctype, cte, databases, edges, lit, query, rules, settled, stored, words
 from lexishift.sources import corpus as S
 
 LOW, UP = keys.LOW + "àéèêçäöüóíñ", keys.UP + "ÀÉÈÊÇÄÖÜÓÍÑ"
 
 
-@query("o3_named_pairs", cte("p as (select a.w as a, b.w as b, a.ko < b.ko as old, a.kn < b.kn as new from k a join k b on b.w = substring(a.w, 2))") + " select a, b, old, new from p")
+@query("o3_named_pairs", f"with words as (select distinct unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents), p as (select a.w as a, b.w as b from words a join words b on b.w = substring(a.w, 2)) select a, b, {key_sql('a', OLD)} < {key_sql('b', OLD)} as old, {key_sql('a', NEW)} < {key_sql('b', NEW)} as new from p")
 def o3(spark, sf):
-    w = words(spark, sf)
+    w = settled(words(spark, sf))
     return O.named_pairs(w, w.select(F.col("w").alias("a"), F.expr("substring(w, 2)").alias("b")), OLD, NEW)
 
 
@@ -30,7 +30,7 @@ def _digest(name: str, p) -> str:
 
 @query("o12_controls", cte(*[_digest(n, P[p]) for n, p in (("b", "bytes"), ("o", "vw_old"), ("n", "vw_new"), ("c", "ch_old"), ("d", "same"))], "f as (select b.d <> o.d as unlike_bytes, c.d = d.d as control_same, o.d <> n.d as moved from b, o, n, c, d)") + " select *, case when not unlike_bytes or not control_same then 'void' when moved then 'differs' else 'same' end as verdict from f")
 def o12(spark, sf):
-    return O.controls(words(spark, sf).persist(), OLD, NEW, (P["ch_old"], P["same"]), P["bytes"])
+    return O.controls(settled(words(spark, sf)), OLD, NEW, (P["ch_old"], P["same"]), P["bytes"])
 
 
 def _before(bound: str, p) -> str:
@@ -65,7 +65,7 @@ def b11(spark, sf):
     + " select old_rank, w, coalesce(pr > new_rank, false) as out_of_order, coalesce(n_expected, 0) as n_expected, case when st > 0 then st else 0 end as n_now from h",
 )
 def b23(spark, sf):
-    return B.histogram_check(words(spark, sf).persist(), OLD, NEW, 20)
+    return B.histogram_check(settled(words(spark, sf)), OLD, NEW, 20)
 
 
 THREE = f"m as (select 'in ' || part as metric, 'A' as state, count(*) as v from s group by part union all select 'in ' || part, 'B', count(*) from s group by part union all select 'in ' || case when kn < {lit('vz', NEW)} then 'lo' else 'hi' end, 'C', count(*) from s group by 1 union all select 'misplaced', 'A', 0 union all select 'misplaced', 'B', count(*) from s where part <> case when kn < {lit('vz', NEW)} then 'lo' else 'hi' end union all select 'misplaced', 'C', 0)"
@@ -83,31 +83,26 @@ def b24(spark, sf):
     return B.three_state(out)
 
 
-def edges(spark, sf):
-    s = S.table(spark, sf, "documents").filter("source like 'src%'")
-    return s.select(F.col("source").alias("src"), F.concat(F.lit("src"), ((F.substring("source", 4, 9).cast("int") * 7 + 3) % 20).cast("string")).alias("dst")).distinct()
-
-
 @query("l5_roots", f"with recursive {EDGES}, ro as (select distinct source as root from documents where source in ('src2', 'src4', 'src9')), c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src where c.dst not in (select root from ro)) select src, dst as root from c where dst in (select root from ro)")
 def l5(spark, sf):
     roots = S.table(spark, sf, "documents").filter("source in ('src2', 'src4', 'src9')").select(F.col("source").alias("root")).distinct()
     return L.nearest_roots(edges(spark, sf), roots)
 
 
-@query("l8_alias_expand", "with n as (select distinct lang || '_' || upper(lang) as name from documents where lang in ('en', 'de')), a as (select distinct source as alias from documents where doc_id % 3 = 0 and lang in ('en', 'de')) select name, true as listed from n union all select alias, false from a")
+@query("l8_alias_expand", "with n as (select distinct lang || '_' || upper(lang) as name from documents where lang in ('en', 'de')), a as (select distinct source as alias from documents where lang in ('en', 'de')) select name, true as listed from n union all select alias, false from a")
 def l8(spark, sf):
     d, name = S.table(spark, sf, "documents"), F.concat("lang", F.lit("_"), F.upper("lang"))
-    aliases = d.filter("doc_id % 3 = 0").select(F.col("source").alias("alias"), F.concat(name, F.lit(".UTF-8")).alias("locale")).distinct()
+    aliases = d.select(F.col("source").alias("alias"), F.concat(name, F.lit(".UTF-8")).alias("locale")).distinct()
     return L.alias_expand(d.filter("lang in ('en', 'de')").select(name.alias("name")).distinct(), aliases, keys.locale_source(F.col("locale")))
 
 
 @query(
     "l11_affected_builds",
-    f"with recursive {EDGES}, c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src), bu as (select distinct source, lang as charmap from documents), re as (select src, dst from c union select source, source from bu), hi as (select distinct lang as charmap, source as file, n_chars % 50 as cp from documents where doc_id % 17 = 0) select bu.source, bu.charmap, count(distinct cp) as n_chars, string_agg(distinct dst, ',' order by dst) as via from bu join re on re.src = bu.source join hi on hi.file = re.dst and hi.charmap = bu.charmap group by 1, 2",
+    f"with recursive {EDGES}, c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src), bu as (select distinct source, lang as charmap from documents), re as (select src, dst from c union select source, source from bu), hi as (select distinct lang as charmap, source as file, n_chars % 50 as cp from documents) select bu.source, bu.charmap, count(distinct cp) as n_chars, string_agg(distinct dst, ',' order by dst) as via from bu join re on re.src = bu.source join hi on hi.file = re.dst and hi.charmap = bu.charmap group by 1, 2",
 )
 def l11(spark, sf):
     d = S.table(spark, sf, "documents")
-    hits = d.filter("doc_id % 17 = 0").select(F.col("lang").alias("charmap"), F.col("source").alias("file"), (F.col("n_chars") % 50).alias("cp"))
+    hits = d.select(F.col("lang").alias("charmap"), F.col("source").alias("file"), (F.col("n_chars") % 50).alias("cp"))
     return L.affected_builds(d.select("source", F.col("lang").alias("charmap")), edges(spark, sf), hits)
 
 
@@ -124,16 +119,25 @@ def l19(spark, sf):
     return L.charmap_of(S.table(spark, sf, "documents").select(F.concat(F.lit("cs"), F.floor(F.col("doc_id") / 2).cast("string")).alias("codeset"), F.col("source").alias("file")))
 
 
-@query("f10_server_encoding", NAMES + ", b as (select distinct lower(regexp_replace(regexp_extract(name, '^[^.]*[.]([^@]*)', 1), '[^A-Za-z0-9]', '', 'g')) as b from n), c as (select case when regexp_matches(b, '^[0-9]+$') then 'iso' || b else b end as codeset from b) select codeset, case codeset when 'utf8' then 'UTF8' when 'iso88591' then 'LATIN1' end as encoding, case codeset when 'utf8' then 'multibyte' when 'iso88591' then 'single byte' else 'unknown' end as class from c")
+_CODES = ", ".join(f"({keys.quoted(c)}, {keys.quoted(e) if e else 'null'}, {keys.quoted(k)})" for c, e, k in keys.CODESETS)
+
+
+@query("f10_server_encoding", f"with m(c, e, k) as (values {_CODES}), u as (select distinct upper(c) as c, e, k from m), l as (select [{', '.join(keys.quoted(c) for c, _, _ in keys.CODESETS)}] as all_), d as (select distinct case when doc_id % {len(keys.CODESETS) + 1} = 0 then lang else lower(all_[doc_id % {len(keys.CODESETS) + 1}]) end as codeset from documents, l) select codeset, e as encoding, coalesce(k, 'unknown') as class from d left join u on u.c = upper(d.codeset)")
 def f10(spark, sf):
-    c = names(spark, sf).select(keys.normalize_codeset(F.col("name")).alias("codeset")).distinct()
-    encoding, kind = keys.server_encoding(F.col("codeset"))
-    return c.select("codeset", encoding.alias("encoding"), kind.alias("class"))
+    at = (F.col("doc_id") % (len(keys.CODESETS) + 1)).cast("int")
+    named = F.lower(F.try_element_at(F.array(*[F.lit(c) for c, _, _ in keys.CODESETS]), at))
+    codes = S.table(spark, sf, "documents").select(F.when(at == 0, F.col("lang")).otherwise(F.when(at > 0, named)).alias("codeset")).distinct()
+    return keys.server_encoding(codes, "codeset")
 
 
-@query("f14_case_map", cte() + f" select w, translate(w, '{UP}', '{LOW}') as lower, translate(w, '{LOW}', '{UP}') as upper from words")
+@query("f14_case_map", cte() + f" select w, translate(w, '{UP}', '{LOW}') as lower, translate(w, '{LOW}', '{UP}') as upper, translate(substring(w, 1, 1), '{LOW}', '{UP}') || translate(substring(w, 2), '{UP}', '{LOW}') as initcap from words")
 def f14(spark, sf):
-    return words(spark, sf).select("w", keys.case_map(F.col("w"), LOW, UP, "lower").alias("lower"), keys.case_map(F.col("w"), LOW, UP, "upper").alias("upper"))
+    return words(spark, sf).select("w", *[keys.case_map(F.col("w"), LOW, UP, to).alias(to) for to in ("lower", "upper", "initcap")])
+
+
+@query("c1_ctype_blocks", CTYPE + ", b as (select 'old' as side, cp, lower, classes from o union all select 'new', cp, lower, classes from n), m as (select side, cp // 4096 as block, md5(cp || '|' || lower || '|' || classes) as h from b) select side, block::int as block, sum(('0x' || substring(h, 1, 16))::ubigint::hugeint)::varchar || ':' || sum(('0x' || substring(h, 17, 16))::ubigint::hugeint)::varchar as digest, count(*) as n from m group by 1, 2")
+def c1(spark, sf):
+    return C.ctype_blocks(ctype(spark, sf).drop("c"))
 
 
 @query("v4_version_check", DBS + "select case when recorded_version is null or actual_version is null then 'unknown' when recorded_version = actual_version then 'equal' else 'differs' end as status, count(*) as n from d group by 1")

@@ -12,13 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, n: int) -> DataFrame:
-    """N distinct words (id, w) from mixed-radix digits: a stem, two letters and a number."""
-    stems = F.array(*[F.lit(s) for s in ("v", "w", "va", "wa", "vi", "wi", "vo", "wo")])
-    return spark.range(n).select(
-        F.col("id").cast("int").alias("id"),
-        F.concat(F.element_at(stems, (F.col("id") % 8 + 1).cast("int")), F.char(97 + F.floor(F.col("id") / 8) % 26), F.char(97 + F.floor(F.col("id") / 208) % 26), F.floor(F.col("id") / 5408).cast("string")).alias("w"),
-    )
+# The stems of the generated words, the radix of each letter, and how many words share a number.
+STEMS, LETTERS, PER_NUMBER = ("v", "V", "w", "W"), 26, 2704
+# The seven readable words.
+READABLE = ("va", "Vasa", "vind", "vz", "wa", "Wasa", "wind")
+
+
+def corpus(ids: DataFrame) -> DataFrame:
+    """(id, w), a distinct word for each number ``id``, by mixed-radix digits: a stem, two letters and a number of three digits or more."""
+    i = F.col("id")
+    letter = lambda n: F.char(97 + F.floor(i / n) % LETTERS)
+    number = F.floor(i / PER_NUMBER).cast("string")
+    return ids.select(i.cast("int").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, STEMS)), (i % 4 + 1).cast("int")), letter(4), letter(104), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias("w"))
 
 
 def tokens(df: DataFrame, col: str) -> DataFrame:
@@ -27,8 +32,9 @@ def tokens(df: DataFrame, col: str) -> DataFrame:
 
 
 def words(df: DataFrame, col: str = "text") -> DataFrame:
-    """The distinct words of a text column."""
-    return tokens(df.select(col), col).distinct()
+    """The distinct words of a text column. A word is taken from its count's row, so that filters on keys stay above the
+    aggregate: keys are built once a word, not once a token."""
+    return tokens(df.select(col), col).groupBy("w").agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.col("w")).alias("w"))
 
 
 def codepoints(spark: SparkSession) -> DataFrame:
@@ -41,6 +47,12 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, encoding string, locale string").csv(path, sep="|", mode="FAILFAST")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the session's checkpoint folder, for plans that read it several times. Where no folder is set (tests), ``df`` itself."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 ANSWER_KINDS = ("header", "test", "collation", "gone", "end")
 
 
@@ -53,12 +65,18 @@ def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_rows_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated rows; ``#`` lines are comments and the trailer ``# rows N`` must state how many there are."""
+    """Tab-separated rows; ``#`` lines are comments and the trailer ``# rows N groups M`` must state how many rows and how
+    many values of the first column there are (``groups M`` may be missing)."""
     lines = spark.read.text(path)
-    body = lines.filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t"))
-    told, found, wide = lines.agg(F.max(F.regexp_extract("value", "^# rows ([0-9]+)$", 1)), F.count_if(~F.col("value").startswith("#")), F.count_if(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) != len(columns)))).first()
-    if not told or int(told) != found or wide:
-        raise ValueError(f"{path}: the trailer states {told or 'no'} rows, {found} were read, {wide} of another width")
+    row = ~F.col("value").startswith("#")
+    body = lines.filter(row).withColumn("f", F.split("value", "\t"))
+    trailer = "^# rows ([0-9]+)(?: groups ([0-9]+))?$"
+    told, groups, found, wide, met = lines.agg(
+        F.max(F.regexp_extract("value", trailer, 1)), F.max(F.regexp_extract("value", trailer, 2)), F.count_if(row), F.count_if(row & (F.size(F.split("value", "\t")) != len(columns))),
+        F.count_distinct(F.when(row, F.split("value", "\t")[0])),
+    ).first()
+    if not told or int(told) != found or wide or groups and int(groups) != met:
+        raise ValueError(f"{path}: the trailer states {told or 'no'} rows and {groups or 'no'} groups, {found} and {met} were read, {wide} rows of another width")
     return body.select(*[F.col("f")[i].alias(c) for i, c in enumerate(columns)])
 
 

@@ -40,11 +40,45 @@ def test_ranks_violations_and_inversions(seven):
 
 
 def test_bucketed_ranks_equal_a_plain_sort(spark):
-    df = S.corpus(spark, 9000)
+    df = S.corpus(spark.range(9000))
+    assert O.bucketed(df, "w").select("_bucket").distinct().count() == 4
     got = [r.w for r in O.rank(df, key(F.col("w"), OLD)).orderBy("rank").collect()]
     assert got == [r.w for r in df.orderBy(key(F.col("w"), OLD)).collect()] and len(set(got)) == 9000
 
 
+@pytest.fixture(scope="module")
+def published(spark):
+    """The corpus of 20,000 words, and the seven readable ones."""
+    words = S.corpus(spark.range(20000)).select("w")
+    return words, words.unionByName(spark.createDataFrame([(w,) for w in S.READABLE], "w string"))
+
+
+def test_published_numbers(published):
+    words, every = published
+    below = lambda df, p: df.filter(key(F.col("w"), p) < key(F.lit("vz"), p)).count()
+    assert words.distinct().count() == 20000 and (below(words, OLD), below(words, NEW)) == (19232, 9616) and below(every, OLD) == 19238
+    stored = every.withColumn("part", B.route(F.col("w"), audit.BOUNDS, OLD))
+    assert B.misplaced(stored, audit.BOUNDS, NEW).count() == 9619
+    fixed = B.repartition_fix(stored, audit.BOUNDS, NEW)
+    assert B.misplaced(fixed, audit.BOUNDS, NEW).count() == 0 and {r.part: r["count"] for r in stored.groupBy("part").count().collect()} == {"lo": 19238, "hi": 769}
+    checked = words.filter(key(F.col("w"), OLD) < key(F.lit("vz"), OLD))
+    assert B.check_violations(checked, key(F.col("w"), NEW) < key(F.lit("vz"), NEW)).count() == 9616
+    generated = words.withColumn("bucket", bucket_expr(F.col("w"), "vz", OLD))
+    assert B.stale(generated, "bucket", bucket_expr(F.col("w"), "vz", NEW)).count() == 9616
+    drift = {r.status: r.n for r in B.range_drift(every, "wa", "wb", OLD, NEW).collect()}
+    assert (drift["stay"], drift["stay"] + drift["leave"]) == (388, 775) and "enter" not in drift
+    inside = lambda p, lo, hi: words.filter((key(F.col("w"), p) >= key(F.lit(lo), p)) & (key(F.col("w"), p) < key(F.lit(hi), p))).count()
+    assert [inside(p, "wa", "wb") for p in (OLD, NEW)] == [772, 386] and [inside(p, "vfx", "vfxzzz") for p in (OLD, NEW)] == [28, 14]
+    # the control: a profile against itself moves nothing
+    assert O.rank_diff(words, NEW, P["same"]).first().same and B.misplaced(words.withColumn("part", B.route(F.col("w"), audit.BOUNDS, NEW)), audit.BOUNDS, P["same"]).count() == 0
+
+
+def test_digest_has_as_many_levels_as_it_needs(spark):
+    df, other = S.corpus(spark.range(300)), S.corpus(spark.range(1, 301))
+    one = lambda d: O.order_digest(d, OLD, 5).first().digest
+    assert one(df) == one(df.repartition(7)) != one(other)
+
+
 def test_nulls_are_neither_misplaced_nor_violations(spark):
     df = spark.createDataFrame([("wa", "lo"), (None, None), ("va", "lo")], "w string, part string")
     assert [r.w for r in B.misplaced(df, audit.BOUNDS, NEW).collect()] == ["wa"]
@@ -66,9 +100,16 @@ def test_missing_sides_are_not_compared(spark):
 
 def test_verdicts(spark, seven):
     tests = seven.select(F.col("w").alias("a"), F.lit("vind").alias("b")).withColumn("o", sign(F.col("a"), F.col("b"), OLD)).withColumn("n", sign(F.col("a"), F.col("b"), NEW))
-    assert V.verdict(V.likeness(V.answer_tests(tests, NEW)), "new").first().verdict == "confirmed"
-    assert V.verdict(V.likeness(V.answer_tests(tests, OLD)), "new").first().verdict == "refused: like the other side"
-    assert V.verdict(V.likeness(V.answer_tests(tests.limit(0), OLD)), "new").first().verdict == "refused: no answers"
+    like = lambda side, t, p: V.likeness(V.answer_tests(t, p)).select(F.lit(side).alias("side"), "like")
+    judged = lambda old, new: tuple(V.verdict(old.unionByName(new)).select("state", "reasons").first())
+    assert judged(like("old", tests, OLD), like("new", tests, NEW)) == ("confirmed", "")
+    assert judged(like("old", tests, NEW), like("new", tests, OLD)) == ("refused", "the sides are swapped")
+    assert judged(like("old", tests, OLD), like("new", tests, OLD)) == ("refused", "both sides answer like old")
+    assert judged(like("old", tests, OLD), like("new", tests.limit(0), NEW)) == ("refused", "no answers of the new side")
+    alike = tests.filter("o = n")
+    assert judged(like("old", alike, OLD), like("new", alike, NEW)) == ("refused", "no answer of the old side tells the sides apart; no answer of the new side tells the sides apart")
+    mixed = like("new", tests.filter("o <> n"), OLD).unionByName(like("new", tests, NEW))
+    assert judged(like("old", tests, OLD), mixed) == ("refused", "the new side is mixed")
 
 
 def test_closure_with_a_cycle(spark):
@@ -80,9 +121,29 @@ def test_strict_reader_refuses_a_short_file(spark, tmp_path):
     f = tmp_path / "rows.tsv"
     f.write_text("# comment\na\tb\nc\td\n# rows 2\n")
     assert S.read_rows_tsv(spark, str(f), ["x", "y"]).count() == 2
-    f.write_text("# comment\na\tb\n# rows 2\n")
-    with pytest.raises(ValueError):
-        S.read_rows_tsv(spark, str(f), ["x", "y"])
+    f.write_text("# comment\na\tb\nc\td\n# rows 2 groups 2\n")
+    assert S.read_rows_tsv(spark, str(f), ["x", "y"]).count() == 2
+    for bad in ("# comment\na\tb\n# rows 2\n", "a\tb\na\td\n# rows 2 groups 2\n", "a\tb\tc\n# rows 1\n", "a\tb\n"):
+        f.write_text(bad)
+        with pytest.raises(ValueError):
+            S.read_rows_tsv(spark, str(f), ["x", "y"])
+
+
+def test_readers_and_findings(spark, tmp_path):
+    (tmp_path / "catalog").write_text("sv_SE|UTF8|sv_SE.utf8\nC||C\n")
+    assert [(r.name, r.encoding, r.locale) for r in S.read_catalog(spark, str(tmp_path / "catalog")).collect()] == [("sv_SE", "UTF8", "sv_SE.utf8"), ("C", None, "C")]
+    (tmp_path / "answers").write_text("header|x\ntest|1|sv_FI|>|old\nnoise\nend|1\n")
+    typed, rest = S.read_answers(spark, str(tmp_path / "answers"))
+    assert [r.kind for r in typed.collect()] == ["header", "test", "end"] and [r.value for r in rest.collect()] == ["noise"]
+    found = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "pair string, x int")
+    S.write_findings(found, str(tmp_path / "out"))
+    assert {(r.pair, r.n) for r in spark.read.parquet(str(tmp_path / "out/counts")).collect()} == {("a", 2), ("b", 1)} and spark.read.parquet(str(tmp_path / "out/findings")).count() == 3
+
+
+def test_sources_split_and_names_of_several_characters(spark):
+    df = spark.createDataFrame([("W",), ("é漢",)], "s string")
+    assert [r.n for r in df.select(string_name(F.col("s")).alias("n")).collect()] == ["U+0057", "bytes C3 A9 E6 BC A2"]
+    assert [r.b for r in df.select(parse_string_name(string_name(F.col("s"))).alias("b")).collect()] == ["W", "é漢"]
 
 
 def test_a_void_control_is_no_answer(seven):
