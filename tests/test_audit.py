@@ -10,7 +10,9 @@ from lexishift.operators import breakage as B
 from lexishift.operators import confirm as V
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
-from lexishift.plans import audit, catalog
+from lexishift.operators import exposure as E
+from lexishift.operators import measured as M
+from lexishift.plans import audit, catalog, exposure, measured
 from lexishift.sources import corpus as S
 
 SF = "/root/testdata/sf0.001"
@@ -167,6 +169,83 @@ def test_empty_tables(spark):
     assert empty.withColumn("b", bucket_expr(F.col("w"), "vz", OLD)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def catalogs(spark):
+    databases = spark.createDataFrame([(1, "c", "sv_SE", "sv_SE"), (2, "i", "C", "C"), (3, "c", "C", "C")], "db int, provider string, datcollate string, datctype string")
+    rows = [(db, *c) for db in (1, 2, 3) for c in ((100, "default", "d", None, None), (1, "sv_SE", "c", "sv_SE", "sv_SE"), (2, "C", "c", "C", "C"), (3, "half", "c", "C", "sv_SE"), (4, "icu", "i", None, None))]
+    return databases, E.library_collations(spark.createDataFrame(rows, "db int, oid int, label string, provider string, collcollate string, collctype string"), databases)
+
+
+def test_exposed_indexes_as_expected_in_both_directions(spark, catalogs):
+    databases, library = catalogs
+    # (db, index, method, computes, collation of its key, extension, json, tsvector, collations it reads) -> labels, None where it is not exposed
+    want = {
+        (1, "plain", "btree", False, 1, False, False, False, ()): "sv_SE", (1, "bytes", "btree", False, 2, False, False, False, ()): None, (1, "hashed", "hash", False, 1, False, False, False, ()): None,
+        (1, "hashed expression", "hash", True, 1, False, False, False, ()): "sv_SE", (1, "by default", "btree", False, 100, False, False, False, ()): "default", (2, "by default", "btree", False, 100, False, False, False, ()): None,
+        (1, "characters", "btree", False, 3, False, False, False, ()): None, (1, "characters computed", "btree", True, 3, False, False, False, ()): "half", (1, "trigram", "gin", False, 2, True, False, False, ()): "database LC_CTYPE sv_SE",
+        (3, "trigram", "gin", False, 2, True, False, False, ()): None, (1, "search", "gin", True, 0, False, False, True, ()): "database LC_CTYPE sv_SE", (1, "json", "btree", False, 0, False, True, False, ()): "default",
+        (1, "json gin", "gin", False, 0, False, True, False, ()): None, (1, "partial", "btree", True, 0, False, False, False, (1,)): "sv_SE", (1, "include", "btree", False, 2, False, False, False, (1,)): None, (1, "icu", "btree", False, 4, False, False, False, ()): None,
+    }
+    indexes = spark.createDataFrame([k[:4] for k in want], "db int, obj string, method string, computes boolean")
+    keys = spark.createDataFrame([(k[0], k[1], *k[4:8]) for k in want], "db int, obj string, colloid int, extension boolean, json boolean, tsvector boolean")
+    reads = spark.createDataFrame([(k[0], k[1], c) for k in want for c in k[8]], "db int, obj string, colloid int")
+    got = {(r.db, r.obj): r.labels for r in E.exposed_indexes(indexes, keys, reads, library, databases).collect()}
+    assert got == {k[:2]: v for k, v in want.items() if v}
+
+
+def test_exposed_checks_generated_and_views(spark, catalogs):
+    databases, library = catalogs
+    reads = spark.createDataFrame([(1, "a", 1, "t"), (1, "b", 2, "t"), (1, "c", 0, "u"), (3, "d", 2, "t"), (1, "e", 3, "v"), (1, "e", 2, "w")], "db int, obj string, colloid int, source string")
+    rows = lambda df: {(r.db, r.obj, r["rank"], r.labels) for r in df.collect()}
+    want = {(1, "a", 1, "sv_SE"), (1, "b", 2, "database LC_CTYPE sv_SE"), (1, "e", 1, "half")}
+    assert rows(E.exposed_checks(reads, library, databases)) == want
+    search = spark.createDataFrame([(1, "c", "u"), (3, "d", None)], "db int, obj string, source string")
+    assert rows(E.exposed_generated(reads, search.drop("source"), library, databases)) == want | {(1, "c", 2, "database LC_CTYPE sv_SE")}
+    assert {(r.obj, r.reads_from) for r in E.exposed_matviews(reads, search, library, databases).collect()} == {("a", "t"), ("b", "t"), ("c", "u"), ("e", "v")}
+
+
+def test_exposed_partitions(spark, catalogs):
+    databases, library = catalogs
+    keys = spark.createDataFrame([(1, "range", "r", False, 1, False, False), (1, "list", "l", False, 1, False, False), (1, "list of lower", "l", True, 1, False, False), (1, "citext", "h", False, 2, True, False), (1, "json", "r", False, 0, False, True)], "db int, obj string, strategy string, expression boolean, colloid int, extension boolean, json boolean")
+    children = spark.createDataFrame([(1, "range"), (1, "range")], "db int, obj string")
+    none = spark.createDataFrame([], "db int, obj string, colloid int")
+    got = {r.obj: (r.labels, r.partitions) for r in E.exposed_partitions(keys, none, children, library, databases).collect()}
+    assert got == {"range": ("sv_SE", 2), "list of lower": ("sv_SE", 0), "citext": ("database LC_CTYPE sv_SE", 0), "json": ("default", 0)}
+
+
+def test_byte_order_through_single_copies(spark):
+    one = lambda *w: spark.createDataFrame([(x,) for x in w], "locale string")
+    copies = spark.createDataFrame([("a", "C"), ("b", "a"), ("two", "C"), ("two", "a"), ("own", "C"), ("x", "y"), ("y", "x")], "src string, dst string")
+    assert {(r.locale, r.how, r.of) for r in M.byte_order(one("C"), copies, one("own")).collect()} == {("C", "declared", None), ("a", "by copy", "C"), ("b", "by copy", "a")}
+
+
+def test_common_builds_pair_renamed_entries_and_changed_charmaps(spark):
+    rows = [("old", "az.UTF-8", "az", "UTF-8"), ("new", "az", "az", "UTF-8"), ("old", "tt", "tt", "KOI8-T"), ("new", "tt", "tt", "UTF-8"), ("old", "gone", "gone", "UTF-8"), ("new", "fresh", "fresh", "UTF-8")]
+    got = M.common_builds(spark.createDataFrame(rows, "side string, entry string, source string, charmap string")).collect()
+    assert {tuple(r) for r in got} == {("az", "az.UTF-8", "az", "UTF-8", "UTF-8"), ("tt", "tt", "tt", "KOI8-T", "UTF-8")}
+
+
+def test_a_valid_report_has_no_violations(spark):
+    runs = spark.createDataFrame([("a", 0, 1, 3), ("a", 1, 5, 5), ("b", 0, 4, 2), ("c", 0, 1, 5), ("c", 1, 5, 6)], "locale string, seq int, first int, last int")
+    told = spark.createDataFrame([("a", 4), ("b", -1), ("c", 9)], "locale string, n int")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "locale string")
+    verdicts = spark.createDataFrame([("a", "changed"), ("b", "same"), ("c", "changed")], "locale string, verdict string")
+    good = lambda df: df.filter("locale = 'a'")
+    assert M.validate(good(runs), good(told), names("a"), good(verdicts)).count() == 0
+    got = {tuple(r) for r in M.validate(runs, told, names("a", "a", "b"), verdicts).collect()}
+    assert got == {("b", "empty run"), ("c", "run not after the one before"), ("c", "count differs"), ("c", "changed and in no group"), ("b", "in a group and not changed"), ("a", "in two groups")}
+
+
+def test_keys_from_a_table_equal_keys_from_literals(spark):
+    df = spark.createDataFrame([("Vasa",), ("",), (None,), ("wä漢",)], "w string")
+    chars = [(c,) for c in "Vaswä"]
+    from lexishift.functions.keys import levels
+
+    weights = spark.createDataFrame(chars, "element string").select("element", *[x.alias(n) for n, x in zip(("w1", "w2", "w3"), levels(F.col("element"), NEW), strict=True)])
+    rows = M.k_join(df, "w", weights).select("w", "key", key(F.col("w"), NEW).alias("k")).collect()
+    assert len(rows) == 4 and all(r.key == r.k for r in rows)
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -175,7 +254,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["b2_misplaced", "o2_rank_diff", "o5_inversions", "b21_prefix_sweep", "l2_compare_rules", "l9_charmap_delta", "c3_ctype_detail", "b16_admit", "o3_named_pairs", "b23_histogram_check", "b24_three_state", "l5_roots", "l11_affected_builds", "x1_collation_halves"])
+@pytest.mark.parametrize("name", ["b2_misplaced", "o2_rank_diff", "o5_inversions", "b21_prefix_sweep", "l2_compare_rules", "l9_charmap_delta", "c3_ctype_detail", "b16_admit", "o3_named_pairs", "b23_histogram_check", "b24_three_state", "l5_roots", "l11_affected_builds", "x1_collation_halves", "x2_exposed_indexes", "x4_exposed_partitions", "x6_exposed_matviews", "l14_translit_resolve", "p4_validate", "f2_k_join"])
 def test_query_against_duckdb(spark, duck, name):
     f, sql = audit.Q[name]
     got, want = f(spark, SF).toPandas(), duck.execute(sql).df()
