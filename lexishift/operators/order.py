@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexishift.functions.keys import Profile, key, levels
+from lexishift.sources.corpus import settled
 
 #: Rows a bucket holds about in large and in small tables, buckets that a table of middle size has, and sampled keys a bound.
 ROWS, FEW_ROWS, BUCKETS, SAMPLE = 200_000, 2000, 200, 20
@@ -79,7 +80,7 @@ def inversion_participants(df: DataFrame, old: Profile, new: Profile) -> DataFra
 
     Prefix maxima of the new rank over the old order, and prefix minima over the reversed old order.
     """
-    placed = bucketed(ranks(df, old, new), "old_rank")
+    placed = bucketed(settled(ranks(df, old, new)), "old_rank")
     up = Window.partitionBy("_bucket").orderBy("old_rank").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("_bucket").orderBy(F.desc("old_rank")).rowsBetween(Window.unboundedPreceding, -1)
     pair = F.struct("new_rank", "w")
@@ -158,3 +159,25 @@ def chain_union(ab: DataFrame, bc: DataFrame, ac: DataFrame, col: str = "w") ->
     steps = ab.select(col).unionByName(bc.select(col)).withColumn("step", F.lit(1)).withColumn("whole", F.lit(0))
     each = steps.unionByName(ac.select(col).withColumn("step", F.lit(0)).withColumn("whole", F.lit(1))).groupBy(col).agg(F.max("step").alias("s"), F.max("whole").alias("t"))
     return each.select(col, F.when((F.col("s") == 1) & (F.col("t") == 1), "both").when(F.col("s") == 1, "only steps").otherwise("only whole").alias("status"))
+
+
+def page_drift(df: DataFrame, size: int, old: Profile, new: Profile) -> DataFrame:
+    """(page, w, n_skipped, n_twice) for the cursor at the end of each page of ``size`` rows of the old order: how many rows a client
+    that goes on from it in the new order never sees, and how many it sees a second time.
+
+    With ``o`` and ``n`` the cursor's old and new place, rows up to ``o`` that now lie after ``n`` come twice, and ``n - o`` plus their number are
+    skipped. A row can come twice only at the pages from its own to the last whose cursor, or a later one, lies before it; these
+    are found by a running maximum over the new order, so rows meet cursors only over the pages that they have moved.
+    """
+    placed = settled(ranks(df, old, new).select("w", "old_rank", "new_rank"))
+    cursors = placed.filter(F.col("old_rank") % size == 0).select((F.col("old_rank") / size).cast("long").alias("page"), "w", F.col("old_rank").alias("o"), F.col("new_rank").alias("n")).withColumn("_b", F.floor(F.col("page") / ROWS))
+    later = Window.partitionBy("_b").orderBy(F.desc("page"))
+    beyond = cursors.groupBy("_b").agg(F.min("n").alias("_m")).select("_b", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_beyond"))  # a row for ROWS pages
+    least = cursors.withColumn("_in", F.min("n").over(later.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(beyond), "_b").select("page", F.least("_in", "_beyond").alias("pos"))
+    rows = placed.select(F.col("new_rank").alias("pos"), F.lit(None).cast("long").alias("page"), "old_rank")
+    events = rows.unionByName(least.select("pos", "page", F.lit(None).cast("long").alias("old_rank"))).withColumn("_b", F.floor(F.col("pos") / ROWS))
+    before = events.groupBy("_b").agg(F.max("page").alias("_m")).select("_b", F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for ROWS places
+    run = Window.partitionBy("_b").orderBy("pos", F.col("page").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = events.withColumn("_in", F.max("page").over(run)).join(F.broadcast(before), "_b").filter("old_rank is not null").select("pos", F.ceil(F.col("old_rank") / size).alias("_p"), F.greatest("_in", "_before").alias("_k"))
+    met = reach.filter("_k >= _p").select("pos", F.explode(F.sequence("_p", "_k")).alias("page")).join(cursors.select("page", "n"), "page").filter("n < pos").groupBy("page").agg(F.count("*").alias("n_twice"))
+    return cursors.join(met, "page", "left").select("page", "w", (F.col("n") - F.col("o") + F.coalesce("n_twice", F.lit(0))).alias("n_skipped"), F.coalesce("n_twice", F.lit(0)).alias("n_twice"))

@@ -162,3 +162,8 @@ def x1(spark, sf):
     coll = d.select("doc_id", "db", F.when(i % 4 == 0, "d").when(i % 4 == 1, "i").otherwise("c").alias("provider"), F.when(i % 9 != 0, F.concat("lang", F.lit("_"), F.upper("lang"))).alias("collcollate"), F.when(i % 8 != 0, F.col("source")).alias("collctype"))
     dbs = d.select("db").distinct().select("db", F.when(F.col("db") % 5 == 0, "i").otherwise("c").alias("provider"), F.when(F.col("db") % 3 == 0, "C").otherwise("de_DE").alias("datcollate"), F.lit("en_US").alias("datctype"))
     return V.collation_halves(coll, dbs).select("doc_id", "sorts", "chars")
+
+
+@query("r5_page_drift", cte(RANKS, "c as (select old_rank // 1000 as page, w, old_rank as o, new_rank as n from r where old_rank % 1000 = 0)") + " select c.page, c.w, count(*) filter (r.old_rank > c.o and r.new_rank < c.n) as n_skipped, count(*) filter (r.old_rank <= c.o and r.new_rank > c.n) as n_twice from c, r group by c.page, c.w")
+def r5(spark, sf):
+    return O.page_drift(settled(words(spark, sf)), 1000, OLD, NEW)

@@ -236,6 +236,18 @@ def test_a_valid_report_has_no_violations(spark):
     assert got == {("b", "empty run"), ("c", "run not after the one before"), ("c", "count differs"), ("c", "changed and in no group"), ("b", "in a group and not changed"), ("a", "in two groups")}
 
 
+def test_page_drift_counts_what_a_client_skips_and_repeats(spark):
+    df = S.corpus(spark.range(0, 20000, 37)).select("w")
+    for size in (1, 7, 50):
+        placed = sorted((r.old_rank, r.new_rank) for r in O.ranks(df, OLD, NEW).collect())
+        want = {}
+        for o, n in placed:
+            if o % size == 0:
+                want[o // size] = (sum(a > o and b < n for a, b in placed), sum(a <= o and b > n for a, b in placed))
+        got = {r.page: (r.n_skipped, r.n_twice) for r in O.page_drift(df, size, OLD, NEW).collect()}
+        assert got == want and any(a for a, _ in want.values()) and any(b for _, b in want.values())
+
+
 def test_keys_from_a_table_equal_keys_from_literals(spark):
     df = spark.createDataFrame([("Vasa",), ("",), (None,), ("wä漢",)], "w string")
     chars = [(c,) for c in "Vaswä"]
