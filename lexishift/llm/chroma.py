@@ -41,7 +41,7 @@ from lexishift.llm.storage import materialise, workspace
 RATE, FRAME, HOP, BANDS = 4000, 512, 128, 12
 NOTE = 256  # samples a component of a derived recording
 QUERY_EVERY, MAX_ERROR, MIN_OVERLAP = 100, 0.25, 64
-WINDOW, STEP, RUN, TABLES, KEY_BITS, BITS, FIT_SAMPLE, FIT_NOISE = 32, 4, 32, 16, 32, 8, 64, 0.8  # the noise in parts of the sound's own deviation
+WINDOW, STEP, RUN, TABLES, KEY_BITS, BITS, FIT_SAMPLE, FIT_NOISE = 32, 4, 32, 6, 32, 8, 64, 0.8  # the noise in parts of the sound's own deviation
 # Fixed values: (kind, first band, bands, frames) of the sixteen filters; kinds compare halves as _responses says.
 FILTERS = [(0, 0, 4, 8), (0, 4, 4, 8), (0, 8, 4, 8), (0, 0, 12, 8), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (1, 2, 8, 8), (2, 0, 6, 8), (2, 6, 6, 8), (2, 3, 6, 4), (3, 0, 12, 9), (3, 0, 6, 9), (3, 6, 6, 9), (4, 0, 12, 8), (4, 3, 9, 8)]
 WIDEST = max(f[3] for f in FILTERS)
@@ -206,8 +206,9 @@ def keyed(classes: DataFrame, bits: np.ndarray, step: int, name: str, at: str) -
     return classes.select("rep", "print").mapInArrow(run, f"key long, {name} long, {at} int")
 
 
-def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
-    """(query_id, class_id, match_id, match_members, shift, votes, bit_error) for each query row and matching class.
+def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """(membership, matches). Membership: (rec_id, class_id) for every recording, without a class where its fingerprint is empty.
+    Matches: (query_id, class_id, match_id, match_members, shift, votes, bit_error) for each query row and matching class.
 
     ``class_id`` and ``match_id`` are the smallest ids of their classes; a query matches its own class with shift 0. Of several
     offsets that match, that with the least ``bit_error`` is told.
@@ -234,8 +235,16 @@ def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = M
     best = best.select("a", "b", "top.shift", "top.votes", "top.bit_error")
     same = asked.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("shift"), F.size("print").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
     found = best.unionByName(same).join(classes.select(F.col("rep").alias("b"), "members"), "b")
-    return queries.join(found, queries.rep == found.a).select("query_id", F.col("a").alias("class_id"), F.col("b").alias("match_id"), F.col("members").alias("match_members"), "shift", "votes", "bit_error")
+    matches = queries.join(found, queries.rep == found.a).select("query_id", F.col("a").alias("class_id"), F.col("b").alias("match_id"), F.col("members").alias("match_members"), "shift", "votes", "bit_error")
+    members = table.select("rec_id", "print_a", "print_b").join(classes.select("print_a", "print_b", F.col("rep").alias("class_id")), ["print_a", "print_b"], "left").select("rec_id", "class_id")
+    return members, matches
 
 
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    """A row for each recording: its class, how many queries (every row whose id 100 divides) match it, and of these the one that
+    fits best, with their alignment; null where none does. The pairs themselves are what :func:`align` returns."""
+    members, matches = align(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    best = F.min(F.struct("bit_error", "query_id", "shift", "votes")).alias("top")
+    per = matches.groupBy(F.col("match_id").alias("class_id")).agg(F.count("*").alias("n_queries"), best)
+    told = members.join(per, "class_id", "left")
+    return told.select("rec_id", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), "top.query_id", "top.shift", "top.votes", "top.bit_error")

@@ -257,12 +257,12 @@ def test_chroma(spark):
     shifted = np.concatenate([rng.normal(size=8), base[1][:56]])
     rows = [(100 * i, v.tolist()) for i, v in enumerate(base)] + [(7, near.tolist()), (8, shifted.tolist()), (9, base[2].tolist()), (10, None), (None, base[3].tolist()), (11, []), (12, [0.0] * 64), (500, base[5].tolist())]
     schema = "vec_id long, embedding array<double>"
-    got = chroma.align(chroma.recordings(spark.createDataFrame(rows, schema))).collect()
+    got = chroma.align(chroma.recordings(spark.createDataFrame(rows, schema)))[1].collect()
     pairs = Counter((r.query_id, r.match_id) for r in got)
     near_one = {(0, 7)} if chroma.fingerprint(*chroma.sound(chroma.play(near))).tolist() != chroma.fingerprint(*chroma.sound(chroma.play(base[0]))).tolist() else set()
     assert set(pairs) == {(100 * i, 100 * i) for i in (0, 1, 3, 4, 5)} | {(200, 9), (100, 8)} | near_one and pairs[500, 500] == 2
     assert {r.shift for r in got if (r.query_id, r.match_id) == (100, 8)} == {16} and len(chroma.fingerprint(*chroma.sound(b"junk"))) == 0
-    assert chroma.align(chroma.recordings(spark.createDataFrame([], schema))).count() == 0
+    assert [x.count() for x in chroma.align(chroma.recordings(spark.createDataFrame([], schema)))] == [0, 0]
 
 
 def with_noise(recording, rng, deviation, shift):
@@ -294,11 +294,21 @@ def test_chroma_recall_against_all_offsets(spark):
             audio[100 * i + k + 1] = with_noise(audio[100 * i], rng, deviation, shift)
     prints = {i: chroma.fingerprint(*chroma.sound(a)) for i, a in audio.items()}
     want = {(q, i) for q in prints if q % 100 == 0 for i in prints if i != q and least_error(prints[q], prints[i]) <= chroma.MAX_ERROR}
-    rows = chroma.align(spark.createDataFrame(list(audio.items()), "rec_id long, audio binary")).collect()
+    rows = chroma.align(spark.createDataFrame(list(audio.items()), "rec_id long, audio binary"))[1].collect()
     got = {(r.query_id, r.match_id) for r in rows if r.query_id != r.match_id}
     assert len(want) > 180 and got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_chroma_query_tells_class_and_best_query_of_each_recording(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 64))
+    rows = [(100, base[0].tolist()), (200, base[0].tolist()), (5, base[0].tolist()), (300, base[1].tolist()), (7, np.concatenate([rng.normal(size=8), base[1][:56]]).tolist()), (8, base[2].tolist()), (9, None), (5, base[0].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Counter((r.rec_id, r.class_id, r.n_queries, r.query_id, r.shift) for r in chroma.op9_chroma(spark, str(tmp_path)).collect())
+    copies = [(i, 5, 2, 100, 0) for i in (100, 200, 5, 5)]
+    assert got == Counter([*copies, (300, 300, 1, 300, 0), (7, 7, 1, 300, 16), (8, 8, 0, None, None), (9, None, 0, None, None)])
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
