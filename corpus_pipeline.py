@@ -10,6 +10,10 @@ Each stage takes all rows its predecessor kept and, but for the last, returns th
 
 SQL cannot express the near-duplicate and packing stages, so ``ORACLE_SQL`` is None; ``tests/llm`` holds the
 pipeline against a brute-force version.
+
+Defined results: a document with a null or empty text has no words, so the first stage rejects it; rows with a null ``doc_id`` go
+through like others, but are never near copies; repeated rows share one id and text, so they stay or go together; other columns,
+whatever their names, are carried through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
