@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, warc, wavelet
+from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, vectors, warc, wavelet
 
 
 def queries():
@@ -18,10 +18,11 @@ def queries():
         "op8_brown": brown.op8_brown,
         "op9_chroma": chroma.op9_chroma,
         "op10_quality": quality.op10_quality,
+        "op11_embeddings": vectors.op11_embeddings,
         "pipeline": corpus_pipeline.run,
     }
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE_OP5, "op10_quality": quality.oracle_op10()}
+    return {"op5_line_dedup": linededup.ORACLE_OP5, "op10_quality": quality.oracle_op10(), "op11_embeddings": vectors.ORACLE_OP11}
