@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, vectors, warc, wavelet
+from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, variants, vectors, warc, wavelet
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_chroma": chroma.op9_chroma,
         "op10_quality": quality.op10_quality,
         "op11_embeddings": vectors.op11_embeddings,
+        "op13_variants": variants.op13_variants,
         "pipeline": corpus_pipeline.run,
     }
     return out
