@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, variants, vectors, warc, wavelet
+from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, phrases, pii, quality, variants, vectors, warc, wavelet
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_chroma": chroma.op9_chroma,
         "op10_quality": quality.op10_quality,
         "op11_embeddings": vectors.op11_embeddings,
+        "op12_phrases": phrases.op12_phrases,
         "op13_variants": variants.op13_variants,
         "pipeline": corpus_pipeline.run,
     }
@@ -26,4 +27,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE_OP5, "op10_quality": quality.oracle_op10(), "op11_embeddings": vectors.ORACLE_OP11}
+    return {"op5_line_dedup": linededup.ORACLE_OP5, "op10_quality": quality.oracle_op10(), "op11_embeddings": vectors.ORACLE_OP11, "op12_phrases": phrases.ORACLE_OP12}

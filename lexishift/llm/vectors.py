@@ -276,7 +276,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
 ORACLE_OP11 = """
 with recursive v as (select vec_id, row_number() over (order by vec_id) as r, embedding::double[] as e from embeddings),
-ok as (select * from v where len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0),
+ok as (select * from v where len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
 link as (select a.r as u, b.r as v from ok a join ok b on a.r <> b.r and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
 reach as (select r as u, r as v from v union select reach.u, link.v from reach join link on link.u = reach.v),
 comp as (select reach.u, min(v.vec_id) as c from reach join v on v.r = reach.v group by 1),
