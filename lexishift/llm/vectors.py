@@ -54,7 +54,7 @@ class Axes:
             self._split(sample @ self.turn, 1)
 
     def _split(self, rows: np.ndarray, node: int) -> None:
-        if len(rows) < 2 * LEAF:
+        if len(rows) < 2 * LEAF or node >= 1 << 40:
             return
         axis = int(rows[:, :BOX].var(0).argmax())
         at = float(np.median(rows[:, axis]))
