@@ -1,27 +1,12 @@
-"""Measured names, builds, transliterations, findings and their report; keys for profiles that are tables."""
+"""Measured names, builds, transliterations, findings and their report."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexishift.operators.rules import both_sides, closure, sum_hash
-
-
-def k_join(df: DataFrame, col: str, weights: DataFrame) -> DataFrame:
-    """``df`` with ``key``, as F1 gives it, under a profile of any size: ``weights`` (element, w1, w2, w3), one character an element.
-
-    Distinct strings are split, their characters meet the table in a join, and the levels are put together by place. An element that the
-    table lacks weighs as itself; one whose weight is null at a level is ignored there.
-    """
-    strings = df.select(F.col(col).alias("_s")).filter("_s is not null").distinct()
-    parts = strings.select("_s", F.posexplode_outer(F.filter(F.split("_s", ""), lambda x: x != "")).alias("_at", "element"))
-    known = weights.select("element", "w1", "w2", "w3", F.lit(True).alias("_k"))
-    weigh = [F.when(F.col("_k"), F.coalesce(F.col(w), F.lit(""))).otherwise(F.coalesce("element", F.lit(""))).alias(w) for w in ("w1", "w2", "w3")]
-    rows = parts.join(known, "element", "left").select("_s", "_at", *weigh)
-    per = rows.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("_at", "w1", "w2", "w3"))).alias("_p"))
-    level = lambda w: F.array_join(F.transform("_p", lambda x: x[w]), "")
-    return df.join(per.select("_s", F.concat_ws("\x01", level("w1"), level("w2"), level("w3"), "_s").alias("key")), F.col(col) == F.col("_s"), "left").drop("_s")
+from lexishift.operators.graphs import closure, include_order
+from lexishift.operators.rules import both_sides, strongest_state, sum_hash
 
 
 def ctype_changes(ctype: DataFrame) -> DataFrame:
@@ -44,16 +29,23 @@ def byte_order(declared: DataFrame, copies: DataFrame, ruled: DataFrame) -> Data
     return declared.select("locale").distinct().select("locale", F.lit("declared").alias("how"), F.lit(None).cast("string").alias("of")).unionByName(by_copy)
 
 
-def common_builds(builds: DataFrame) -> DataFrame:
-    """(source, old_entry, new_entry, old_charmap, new_charmap) of builds (side, entry, source, charmap) that are compared: the same
-    source in the same charmap, whatever the entry is called, else the same entry and source whose charmap alone changed."""
+def common_builds(builds: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """(source, old_entry, new_entry, old_charmap, new_charmap, state) of builds (side, entry, source, charmap) that are compared: the same
+    source in the same charmap, whatever the entry is called, else the same entry and source whose charmap alone changed.
+
+    Any entry of a source and charmap that the other side does not build may meet its namesake; of several that do, the least is told. ``present`` (side, source) names
+    the sources that each side has: a pair whose source a side lacks is ``not compared``."""
     one = builds.groupBy("side", "source", "charmap").agg(F.min("entry").alias("entry"))
     d = both_sides(one, ["source", "charmap"])
     same = d.filter("in_old and in_new").select("source", "old_entry", "new_entry", F.col("charmap").alias("old_charmap"), F.col("charmap").alias("new_charmap"))
-    left = lambda has, other, e: d.filter(f"{has} and {other} is null").select("source", F.col(e).alias("entry"), "charmap")
-    a, b = left("in_old", "in_new", "old_entry").withColumnRenamed("charmap", "old_charmap"), left("in_new", "in_old", "new_entry").withColumnRenamed("charmap", "new_charmap")
-    moved = a.join(b, ["source", "entry"]).select("source", F.col("entry").alias("old_entry"), F.col("entry").alias("new_entry"), "old_charmap", "new_charmap")
-    return same.unionByName(moved)
+    other = lambda side: builds.filter(F.col("side") != side).select("source", "charmap").distinct()
+    left = lambda side: builds.filter(F.col("side") == side).join(other(side), ["source", "charmap"], "left_anti").select("source", "entry", F.col("charmap").alias(f"{side}_charmap")).distinct()
+    moved = left("old").join(left("new"), ["source", "entry"]).groupBy("source", "old_charmap", "new_charmap").agg(F.min("entry").alias("old_entry"))
+    pairs = same.unionByName(moved.withColumn("new_entry", F.col("old_entry")))
+    if present is None:
+        return pairs.withColumn("state", F.lit("compared"))
+    has = present.groupBy("source").agg(F.count_if(F.col("side") == "old").alias("_o"), F.count_if(F.col("side") == "new").alias("_n"))
+    return pairs.join(has, "source", "left").withColumn("state", F.when((F.col("_o") > 0) & (F.col("_n") > 0), "compared").otherwise("not compared")).drop("_o", "_n")
 
 
 def unbuilt_affected(edges: DataFrame, hits: DataFrame, built: DataFrame, sources: DataFrame, client_only: DataFrame) -> DataFrame:
@@ -65,40 +57,65 @@ def unbuilt_affected(edges: DataFrame, hits: DataFrame, built: DataFrame, source
     return found.join(sources.select("source").distinct(), "source", "left_semi").join(built.select("source", "charmap").distinct(), ["source", "charmap"], "left_anti").groupBy("source", "charmap").agg(F.count("*").alias("n_chars"))
 
 
-def translit_resolve(elements: DataFrame, tables: DataFrame, entries: DataFrame, charmap: DataFrame) -> DataFrame:
-    """(source, cp, answer): what each element (source, cp) is built out of.
+def translit_resolve(elements: DataFrame, roots: DataFrame, includes: DataFrame, entries: DataFrame, charmap: DataFrame) -> DataFrame:
+    """(source, cp, state, answer): what each element (source, cp) is built out of; no row where nothing answers.
 
-    A source's ``tables`` (source, tbl, depth) are searched in order. In a table the newest of the ``entries`` (tbl, ord, cp, alt, answer) for a
-    character counts, and of its alternatives the first whose characters all are in the ``charmap`` (cp); where it has none, the next table does.
+    A source's search begins in its own table (``roots``: source, tbl) and goes on, depth first, through what each table includes (``includes``: tbl, ord, inc). In a table the
+    newest of the ``entries`` (tbl, ord, cp, alt, answer) for a character counts, and of its alternatives the first whose characters all are in the ``charmap``
+    (cp); where it has none, nothing comes from this table, and its includes are searched. A search that comes back to a table it is still in before anything has answered
+    is ``unsettled``.
     """
     newest = entries.groupBy("tbl", "cp").agg(F.max("ord").alias("ord"))
-    live = entries.join(newest, ["tbl", "cp", "ord"]).withColumn("_id", F.xxhash64("tbl", "cp", "alt"))
+    live = entries.join(newest, ["tbl", "cp", "ord"])
     need = live.select("tbl", "cp", "alt", F.explode(F.array_distinct("answer")).alias("_c"))
     lacking = need.join(charmap.select(F.col("cp").alias("_c")).distinct(), "_c", "left_anti").select("tbl", "cp", "alt").distinct()
     usable = live.join(lacking, ["tbl", "cp", "alt"], "left_anti")
-    met = elements.distinct().join(tables, "source").join(usable, ["tbl", "cp"])
-    return met.groupBy("source", "cp").agg(F.min(F.struct("depth", "alt", "answer")).alias("_b")).select("source", "cp", "_b.answer")
+    tables, loops = include_order(roots, includes)
+    asked = elements.select("source", "cp").distinct()
+    found = asked.join(tables, "source").join(usable, ["tbl", "cp"]).groupBy("source", "cp").agg(F.min(F.struct("path", "alt", "answer")).alias("_b"))
+    stuck = loops.groupBy("source").agg(F.min("path").alias("_stuck"))
+    d = asked.join(found, ["source", "cp"], "left").join(stuck, "source", "left")
+    state = F.when(F.col("_b").isNotNull() & (F.col("_stuck").isNull() | (F.col("_b.path") < F.col("_stuck"))), "built").when(F.col("_stuck").isNotNull(), "unsettled")
+    return d.withColumn("state", state).filter("state is not null").select("source", "cp", "state", F.when(F.col("state") == "built", F.col("_b.answer")).alias("answer"))
 
 
 def translit_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(source, cp, old, new) for elements that are built otherwise, null where one side has no answer."""
+    """(source, cp, state, old, new) for elements that are built otherwise, null where one side has no answer; ``not compared`` where a side is unsettled."""
     both = old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
-    return both_sides(both, ["source", "cp"]).filter(~F.col("old_answer").eqNullSafe(F.col("new_answer"))).select("source", "cp", F.col("old_answer").alias("old"), F.col("new_answer").alias("new"))
+    d = both_sides(both, ["source", "cp"])
+    doubt = (F.coalesce("old_state", F.lit("")) == "unsettled") | (F.coalesce("new_state", F.lit("")) == "unsettled")
+    moved = d.filter(doubt | ~F.col("old_answer").eqNullSafe(F.col("new_answer")))
+    return moved.select("source", "cp", F.when(doubt, "not compared").otherwise("differs").alias("state"), F.col("old_answer").alias("old"), F.col("new_answer").alias("new"))
 
 
-def rules_by_measured_name(names: DataFrame, aliases: DataFrame, compared: DataFrame, charmaps: DataFrame, source) -> DataFrame:
+def rules_by_measured_name(names: DataFrame, aliases: DataFrame, compared: DataFrame, charmaps: DataFrame, source, unread: DataFrame | None = None, untraced: DataFrame | None = None) -> DataFrame:
     """(name, key, state, why, charmap) for every measured name: the rules of the name itself, else of the file it is built from
-    (``source`` over the alias's target or the name); C and POSIX are built in and have no file. ``charmaps``: (file, charmap) states."""
+    (``source`` over the alias's target or the name); C and POSIX are built in and have no file.
+
+    A key that stands in ``unread`` (key, why) is not compared, whatever the comparison says. ``charmap`` is the strongest of the ``charmaps`` (file, charmap) states of the key, else of the source file,
+    else ``not compared`` for an ``untraced`` (name), else '-'.
+    """
     target = aliases.groupBy("alias").agg(F.min("locale").alias("_to"))
-    d = names.select("name").distinct().join(target, F.col("name") == F.col("alias"), "left").withColumn("_full", F.coalesce("_to", "name")).withColumn("_src", source("_full"))
+    d = names.select("name").distinct().join(target, F.col("name") == F.col("alias"), "left").select("name", source(F.coalesce("_to", "name")).alias("_src"))
     have = compared.select(F.col("locale").alias("_l"), F.col("state").alias("_st"), F.coalesce("why", F.lit("")).alias("_why"))
-    own = d.join(have, F.col("name") == F.col("_l"), "left").select("name", "_src", F.col("_l").alias("_own"), F.col("_st").alias("_st1"), F.col("_why").alias("_why1"))
-    both = own.join(have, F.col("_src") == F.col("_l"), "left")
-    keyed = both.join(charmaps.groupBy("file").agg(F.min("charmap").alias("_cm")), F.coalesce("_own", "_src") == F.col("file"), "left")
+    d = d.join(have.select(F.col("_l").alias("_own")), F.col("name") == F.col("_own"), "left").withColumn("key", F.coalesce("_own", "_src"))
+    d = d.join(have, F.col("key") == F.col("_l"), "left")
+    if unread is None:
+        d = d.withColumn("_ur", F.lit(None).cast("string"))
+    else:
+        d = d.join(unread.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("_ur")), "key", "left")  # a key's few reasons
+    strongest = strongest_state(charmaps, "file", "charmap")
+    at = lambda c, n: strongest.select(F.col("file").alias(f"_{n}f"), F.col("charmap").alias(n))
+    d = d.join(at("key", "_cm1"), F.col("key") == F.col("__cm1f"), "left").join(at("_src", "_cm2"), F.col("_src") == F.col("__cm2f"), "left")
+    if untraced is None:
+        d = d.withColumn("_lost", F.lit(None).cast("string"))
+    else:
+        d = d.join(untraced.select("name", F.lit("not compared").alias("_lost")).distinct(), "name", "left")
     built_in = F.col("name").isin("C", "POSIX")
-    return keyed.select(
-        "name", F.when(~built_in, F.coalesce("_own", "_src")).alias("key"), F.when(built_in, "built in").otherwise(F.coalesce("_st1", "_st", F.lit("not compared"))).alias("state"),
-        F.when(built_in, "no locale file").otherwise(F.coalesce("_why1", "_why", F.lit("no locale file of that name"))).alias("why"), F.when(built_in, "-").otherwise(F.coalesce("_cm", F.lit("-"))).alias("charmap"),
+    return d.select(
+        "name", F.when(~built_in, F.col("key")).alias("key"), F.when(built_in, "built in").when(F.col("_ur").isNotNull(), "not compared").otherwise(F.coalesce("_st", F.lit("not compared"))).alias("state"),
+        F.when(built_in, "no locale file").when(F.col("_ur").isNotNull(), F.concat(F.lit("not read: "), "_ur")).otherwise(F.coalesce("_why", F.lit("no locale file of that name"))).alias("why"),
+        F.when(built_in, "-").otherwise(F.coalesce("_cm1", "_cm2", "_lost", F.lit("-"))).alias("charmap"),
     )
 
 

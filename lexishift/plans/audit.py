@@ -9,6 +9,7 @@ from lexishift.functions import keys
 from lexishift.functions.keys import PROFILES as P
 from lexishift.functions.keys import key, key_sql, levels_sql
 from lexishift.operators import breakage as B
+from lexishift.operators import charmaps as M
 from lexishift.operators import confirm as V
 from lexishift.operators import ctype as C
 from lexishift.operators import order as O
@@ -133,6 +134,35 @@ def f12(spark, sf):
     return words(spark, sf).select("w", keys.decode_hex(hexed("iso-8859-1"), "iso-8859-1").alias("latin"), keys.decode_hex(hexed("utf-8"), "utf-8").alias("utf"), F.length(keys.decode_hex(hexed("utf-8"), "iso-8859-1")).alias("n_misread"))
 
 
+CODED = "c as (select w, case when length(w) % 5 = 0 then case when unicode(right(w, 1)) < 128 then left(w, -1) end when length(w) % 7 = 6 then null else w end as text, case when length(w) % 5 = 0 and unicode(right(w, 1)) >= 128 then 'not convertible' when length(w) % 5 <> 0 and length(w) % 7 = 6 then 'not known' else 'decoded' end as state from words)"
+
+
+def coded(spark, sf, col: str = "w"):
+    """Words in a multibyte encoding: one byte for ASCII, two from 8140 on for other characters; the last byte is cut off where five divides
+    the length, and where it is six more than a multiple of seven the encoding is one that no map describes."""
+    cp = lambda c: F.ascii(c)
+    digits = F.array_join(F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.when(cp(c) < 128, F.lpad(F.hex(cp(c)), 2, "0")).otherwise(F.lpad(F.hex(cp(c) + (0x8140 - 128)), 4, "0"))), "")
+    n = F.length(col)
+    return words(spark, sf).select(col, F.when(n % 5 == 0, F.substring(digits, F.lit(1), F.length(digits) - 2)).otherwise(digits).alias("h"), F.when((n % 5 != 0) & (n % 7 == 6), "other").otherwise("two").alias("encoding"))
+
+
+def coding(spark, sf):
+    """The map of :func:`coded`: a row for each ASCII character of the texts, and one range for all others."""
+    ascii_ = C.characters(S.table(spark, sf, "documents"), "text").filter(F.ascii("c") < 128).select(F.lit("two").alias("charmap"), F.ascii("c").alias("lo"), F.ascii("c").alias("hi"), F.lpad(F.hex(F.ascii("c")), 2, "0").alias("bytes"))
+    return ascii_.unionByName(spark.range(1).select(F.lit("two").alias("charmap"), F.lit(128).alias("lo"), F.lit(0x2FFF).alias("hi"), F.lit("8140").alias("bytes")))
+
+
+@query("f12_by_charmap", cte(CODED) + " select w, text, state from c")
+def f12_by_charmap(spark, sf):
+    return M.decode_by_charmap(coded(spark, sf), "h", "encoding", coding(spark, sf)).select("w", "text", "state")
+
+
+@query("v5_binary_tests", cte(CODED, f"q as (select w, text, state, {key_sql('text', NEW)} as kt from c)") + f" select w, state, case when state = 'decoded' then case when kt < {lit('vind', NEW)} then '<' when kt > {lit('vind', NEW)} then '>' else '=' end end as answer from q")
+def v5_binary(spark, sf):
+    tests = coded(spark, sf).select("w", F.col("h").alias("ah"), F.hex(F.encode(F.lit("vind"), "us-ascii")).alias("bh"), "encoding")
+    return M.answer_binary_tests(tests, coding(spark, sf), NEW).select("w", "state", "answer")
+
+
 CLASS_SQL = "concat_ws(',', " + ", ".join(f"case when regexp_matches(c, '{p}') then '{n}' end" for n, p in C.CLASSES) + ")"
 
 
@@ -361,7 +391,7 @@ def b22(spark, sf):
     return B.histogram(settled(words(spark, sf)), OLD, 20)
 
 
-RULES = """with b as (select source as locale, doc_id as seq, lang || ' ' || (n_chars % 97) as stmt, n_chars % 11 as c, doc_id % 13 = 0 as steers from documents),
+RULES = """with b as (select source as locale, doc_id as seq, lang || ' ' || (n_chars % 97) as stmt, case when doc_id % 62 = 0 and source = 'src5' then null when doc_id % 7 = 0 then [] else [n_chars % 11] end as c, doc_id % 13 = 0 as steers from documents),
 rules as (select 'old' as side, * from b where locale <> 'src3' union all select 'new', locale, seq, case when seq % 31 = 0 and locale in ('src1', 'src5') then stmt || '!' else stmt end, c, steers from b where locale <> 'src4'),
 dg as (select side, locale, sum(('0x' || substring(md5(seq || '|' || stmt), 1, 16))::ubigint::hugeint)::varchar || ':' || sum(('0x' || substring(md5(seq || '|' || stmt), 17, 16))::ubigint::hugeint)::varchar as d, count(*) as n from rules group by 1, 2)
 """
@@ -369,7 +399,7 @@ dg as (select side, locale, sum(('0x' || substring(md5(seq || '|' || stmt), 1, 1
 
 def rules(spark, sf):
     """Two sides of a rule table, derived from the documents' metadata."""
-    b = S.table(spark, sf, "documents").select(F.col("source").alias("locale"), F.col("doc_id").alias("seq"), F.concat_ws(" ", "lang", (F.col("n_chars") % 97).cast("string")).alias("stmt"), F.array((F.col("n_chars") % 11).cast("int")).alias("chars"), (F.col("doc_id") % 13 == 0).alias("steers"))
+    b = S.table(spark, sf, "documents").select(F.col("source").alias("locale"), F.col("doc_id").alias("seq"), F.concat_ws(" ", "lang", (F.col("n_chars") % 97).cast("string")).alias("stmt"), F.when((F.col("doc_id") % 62 == 0) & (F.col("source") == "src5"), None).when(F.col("doc_id") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("n_chars") % 11).cast("int"))).alias("chars"), (F.col("doc_id") % 13 == 0).alias("steers"))
     new = b.filter("locale <> 'src4'").withColumn("stmt", F.when((F.col("seq") % 31 == 0) & F.col("locale").isin("src1", "src5"), F.concat("stmt", F.lit("!"))).otherwise(F.col("stmt")))
     return b.filter("locale <> 'src3'").withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
 
@@ -387,13 +417,45 @@ def l2(spark, sf):
     return L.compare_rules(rules(spark, sf))
 
 
-@query("l3_changed_chars", RULES + ", ch as (select locale, stmt from rules group by 1, 2 having sum(case when side = 'old' then 1 else -1 end) <> 0) select r.locale, bool_or(steers) as every_rule, list_aggregate(list_sort(list(distinct c::varchar)), 'string_agg', ',') as chars from rules r join ch on ch.locale = r.locale and ch.stmt = r.stmt group by r.locale")
+UNKNOWN = "the characters of a changed statement are not known"
+
+
+DOUBTS = f"""dt as (select distinct case when doc_id % 2 = 0 then 'old' else 'new' end as side, source as locale, 'unsettled ' || (doc_id % 3) as why from documents where doc_id % 97 = 5),
+dd as (select locale, coalesce(min(case when side = 'old' then 'old side: ' || why end), min(case when side = 'new' then 'new side: ' || why end)) as doubt from dt group by 1),
+ds as (select side, locale, min(why) as doubt from dt group by 1, 2),
+so as (select distinct source, {{number}} as n from documents),
+al as (select 'old' as side, 'alias_' || source as alias, source as file from so where n % 4 <> 0 union all select 'new', 'alias_' || source, case when n % 6 = 0 then 'src' || ((n + 1) % 25) else source end from so where n % 5 <> 0 union all select s, 'src2', 'src9' from (select unnest(['old', 'new']) as s)),
+ax as (select a.side, a.alias, a.file, dg.d, dg.n, ds.doubt from (select * from al where alias not in (select locale from st)) a left join dg on dg.side = a.side and dg.locale = a.file left join ds on ds.side = a.side and ds.locale = a.file),
+aj as (select coalesce(o.alias, n.alias) as locale, case when o.alias is null then 'an alias on the new side only' when n.alias is null then 'an alias on the old side only' when o.d is null then 'built from ' || o.file || ', which has no rules on the old side' when n.d is null then 'built from ' || n.file || ', which has no rules on the new side' when o.doubt is not null then 'old side: ' || o.doubt when n.doubt is not null then 'new side: ' || n.doubt end as why, o.d = n.d and o.n = n.n as alike from (select * from ax where side = 'old') o full join (select * from ax where side = 'new') n on o.alias = n.alias where o.d is not null or n.d is not null)"""
+
+
+def _doubts(number: str) -> str:
+    return DOUBTS.replace("{number}", number)
+
+
+@query("l3_changed_chars", RULES + f", ch as (select locale, stmt from rules group by 1, 2 having sum(case when side = 'old' then 1 else -1 end) <> 0) select r.locale, bool_or(steers) as every_rule, case when not bool_or(c is null) then coalesce(array_to_string(list_sort(list_distinct(flatten(list(c) filter (c is not null)))::varchar[]), ','), '') end as chars, case when bool_or(c is null) then '{UNKNOWN}' end as why from rules r join ch on ch.locale = r.locale and ch.stmt = r.stmt group by r.locale")
 def l3(spark, sf):
     out = L.changed_chars(rules(spark, sf))
-    return out.select("locale", "every_rule", F.array_join(F.array_sort(F.transform("chars", lambda c: c.cast("string"))), ",").alias("chars"))
+    return out.select("locale", "every_rule", F.array_join(F.array_sort(F.transform("chars", lambda c: c.cast("string"))), ",").alias("chars"), "why")
 
 
 NUMBER = "coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int), length(source))"
+
+
+@query("l2_doubts_and_aliases", RULES + ", " + STATE + ", " + _doubts(NUMBER) + " select st.locale, case when coalesce(st.why, dd.doubt) is not null then 'not compared' else st.state end as state, coalesce(st.why, dd.doubt) as why from st left join dd on dd.locale = st.locale union all select locale, case when why is not null then 'not compared' when alike then 'same' else 'differs' end, why from aj")
+def l2_doubts(spark, sf):
+    d = S.table(spark, sf, "documents")
+    i = F.col("doc_id")
+    doubts = d.filter(i % 97 == 5).select(F.when(i % 2 == 0, "old").otherwise("new").alias("side"), F.col("source").alias("locale"), F.concat(F.lit("unsettled "), (i % 3).cast("string")).alias("why"))
+    so, n = d.select("source", F.expr(NUMBER).alias("n")).distinct(), F.col("n")
+    alias = F.concat(F.lit("alias_"), "source").alias("alias")
+    utf = lambda c: F.concat(c, F.lit(".UTF-8")).alias("locale")
+    old = so.filter(n % 4 != 0).select(F.lit("old").alias("side"), alias, utf(F.col("source")))
+    new = so.filter(n % 5 != 0).select(F.lit("new").alias("side"), alias, utf(F.when(n % 6 == 0, F.concat(F.lit("src"), ((n + 1) % 25).cast("string"))).otherwise(F.col("source"))))
+    named = so.filter("source = 'src2'").select(F.explode(F.array(F.lit("old"), F.lit("new"))).alias("side"), F.lit("src2").alias("alias"), F.lit("src9").alias("locale"))
+    return L.compare_rules(rules(spark, sf), doubts, old.unionByName(new).unionByName(named), lambda c: keys.locale_source(F.col(c)))
+
+
 EDGES = f"e as (select distinct source as src, 'src' || (({NUMBER} * 7 + 3) % 20) as dst from documents)"
 
 
@@ -415,27 +477,34 @@ def l7(spark, sf):
 
 
 CHARMAP = """with ch as (select distinct lang, unicode(unnest(string_split(text, '')))::int as cp, doc_id % 2 as h from documents),
-m as (select distinct case when h = 0 then 'old' else 'new' end as side, lang as charmap, cp, printf('%X', cp % 256) as bytes from ch where cp > 0),
+sg as (select distinct case when h = 0 then 'old' else 'new' end as side, lang as charmap, cp, printf('%02X', cp % 256) as bytes from ch where cp > 0),
+rg as (select case when doc_id % 2 = 0 then 'old' else 'new' end as side, lang as charmap, 20000 + (doc_id % 97) * 50 as lo, max(n_chars % 40) as k, min(33088 + (doc_id % 97) * 50 + case when doc_id % 5 = 0 then 1 else 0 end) as v from documents group by 1, 2, 3),
+rm as (select side, charmap, (lo + i)::int as cp, printf('%04X', v + i) as bytes from (select *, unnest(range(0, k + 1)) as i from rg)),
+m as (select * from sg union all select rm.* from rm where not exists (select 1 from sg where sg.side = rm.side and sg.charmap = rm.charmap and sg.cp = rm.cp)),
 dl as (select coalesce(o.charmap, n.charmap) as charmap, coalesce(o.cp, n.cp) as cp, case when o.cp is null then 'added' when n.cp is null then 'removed' else 'other bytes' end as change
   from (select * from m where side = 'old') o full join (select * from m where side = 'new') n on o.charmap = n.charmap and o.cp = n.cp where o.bytes is distinct from n.bytes)
 """
 
 
 def charmap(spark, sf):
-    d = S.table(spark, sf, "documents").select("lang", (F.col("doc_id") % 2).alias("h"), F.explode(F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != ""))).alias("c"))
-    cp = F.ascii("c")
-    return d.select(F.when(F.col("h") == 0, "old").otherwise("new").alias("side"), F.col("lang").alias("charmap"), cp.alias("lo"), cp.alias("hi"), F.hex(cp % 256).alias("bytes")).distinct()
+    """Two sides of character maps: a row for each character of the texts, and ranges of up to 40 code points."""
+    d = S.table(spark, sf, "documents")
+    i, side = F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, "old").otherwise("new").alias("side")
+    chars = d.select(side, F.col("lang").alias("charmap"), F.explode(F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != ""))).alias("c")).distinct()
+    singles = chars.select("side", "charmap", F.ascii("c").alias("lo"), F.ascii("c").alias("hi"), F.lpad(F.hex(F.ascii("c") % 256), 2, "0").alias("bytes"))
+    held = d.groupBy(side, F.col("lang").alias("charmap"), (i % 97 * 50 + 20000).cast("int").alias("lo")).agg(F.max(F.col("n_chars") % 40).alias("k"), F.min(i % 97 * 50 + 33088 + F.when(i % 5 == 0, 1).otherwise(0)).alias("v"))
+    return singles.unionByName(held.select("side", "charmap", "lo", (F.col("lo") + F.col("k")).cast("int").alias("hi"), F.lpad(F.hex("v"), 4, "0").alias("bytes")))
 
 
 @query("l9_charmap_delta", CHARMAP + "select charmap, cp, change from dl")
 def l9(spark, sf):
-    return L.charmap_delta(charmap(spark, sf))
+    return M.charmap_delta(charmap(spark, sf))
 
 
 @query("l10_delta_hits", CHARMAP + ", r as (select distinct source as name, (n_chars % 200)::int as lo, (n_chars % 200 + 40)::int as hi from documents) select distinct r.name, dl.cp from r join dl on dl.cp between r.lo and r.hi")
 def l10(spark, sf):
     lo = (F.col("n_chars") % 200).cast("int")
-    return L.delta_hits(L.charmap_delta(charmap(spark, sf)), S.table(spark, sf, "documents").select(F.col("source").alias("name"), lo.alias("lo"), (lo + 40).alias("hi")).distinct())
+    return L.delta_hits(M.charmap_delta(charmap(spark, sf)), S.table(spark, sf, "documents").select(F.col("source").alias("name"), lo.alias("lo"), (lo + 40).alias("hi")).distinct())
 
 
 @query("l16_strongest", "select source, min_by(s, r) as state from (select source, case doc_id % 4 when 0 then 'changed' when 1 then 'transliteration' when 2 then 'not compared' else 'transliteration not compared' end as s, doc_id % 4 as r from documents) group by source")
@@ -444,7 +513,7 @@ def l16(spark, sf):
     return L.strongest_state(S.table(spark, sf, "documents").select("source", F.when(k == 0, "changed").when(k == 1, "transliteration").when(k == 2, "not compared").otherwise("transliteration not compared").alias("state")))
 
 
-@query("l20_group_alike", RULES + ", " + STATE + " select state, string_agg(distinct locale, ',' order by locale) as names from st group by state")
+@query("l20_group_alike", RULES + ", " + STATE + " select st.state, st.locale, g.grp, g.n from st join (select state, min(locale) as grp, count(*) as n from st group by 1) g on g.state = st.state")
 def l20(spark, sf):
     return L.group_alike(L.compare_rules(rules(spark, sf)), ["state"], "locale")
 

@@ -12,7 +12,7 @@ from lexishift.operators import confirm as V
 from lexishift.operators import ctype as C
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
-from lexishift.plans.audit import BOUNDS, CTYPE, DBS, EDGES, NEW, OLD, RANKS, RULES, STATE, STORED, ctype, cte, databases, edges, lit, query, rules, settled, stored, words
+from lexishift.plans.audit import BOUNDS, CTYPE, DBS, EDGES, NEW, NUMBER, OLD, RANKS, RULES, STATE, STORED, ctype, cte, databases, edges, lit, query, rules, settled, stored, words
 from lexishift.sources import corpus as S
 
 LOW, UP = keys.LOW + "àéèêçäöüóíñ", keys.UP + "ÀÉÈÊÇÄÖÜÓÍÑ"
@@ -89,11 +89,18 @@ def l5(spark, sf):
     return L.nearest_roots(edges(spark, sf), roots)
 
 
-@query("l8_alias_expand", "with n as (select distinct lang || '_' || upper(lang) as name from documents where lang in ('en', 'de')), a as (select distinct source as alias from documents where lang in ('en', 'de')) select name, true as listed from n union all select alias, false from a")
+@query(
+    "l8_alias_expand",
+    f"with n as (select distinct lang || '_' || upper(lang) as name from documents where lang in ('en', 'de')), so as (select distinct source, {NUMBER} as n, (['en', 'de', 'fr', 'es'])[{NUMBER} % 4 + 1] as l, (['en', 'de', 'fr', 'es'])[({NUMBER} + case when {NUMBER} % 5 = 0 then 1 else 0 end) % 4 + 1] as m from documents), o as (select source as name, l || '_' || upper(l) as f from so where n % 3 <> 0), w as (select source as name, m || '_' || upper(m) as f from so where n % 7 <> 0) select name, true as listed, null::varchar as why from n union all select coalesce(o.name, w.name), false, case when o.name is null then 'not compared: an alias on the new side only' when w.name is null then 'not compared: an alias on the old side only' when o.f <> w.f then 'not compared: built from another file on each side' end from o full join w on o.name = w.name where o.f in (select name from n) or w.f in (select name from n)",
+)
 def l8(spark, sf):
     d, name = S.table(spark, sf, "documents"), F.concat("lang", F.lit("_"), F.upper("lang"))
-    aliases = d.select(F.col("source").alias("alias"), F.concat(name, F.lit(".UTF-8")).alias("locale")).distinct()
-    return L.alias_expand(d.filter("lang in ('en', 'de')").select(name.alias("name")).distinct(), aliases, keys.locale_source(F.col("locale")))
+    so, n = d.select("source", F.expr(NUMBER).alias("n")).distinct(), F.col("n")
+    code = lambda x: F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (x % 4 + 1).cast("int"))
+    file = lambda x: F.concat(code(x), F.lit("_"), F.upper(code(x)), F.lit(".UTF-8")).alias("locale")
+    old = so.filter(n % 3 != 0).select(F.lit("old").alias("side"), F.col("source").alias("alias"), file(n))
+    new = so.filter(n % 7 != 0).select(F.lit("new").alias("side"), F.col("source").alias("alias"), file(n + F.when(n % 5 == 0, 1).otherwise(0)))
+    return L.alias_expand(d.filter("lang in ('en', 'de')").select(name.alias("name")), old.unionByName(new), keys.locale_source(F.col("locale")))
 
 
 @query(
@@ -145,11 +152,14 @@ def v4(spark, sf):
     return V.version_check(databases(spark, sf), "recorded_version", "actual_version").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("p2_rules_beside", RULES + ", " + STATE + ", ve as (select coalesce(source, '') || case when doc_id % 40 = 0 then '@old' else '' end as locale, case when count(*) % 2 = 0 then 'changed' else 'same' end as verdict from documents group by 1) select ve.locale, verdict, coalesce(state, 'no rules') as state from ve left join st on st.locale = ve.locale")
+@query("p2_rules_beside", RULES + ", " + STATE + f", ve as (select coalesce(source, '') || case when doc_id % 40 = 0 then '@old' else '' end as locale, case when count(*) % 2 = 0 then 'changed' else 'same' end as verdict from documents group by 1), dx as (select distinct source as locale, 'm' as measured, case {NUMBER} % 6 when 0 then 'other' when 1 then null else 'm' end as compared from documents), j as (select ve.*, coalesce(state, 'no rules') as st, case when measured is null or compared is null then 'a digest is missing' when measured <> compared then 'the rules belong to another measurement' end as beside from ve left join st on st.locale = ve.locale left join dx on dx.locale = ve.locale) select locale, verdict, case when beside is null then st else 'refused' end as state, beside from j")
 def p2(spark, sf):
+    d = S.table(spark, sf, "documents")
     name = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 40 == 0, "@old").otherwise(""))
-    verdicts = S.table(spark, sf, "documents").groupBy(name.alias("locale")).agg(F.when(F.count("*") % 2 == 0, "changed").otherwise("same").alias("verdict"))
-    return L.rules_beside(verdicts, L.compare_rules(rules(spark, sf)))
+    verdicts = d.groupBy(name.alias("locale")).agg(F.when(F.count("*") % 2 == 0, "changed").otherwise("same").alias("verdict"))
+    n = F.expr(NUMBER) % 6
+    digests = d.select(F.col("source").alias("locale"), F.lit("m").alias("measured"), F.when(n == 0, "other").when(n > 1, "m").alias("compared")).distinct()
+    return L.rules_beside(verdicts, L.compare_rules(rules(spark, sf)), digests)
 
 
 COLL = "with co as (select doc_id, doc_id % 10 as db, case when doc_id % 4 = 0 then 'd' when doc_id % 4 = 1 then 'i' else 'c' end as provider, case when doc_id % 9 <> 0 then lang || '_' || upper(lang) end as collcollate, case when doc_id % 8 <> 0 then source end as collctype from documents), da as (select distinct doc_id % 10 as db, case when doc_id % 10 % 5 = 0 then 'i' else 'c' end as provider, case when doc_id % 10 % 3 = 0 then 'C' else 'de_DE' end as datcollate, 'en_US' as datctype from documents), j as (select co.*, case when co.provider = 'd' then da.provider else co.provider end = 'c' as libc, datcollate, datctype from co left join da on da.db = co.db) "

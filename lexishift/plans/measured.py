@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexishift.functions import keys
-from lexishift.functions.keys import levels
+from lexishift.functions.keys import PROFILES as P
+from lexishift.functions.keys import Profile, key_sql, levels
 from lexishift.operators import ctype as C
+from lexishift.operators import elements as E
 from lexishift.operators import measured as M
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
@@ -14,11 +16,22 @@ from lexishift.plans.audit import CTYPE, EDGES, NEW, NUMBER, RULES, STATE, ctype
 from lexishift.sources import corpus as S
 
 
-@query("f2_k_join", cte() + " select w, md5(kn) as k from k")
-def f2(spark, sf):
-    c = C.characters(S.table(spark, sf, "documents"), "text").withColumnRenamed("c", "element")
-    weights = c.select("element", *[x.alias(n) for n, x in zip(("w1", "w2", "w3"), levels(F.col("element"), NEW), strict=True)])
-    return M.k_join(words(spark, sf), "w", weights).select("w", F.md5("key").alias("k"))
+def _weighed(name: str, p, more: tuple[tuple[str, str], ...]):
+    """Keys under profile ``p`` from a table: every character of the texts and the elements ``more`` (element, what it is replaced by), as their levels weigh them."""
+
+    def run(spark, sf):
+        c = C.characters(S.table(spark, sf, "documents"), "text").select(F.col("c").alias("element"), F.col("c").alias("as"))
+        lacks = c.join(spark.createDataFrame(more, "element string, as string").select("element"), "element", "left_anti")
+        every = lacks.unionByName(spark.createDataFrame(more, "element string, as string"))
+        bare = Profile(p.name, p.levels)
+        weights = every.select("element", *[x.alias(n) for n, x in zip(("w1", "w2", "w3"), levels(F.col("as"), bare), strict=True)])
+        return E.k_join(words(spark, sf), "w", weights).select("w", F.md5("key").alias("k"))
+
+    query(name, cte(f"p as (select w, {key_sql('w', p)} as kp from words)") + " select w, md5(kp) as k from p")(run)
+
+
+_weighed("f2_k_join", P["ch_new"], P["ch_new"].pre)  # contractions
+_weighed("f2_expansions", P["ae"], P["ae"].pre)
 
 
 def _classes(sql: str) -> str:
@@ -46,7 +59,7 @@ def l6(spark, sf):
     return M.byte_order(kind.filter(n % 5 == 0), copies, kind.filter(n % 5 == 4))
 
 
-BUILDS = "bu as (select distinct 'old' as side, source || '.' || (doc_id % 7) as entry, source, 'c' || (doc_id % 7) as charmap from documents union select distinct 'new', source || '.' || (doc_id % 7) || case when doc_id % 7 = 3 then 'x' else '' end, source, 'c' || case when doc_id % 7 = 2 then 9 else doc_id % 7 end from documents where lang <> 'de' or doc_id % 7 <> 5)"
+BUILDS = "bu as (select distinct 'old' as side, source || '.' || (doc_id % 7) as entry, source, 'c' || (doc_id % 7) as charmap from documents union select distinct 'new', source || '.' || (doc_id % 7) || case when doc_id % 7 = 3 then 'x' else '' end, source, 'c' || case when doc_id % 7 = 2 then 9 else doc_id % 7 end from documents where lang <> 'de' or doc_id % 7 <> 5 union select distinct 'old', source || e, source, 'd1' from documents, (select unnest(['.e1', '.e2', '.e3']) as e) union select distinct 'new', source || e, source, 'd2' from documents, (select unnest(['.e2', '.e3', '.e4']) as e))"
 
 
 def builds(spark, sf):
@@ -55,15 +68,18 @@ def builds(spark, sf):
     entry = F.concat("source", F.lit("."), m.cast("string"))
     old = d.select(F.lit("old").alias("side"), entry.alias("entry"), "source", F.concat(F.lit("c"), m.cast("string")).alias("charmap"))
     new = d.filter((F.col("lang") != "de") | (m != 5)).select(F.lit("new").alias("side"), F.concat(entry, F.when(m == 3, "x").otherwise("")).alias("entry"), "source", F.concat(F.lit("c"), F.when(m == 2, 9).otherwise(m).cast("string")).alias("charmap"))
-    return old.unionByName(new).distinct()
+    several = lambda side, charmap, *ends: d.select(F.lit(side).alias("side"), F.explode(F.array(*[F.concat("source", F.lit(e)) for e in ends])).alias("entry"), "source", F.lit(charmap).alias("charmap"))
+    return old.unionByName(new).unionByName(several("old", "d1", ".e1", ".e2", ".e3")).unionByName(several("new", "d2", ".e2", ".e3", ".e4")).distinct()
 
 
 @query(
     "l13_common_builds",
-    "with " + BUILDS + ", o1 as (select source, charmap, min(entry) as entry from bu where side = 'old' group by 1, 2), n1 as (select source, charmap, min(entry) as entry from bu where side = 'new' group by 1, 2), j as (select coalesce(o1.source, n1.source) as source, coalesce(o1.charmap, n1.charmap) as charmap, o1.entry as oe, n1.entry as ne from o1 full join n1 on o1.source = n1.source and o1.charmap = n1.charmap) select source, oe as old_entry, ne as new_entry, charmap as old_charmap, charmap as new_charmap from j where oe is not null and ne is not null union all select a.source, a.oe, b.ne, a.charmap, b.charmap from j a join j b on a.source = b.source and a.oe = b.ne where a.ne is null and b.oe is null",
+    "with " + BUILDS + ", lo as (select * from bu o where side = 'old' and not exists (select 1 from bu n where n.side = 'new' and n.source = o.source and n.charmap = o.charmap)), ln as (select * from bu n where side = 'new' and not exists (select 1 from bu o where o.side = 'old' and n.source = o.source and n.charmap = o.charmap)), pr as (select source, min(case when side = 'old' then entry end) as old_entry, min(case when side = 'new' then entry end) as new_entry, charmap as old_charmap, charmap as new_charmap from bu group by source, charmap having count(distinct side) = 2 union all select lo.source, min(lo.entry), min(lo.entry), lo.charmap, ln.charmap from lo join ln on lo.source = ln.source and lo.entry = ln.entry group by lo.source, lo.charmap, ln.charmap) select *, case when source in (select source from documents where doc_id % 3 = 0) and source not in ('src7', 'src11') then 'compared' else 'not compared' end as state from pr",
 )
 def l13(spark, sf):
-    return M.common_builds(builds(spark, sf))
+    d = S.table(spark, sf, "documents")
+    present = d.filter("doc_id % 3 = 0").select(F.lit("old").alias("side"), "source").unionByName(d.filter("source not in ('src7', 'src11')").select(F.lit("new").alias("side"), "source"))
+    return M.common_builds(builds(spark, sf), present)
 
 
 @query(
@@ -77,39 +93,62 @@ def l12(spark, sf):
     return M.unbuilt_affected(edges(spark, sf), hits, built, d.select("source").distinct(), spark.createDataFrame([("m7",), ("m8",)], "charmap string"))
 
 
-TRANSLIT = """with ch as (select distinct lang, unicode(unnest(string_split(text, '')))::int as cp from documents),
+TRANSLIT = """with recursive ch as (select distinct lang, unicode(unnest(string_split(text, '')))::int as cp from documents),
 el as (select lang as source, cp from ch where cp > 0), pt as (select distinct cp from el),
-ta as (select distinct source, 't' || t as tbl, case when source = 'de' then 1 - t else t end as depth from el, (select unnest([0, 1]) as t)),
-en as (select 't' || (cp % 2) as tbl, 1 as ord, cp, 0 as alt, [cp - 32, 97] as answer from pt union all select 't' || (cp % 2), 1, cp, 1, [97 + cp % 26] from pt union all select 't' || (cp % 2), 0, cp, 0, [cp] from pt union all select 't1', 2, cp, 0, [228] from pt where cp % 3 = 0),
+inc as (select distinct 'r_' || lang as tbl, case when lang = 'de' then 2 - t else 1 + t end as ord, 't' || t as inc from documents, (select unnest([0, 1]) as t) union all select * from (values ('t0', 1, 't2'), ('t1', 2, 't3'), ('t1', 1, 't2'), ('t3', 1, 't4'), ('t4', 7, 't1'))),
+vis as (select distinct lang as source, 'r_' || lang as tbl, [0] as path, ['r_' || lang] as w, false as back from documents union all select v.source, i.inc, list_append(v.path, i.ord), list_append(v.w, i.inc), list_contains(v.w, i.inc) from vis v join inc i on i.tbl = v.tbl where not v.back),
+en as (select 't' || (cp % 2) as tbl, 1 as ord, cp, 0 as alt, [cp - 32, 97] as answer from pt union all select 't' || (cp % 2), 1, cp, 1, [97 + cp % 26] from pt where cp % 4 <> 1 union all select 't' || (cp % 2), 0, cp, 0, [cp] from pt union all select 't1', 2, cp, 0, [228] from pt where cp % 3 = 0 union all select 't2', 1, cp, 0, [101] from pt where cp % 5 = 0 union all select 't4', 1, cp, 0, [102] from pt where cp % 7 = 0 union all select 'r_fr', 1, cp, 0, [103] from pt where cp % 11 = 0),
 ne as (select tbl, cp, max(ord) as ord from en group by 1, 2), lv as (select en.* from en join ne using (tbl, cp, ord)),
 ok as (select * from lv where {fits}),
-an as (select e.source, e.cp, ta.depth, o.alt, array_to_string(o.answer, ' ') as answer, row_number() over (partition by e.source, e.cp order by ta.depth, o.alt) as r from el e join ta on ta.source = e.source join ok o on o.tbl = ta.tbl and o.cp = e.cp)
+an as (select e.source, e.cp, v.path, o.alt, array_to_string(o.answer, ' ') as answer, row_number() over (partition by e.source, e.cp order by v.path, o.alt) as r from el e join vis v on v.source = e.source and not v.back join ok o on o.tbl = v.tbl and o.cp = e.cp),
+sk as (select source, min(path) as stuck from vis where back group by 1),
+rs as (select e.source, e.cp, case when an.path is not null and (sk.stuck is null or an.path < sk.stuck) then 'built' when sk.stuck is not null then 'unsettled' end as state, case when an.path is not null and (sk.stuck is null or an.path < sk.stuck) then an.answer end as answer from el e left join an on an.source = e.source and an.cp = e.cp and an.r = 1 left join sk on sk.source = e.source)
 """
 
 
 def _translit_sql(langs: str) -> str:
-    return TRANSLIT.format(fits=f"not exists (select 1 from (select unnest(lv.answer) as x) q where x not in (select cp from ch where lang in ({langs})))")
+    return TRANSLIT.format(fits=_fits(langs))
+
+
+def _fits(langs: str) -> str:
+    return f"not exists (select 1 from (select unnest(lv.answer) as x) q where x not in (select cp from ch where lang in ({langs})))"
 
 
 def resolved(spark, sf, langs):
+    """Elements of each language, searched in its own table, then in what that includes: nested tables, one included twice, and one that leads back."""
     d = S.table(spark, sf, "documents").select("lang", F.explode(F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != ""))).alias("c")).select("lang", F.ascii("c").alias("cp")).filter("cp > 0").distinct()
     elements, cp = d.select(F.col("lang").alias("source"), "cp"), F.col("cp")
     points, own = elements.select("cp").distinct(), F.concat(F.lit("t"), (cp % 2).cast("string"))
-    entry = lambda tbl, ord_, alt, *answer: F.struct(tbl.alias("tbl"), F.lit(ord_).alias("ord"), F.lit(alt).alias("alt"), F.array(*answer).alias("answer"))
-    late = F.when(cp % 3 == 0, F.array(entry(F.lit("t1"), 2, 0, F.lit(228)))).otherwise(F.array().cast("array<struct<tbl:string,ord:int,alt:int,answer:array<int>>>"))
-    entries = points.select("cp", F.explode(F.concat(F.array(entry(own, 1, 0, cp - 32, F.lit(97)), entry(own, 1, 1, 97 + cp % 26), entry(own, 0, 0, cp)), late)).alias("e")).select("cp", "e.*")
-    tables = elements.select("source").distinct().select("source", F.explode(F.array(F.lit(0), F.lit(1))).alias("t")).select("source", F.concat(F.lit("t"), F.col("t").cast("string")).alias("tbl"), F.when(F.col("source") == "de", 1 - F.col("t")).otherwise(F.col("t")).alias("depth"))
-    return M.translit_resolve(elements, tables, entries, d.filter(F.col("lang").isin(*langs)).select("cp")).withColumn("answer", F.array_join(F.transform("answer", lambda x: x.cast("string")), " "))
-
-
-@query("l14_translit_resolve", _translit_sql("'en'") + " select source, cp, answer from an where r = 1")
+    entry = lambda when, tbl, ord_, alt, *answer: F.when(when, F.struct(tbl.alias("tbl"), F.lit(ord_).alias("ord"), F.lit(alt).alias("alt"), F.array(*answer).alias("answer")))
+    every = F.lit(True)
+    rows = [
+        entry(every, own, 1, 0, cp - 32, F.lit(97)), entry(cp % 4 != 1, own, 1, 1, 97 + cp % 26), entry(every, own, 0, 0, cp), entry(cp % 3 == 0, F.lit("t1"), 2, 0, F.lit(228)),
+        entry(cp % 5 == 0, F.lit("t2"), 1, 0, F.lit(101)), entry(cp % 7 == 0, F.lit("t4"), 1, 0, F.lit(102)), entry(cp % 11 == 0, F.lit("r_fr"), 1, 0, F.lit(103)),
+    ]
+    entries = points.select("cp", F.explode(F.array_compact(F.array(*rows))).alias("e")).select("cp", "e.*")
+    source, t = F.col("source"), F.col("t")
+    roots = elements.select("source").distinct().select("source", F.concat(F.lit("r_"), "source").alias("tbl"))
+    includes = roots.select("source", "tbl", F.explode(F.array(F.lit(0), F.lit(1))).alias("t")).select("tbl", F.when(source == "de", 2 - t).otherwise(1 + t).alias("ord"), F.concat(F.lit("t"), t.cast("string")).alias("inc"))
+    nested = spark.createDataFrame([("t0", 1, "t2"), ("t1", 2, "t3"), ("t1", 1, "t2"), ("t3", 1, "t4"), ("t4", 7, "t1")], "tbl string, ord int, inc string")
+    out = M.translit_resolve(elements, roots, includes.unionByName(nested), entries, d.filter(F.col("lang").isin(*langs)).select("cp"))
+    return out.withColumn("answer", F.array_join(F.transform("answer", lambda x: x.cast("string")), " "))
+
+
+@query("l14_translit_resolve", _translit_sql("'en'") + " select source, cp, state, answer from rs where state is not null")
 def l14(spark, sf):
     return resolved(spark, sf, ["en"])
 
 
+_both = _translit_sql("'en'").rstrip()
+for _name, _new in (("ok as", "ok2 as"), ("an as", "an2 as"), ("rs as", "rs2 as")):
+    _part = _both[_both.index(f"\n{_name}") + 1 :].split("\n")[0].rstrip(",")
+    _part = _part.replace(_name, _new, 1).replace(_fits("'en'"), _fits("'en', 'de'")).replace("join ok o", "join ok2 o").replace("join an on", "join an2 an on")
+    _both += ",\n" + _part
+
+
 @query(
     "l15_translit_diff",
-    _translit_sql("'en'").rstrip() + ", o as (select source, cp, answer from an where r = 1), ok2 as (select * from lv where not exists (select 1 from (select unnest(lv.answer) as x) q where x not in (select cp from ch where lang in ('en', 'de')))), a2 as (select e.source, e.cp, array_to_string(k.answer, ' ') as answer, row_number() over (partition by e.source, e.cp order by ta.depth, k.alt) as r from el e join ta on ta.source = e.source join ok2 k on k.tbl = ta.tbl and k.cp = e.cp), n as (select source, cp, answer from a2 where r = 1) select coalesce(o.source, n.source) as source, coalesce(o.cp, n.cp) as cp, o.answer as old, n.answer as new from o full join n on n.source = o.source and n.cp = o.cp where o.answer is distinct from n.answer",
+    _both + " select coalesce(o.source, n.source) as source, coalesce(o.cp, n.cp) as cp, case when 'unsettled' in (coalesce(o.state, ''), coalesce(n.state, '')) then 'not compared' else 'differs' end as state, o.answer as old, n.answer as new from (select * from rs where state is not null) o full join (select * from rs2 where state is not null) n on n.source = o.source and n.cp = o.cp where 'unsettled' in (coalesce(o.state, ''), coalesce(n.state, '')) or o.answer is distinct from n.answer",
 )
 def l15(spark, sf):
     return M.translit_diff(resolved(spark, sf, ["en"]), resolved(spark, sf, ["en", "de"]))
@@ -117,15 +156,32 @@ def l15(spark, sf):
 
 @query(
     "l18_rules_by_measured_name",
-    RULES + ", " + STATE + f", nm as (select distinct case doc_id % 6 when 0 then 'C' when 1 then 'POSIX' when 2 then source when 3 then source || '.UTF-8' when 4 then 'alias_' || source else lang || '_XX' end as name from documents), al as (select distinct 'alias_' || source as alias, source || '.utf8' as locale from documents), cm as (select distinct source as file, case when {NUMBER} % 3 = 0 then 'changed' else 'transliteration' end as charmap from documents), j as (select nm.name, regexp_replace(coalesce(al.locale, nm.name), '^([^.]*)[.][^@]*', '\\1') as src from nm left join al on al.alias = nm.name), k as (select j.name, case when s1.locale is not null then j.name else j.src end as key, coalesce(s1.state, s2.state) as state, case when s1.locale is not null then coalesce(s1.why, '') when s2.locale is not null then coalesce(s2.why, '') end as why from j left join st s1 on s1.locale = j.name left join st s2 on s2.locale = j.src) "
-    + "select name, case when name not in ('C', 'POSIX') then key end as key, case when name in ('C', 'POSIX') then 'built in' else coalesce(state, 'not compared') end as state, case when name in ('C', 'POSIX') then 'no locale file' else coalesce(why, 'no locale file of that name') end as why, case when name in ('C', 'POSIX') then '-' else coalesce(cm.charmap, '-') end as charmap from k left join cm on cm.file = k.key",
+    RULES + ", " + STATE + f""", so as (select distinct source, {NUMBER} as nr from documents),
+nm as (select distinct case doc_id % 6 when 0 then 'C' when 1 then 'POSIX' when 2 then source when 3 then source || '.UTF-8' when 4 then 'alias_' || source else lang || '_XX' end as name from documents),
+al as (select 'alias_' || source as alias, source || '.utf8' as locale from so),
+s2 as (select locale, state, why from st union all select 'alias_' || source, 'same', null from so where nr % 2 = 0),
+ur as (select source as key, 'cut short; no rules' as why from so where nr % 7 = 3),
+cm as (select source as file, min(doc_id % 4) as best from documents where {NUMBER} % 3 <> 2 group by 1),
+j as (select nm.name, regexp_replace(coalesce(al.locale, nm.name), '^([^.]*)[.][^@]*', '\\1') as src from nm left join al on al.alias = nm.name),
+k as (select j.*, case when j.name in (select locale from s2) then j.name else j.src end as key from j)
+select k.name, case when k.name not in ('C', 'POSIX') then k.key end as key,
+case when k.name in ('C', 'POSIX') then 'built in' when ur.key is not null then 'not compared' else coalesce(s2.state, 'not compared') end as state,
+case when k.name in ('C', 'POSIX') then 'no locale file' when ur.key is not null then 'not read: ' || ur.why when s2.locale is not null then coalesce(s2.why, '') else 'no locale file of that name' end as why,
+case when k.name in ('C', 'POSIX') then '-' else coalesce((['changed', 'transliteration', 'not compared', 'transliteration not compared'])[coalesce(c1.best, c2.best) + 1], case when k.name like '%_XX' and k.name not like 'de%' then 'not compared' else '-' end) end as charmap
+from k left join s2 on s2.locale = k.key left join ur on ur.key = k.key left join cm c1 on c1.file = k.key left join cm c2 on c2.file = k.src""",
 )
 def l18(spark, sf):
     d, m = S.table(spark, sf, "documents"), F.col("doc_id") % 6
     name = F.when(m == 0, "C").when(m == 1, "POSIX").when(m == 2, F.col("source")).when(m == 3, F.concat("source", F.lit(".UTF-8"))).when(m == 4, F.concat(F.lit("alias_"), "source")).otherwise(F.concat("lang", F.lit("_XX")))
-    aliases = d.select(F.concat(F.lit("alias_"), "source").alias("alias"), F.concat("source", F.lit(".utf8")).alias("locale"))
-    charmaps = d.select(F.col("source").alias("file"), F.when(F.expr(NUMBER) % 3 == 0, "changed").otherwise("transliteration").alias("charmap")).distinct()
-    return M.rules_by_measured_name(d.select(name.alias("name")), aliases, L.compare_rules(rules(spark, sf)), charmaps, lambda c: keys.locale_source(F.col(c)))
+    so, nr = d.select("source", F.expr(NUMBER).alias("nr")).distinct(), F.col("nr")
+    alias = F.concat(F.lit("alias_"), "source")
+    aliases = so.select(alias.alias("alias"), F.concat("source", F.lit(".utf8")).alias("locale"))
+    compared = L.compare_rules(rules(spark, sf)).unionByName(so.filter(nr % 2 == 0).select(alias.alias("locale"), F.lit("same").alias("state"), F.lit(None).cast("string").alias("why")))
+    states = F.element_at(F.array(*map(F.lit, L.STATES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    charmaps = d.filter(F.expr(NUMBER) % 3 != 2).select(F.col("source").alias("file"), states.alias("charmap"))
+    unread = so.filter(nr % 7 == 3).select(F.col("source").alias("key"), F.explode(F.array(F.lit("no rules"), F.lit("cut short"))).alias("why"))
+    untraced = d.filter("lang <> 'de'").select(F.concat("lang", F.lit("_XX")).alias("name")).distinct()
+    return M.rules_by_measured_name(d.select(name.alias("name")), aliases, compared, charmaps, keys.locale_source, unread, untraced)
 
 
 _MEMBER = "case when list_contains(string_split({c}, ','), f) then 't' else 'f' end"

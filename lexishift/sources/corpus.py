@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexishift.sources.shared import settled  # noqa: F401  (plans take it from here)
+
 WORD = "[A-Za-zÀ-ÿ]+"
 
 
@@ -47,12 +49,6 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, encoding string, locale string").csv(path, sep="|", mode="FAILFAST")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once to the session's checkpoint folder, for plans that read it several times. Where no folder is set (tests), ``df`` itself."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-
-
 ANSWER_KINDS = ("header", "test", "collation", "gone", "end")
 
 

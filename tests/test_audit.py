@@ -11,6 +11,7 @@ from lexishift.operators import confirm as V
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
 from lexishift.operators import exposure as E
+from lexishift.operators import elements
 from lexishift.operators import measured as M
 from lexishift.plans import audit, catalog, exposure, measured
 from lexishift.sources import corpus as S
@@ -222,7 +223,7 @@ def test_byte_order_through_single_copies(spark):
 def test_common_builds_pair_renamed_entries_and_changed_charmaps(spark):
     rows = [("old", "az.UTF-8", "az", "UTF-8"), ("new", "az", "az", "UTF-8"), ("old", "tt", "tt", "KOI8-T"), ("new", "tt", "tt", "UTF-8"), ("old", "gone", "gone", "UTF-8"), ("new", "fresh", "fresh", "UTF-8")]
     got = M.common_builds(spark.createDataFrame(rows, "side string, entry string, source string, charmap string")).collect()
-    assert {tuple(r) for r in got} == {("az", "az.UTF-8", "az", "UTF-8", "UTF-8"), ("tt", "tt", "tt", "KOI8-T", "UTF-8")}
+    assert {tuple(r) for r in got} == {("az", "az.UTF-8", "az", "UTF-8", "UTF-8", "compared"), ("tt", "tt", "tt", "KOI8-T", "UTF-8", "compared")}
 
 
 def test_a_valid_report_has_no_violations(spark):
@@ -254,7 +255,7 @@ def test_keys_from_a_table_equal_keys_from_literals(spark):
     from lexishift.functions.keys import levels
 
     weights = spark.createDataFrame(chars, "element string").select("element", *[x.alias(n) for n, x in zip(("w1", "w2", "w3"), levels(F.col("element"), NEW), strict=True)])
-    rows = M.k_join(df, "w", weights).select("w", "key", key(F.col("w"), NEW).alias("k")).collect()
+    rows = elements.k_join(df, "w", weights).select("w", "key", key(F.col("w"), NEW).alias("k")).collect()
     assert len(rows) == 4 and all(r.key == r.k for r in rows)
 
 
