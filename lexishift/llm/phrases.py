@@ -11,7 +11,8 @@ it is counted at step t if it passes the filter of step t and not that of ``SHAR
 state in the tasks. A bit set by another phrase lets a phrase be counted in vain; none is missed, and a full filter costs time, not results.
 Counts of phrases in the middle of their cycle are one table, summed by hash; those that reach the threshold or end their cycle leave it.
 
-A last scan counts what passed by its text, so results do not rest on hashes. Scores are exact: products are taken as decimals.
+A last scan counts what has passed the filter by 128 bits of two independent hashes, and takes down its text where a task first meets it, so results do not rest on the 64 bits
+that the filter and the tables of sums go by. Scores are exact: products are taken as decimals.
 
 Defined results: a null or empty text has no words; a null ``lang`` is ``und``; repeated rows count again; ties in score go to the more frequent
 phrase, then to the smaller in byte order; an empty table gives an empty result; other columns are ignored; words may have any length.
@@ -37,9 +38,8 @@ _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 3)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(21)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = [(np.uint64(x), np.uint64(pow(x, -1, 1 << 64))) for x in (0x9E3779B97F4A7C15 | 3, 0xD1342543DE82EF95 | 3)]
+_BYTE = np.random.Generator(np.random.PCG64(21)).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,39 +52,33 @@ class Tokens:
     """The words of some texts of one language: hashes, places in the lower-cased bytes, and the number of the piece each stands in."""
 
     def __init__(self, texts: list[bytes], lang: bytes):
-        self.bytes = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+        self.bytes, self.lang = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)], lang
         kind = _KIND[self.bytes]
         edge = np.flatnonzero(np.diff(kind == 0, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
+        self.word = self._hashed(_BYTE[0], _STEPS[0])
+        self.piece = np.cumsum(kind == 2)[self.start] if len(kind) else np.zeros(0, np.int64)
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        """A second hash of each word, independent of the first."""
+        return self._hashed(_BYTE[1], _STEPS[1])
+
+    def _hashed(self, table: np.ndarray, steps: tuple[np.uint64, np.uint64]) -> np.ndarray:
         n = len(self.bytes)
-        power = np.cumprod(np.full(n, _STEP))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.bytes] * power)])
-        back = np.cumprod(np.full(n, _BACK))
-        own = (np.sum(_BYTE[np.frombuffer(lang, np.uint8)] * np.cumprod(np.full(len(lang), _STEP)), dtype=np.uint64) + np.uint64(len(lang))) if lang else np.uint64(0)
-        self.word = mixed((total[self.end] - total[self.start]) * back[self.start] + np.uint64(1) * (self.end - self.start).astype(np.uint64) + mixed(np.array([own]))[0])
-        self.piece = np.cumsum(kind == 2)[self.start] if n else np.zeros(0, np.int64)
+        power, back = (np.cumprod(np.full(n, x)) for x in steps)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[self.bytes] * power)])
+        own = np.array([sum(int(table[c]) * pow(int(steps[0]), i + 1, 1 << 64) for i, c in enumerate(self.lang)) + len(self.lang) & (1 << 64) - 1], np.uint64)
+        return mixed((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64) + mixed(own)[0])
 
-    def longer(self, hashes: np.ndarray, length: int) -> np.ndarray:
-        """Names of the phrases of ``length`` words that begin at each place, from those of one word less."""
-        return mixed(hashes[:-1] * np.uint64(2 * length + 1) + mixed(self.word[length - 1 :] ^ np.uint64(length)))
+    def longer(self, hashes: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+        """Names of the phrases of ``length`` words that begin at each place, from those of one word less and the words' own."""
+        return mixed(hashes[:-1] * np.uint64(2 * length + 1) + mixed(words[length - 1 :] ^ np.uint64(length)))
 
     def whole(self, length: int) -> np.ndarray:
         """Does the phrase of ``length`` words at a place lie within one piece."""
         return self.piece[length - 1 :] == self.piece[: len(self.piece) - length + 1]
 
-    @cached_property
-    def apart(self) -> bool:
-        """Do words with one hash have the same bytes; each is held against the first of its hash."""
-        _, first, number = np.unique(self.word, return_index=True, return_inverse=True)
-        model, live, step, size = first[number.ravel()], np.arange(len(self.word)), 0, self.end - self.start
-        if (size != size[model]).any():
-            return False
-        while len(live := live[size[live] > step]):
-            if (self.bytes[self.start[live] + step] != self.bytes[self.start[model[live]] + step]).any():
-                return False
-            step += 1
-        return True
-
     def text(self, at: int, length: int) -> bytes:
         return b" ".join(self.bytes[self.start[k] : self.end[k]].tobytes() for k in range(at, at + length))
 
@@ -149,7 +143,7 @@ def active(tokens: Tokens, now: Filter, before: Filter, longest: int) -> Iterato
         both = pass_now[:-1] & pass_now[1:] & tokens.whole(length)
         if not both.any():
             return
-        names = tokens.longer(names, length)
+        names = tokens.longer(names, tokens.word, length)
         fresh = np.flatnonzero(both & ~(pass_before[:-1] & pass_before[1:]))
         yield length, fresh, names[fresh]
 
@@ -205,40 +199,88 @@ def _scan(now_uri: str | None, before_uri: str | None, bits: int, words: bool, l
     return run
 
 
+class Named:
+    """Counts by both hashes of a phrase, and its text where a task first meets it."""
+
+    def __init__(self):
+        self.parts, self.size, self.seen, self.texts = [], 0, np.zeros(0, np.uint64), {}
+
+    def add(self, tokens: Tokens, length: int, places: np.ndarray, names: np.ndarray, checks: np.ndarray) -> None:
+        if not len(names):
+            return
+        _, first, number, n = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        if (checks != checks[first][number.ravel()]).any():  # two phrases share a name
+            _, first, n = np.unique(np.stack([names, checks], 1), axis=0, return_index=True, return_counts=True)
+        self.parts.append(np.stack([names[first], checks[first], n.astype(np.uint64)]))
+        self.size += len(first)
+        ids = self.ids(names[first], checks[first])
+        at = np.minimum(np.searchsorted(self.seen, ids), max(0, len(self.seen) - 1))
+        fresh = self.seen[at] != ids if len(self.seen) else np.ones(len(ids), bool)
+        for k, own in zip(first[fresh].tolist(), ids[fresh].tolist(), strict=True):
+            self.texts[own] = tokens.text(int(places[k]), length)
+        self.seen = np.union1d(self.seen, ids[fresh])
+
+    @staticmethod
+    def ids(names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        return mixed(names ^ checks * np.uint64(0x2545F4914F6CDD1D))
+
+    def fold(self) -> None:
+        names, checks, n = np.concatenate(self.parts, 1) if self.parts else np.zeros((3, 0), np.uint64)
+        order = np.lexsort((checks, names))
+        names, checks, n = names[order], checks[order], n[order]
+        edge = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])])) if len(names) else np.zeros(0, np.int64)
+        self.parts = [np.stack([names[edge], checks[edge], np.add.reduceat(n, edge)])] if len(edge) else []
+        self.size = len(edge)
+
+    def batch(self, lang: str, length: int) -> pa.RecordBatch:
+        """What has been counted, folded; counting begins anew, and texts told are not told again."""
+        self.fold()
+        names, checks, n = self.parts[0] if self.parts else np.zeros((3, 0), np.uint64)
+        texts = [self.texts.get(own) for own in self.ids(names, checks).tolist()]
+        self.parts, self.size, self.texts = [], 0, {}
+        if len(self.seen) > 2 * KNOWN:
+            self.seen = np.zeros(0, np.uint64)
+        return _rows(lang, length, names, checks, texts, n)
+
+
+def _rows(lang: str, length: int, names, checks, texts, n) -> pa.RecordBatch:
+    size = len(names)
+    columns = [pa.array([lang] * size, pa.string()), pa.array(np.full(size, length, np.int32)), pa.array(names.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "length", "name", "check", "phrase", "n"])
+
+
+NAMED = "lang string, length int, name long, check long, phrase string, n long"
+
+
 def _named(uri: str | None, bits: int, longest: int):
-    """(lang, length, phrase, n) of the words and phrases that pass the filter, and under length 0 how many words there are."""
+    """(lang, length, name, check, phrase, n) of the words and phrases that pass the filter, the text where a task first meets one; under length 0 how many words there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nothing = Filter(uri, bits), Filter(None, bits)
-        held: dict[tuple[str, int, bytes], int] = {}
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
-                names=["lang", "length", "phrase", "n"],
-            )
-
+        held: dict[tuple[str, int], Named] = {}
+        words: dict[str, int] = {}
         for batch in batches:
             for lang, texts in languages(batch):
                 tokens = Tokens(texts, lang.encode("utf-8"))
-                held[lang, 0, b""] = held.get((lang, 0, b""), 0) + len(tokens.word)
-                own = np.flatnonzero(now.has(tokens.word))
+                words[lang] = words.get(lang, 0) + len(tokens.word)
+                own, checks, reached = np.flatnonzero(now.has(tokens.word)), tokens.check, 1
                 for length, places, names in [(1, own, tokens.word[own]), *active(tokens, now, nothing, longest)]:
-                    if length > 1:
-                        good = now.has(names)
-                        places, names = places[good], names[good]
-                    _, first, number, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-                    model = places[first][number.ravel()]
-                    if not tokens.apart or any((tokens.word[places + k] != tokens.word[model + k]).any() for k in range(length)):  # two words or phrases share a name
-                        first, counts = np.arange(len(places)), np.ones(len(places), np.int64)
-                    for k, n in zip(first.tolist(), counts.tolist(), strict=True):
-                        key = lang, length, tokens.text(int(places[k]), length)
-                        held[key] = held.get(key, 0) + n
-                if len(held) > KNOWN // 4:
-                    yield out()
-                    held.clear()
-        yield out()
+                    while reached < length:
+                        reached += 1
+                        checks = tokens.longer(checks, tokens.check, reached)
+                    good = now.has(names)
+                    held.setdefault((lang, length), Named()).add(tokens, length, places[good], names[good], checks[places[good]])
+                if sum(x.size for x in held.values()) > KNOWN:
+                    for x in held.values():
+                        x.fold()
+                    if sum(x.size for x in held.values()) > KNOWN // 2:
+                        for (a, k), x in held.items():
+                            yield x.batch(a, k)
+        for (lang, length), x in held.items():
+            yield x.batch(lang, length)
+        for lang, n in words.items():
+            zero = np.zeros(1, np.uint64)
+            yield _rows(lang, 0, zero, zero, [b""], np.array([n]))
 
     return run
 
@@ -295,8 +337,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(f"{root}/dealt")
     uri, bits = frequent(docs.sparkSession, f"{root}/dealt", root, shards, longest, least)
-    named = rows.mapInArrow(_named(uri, bits, longest), "lang string, length int, phrase string, n long")
-    return materialise(named.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("length") == 0)), f"{root}/phrases")
+    named = rows.mapInArrow(_named(uri, bits, longest), NAMED).groupBy("lang", "length", "name", "check").agg(F.sum("n").alias("n"), F.max("phrase").alias("phrase"))
+    return materialise(named.filter((F.col("n") >= least) | (F.col("length") == 0)).select("lang", "length", "phrase", "n"), f"{root}/phrases")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, top: int = TOP, covered: int = COVERED) -> DataFrame:

@@ -88,12 +88,17 @@ def test_a_full_filter_and_shared_names_change_nothing(spark, monkeypatch):
     assert told(phrases.collocations(frame(spark, docs), least=8)) == brute(docs, 8)
 
 
-def test_words_with_one_hash_are_told_apart():
+def test_phrases_with_one_name_are_told_apart():
+    """Where the first hash of all words is the same, the second still parts them."""
     tokens = phrases.Tokens([b"ab cd ab", b"cd"], b"en")
-    assert tokens.apart
-    tokens = phrases.Tokens([b"ab cd ab", b"cd"], b"en")
-    tokens.word[:] = 7
-    assert not tokens.apart
+    assert len({*zip(tokens.word.tolist(), tokens.check.tolist(), strict=True)}) == 2
+    named, places = phrases.Named(), np.arange(4)
+    for _ in range(2):
+        named.add(tokens, 1, places, np.full(4, 7, np.uint64), tokens.check)
+    rows = named.batch("en", 1).to_pylist()
+    assert sorted((r["phrase"], r["n"]) for r in rows) == [("ab", 4), ("cd", 4)]
+    named.add(tokens, 1, places, np.full(4, 7, np.uint64), tokens.check)
+    assert [r["phrase"] for r in named.batch("en", 1).to_pylist()] == [None, None]  # texts are told once
 
 
 def test_arithmetic_beyond_64_bits(spark):
