@@ -2,7 +2,7 @@
 
 A profile is a set of rules: replacements made first (contractions, expansions) and one ``translate`` a level.
 Comparing keys as bytes gives the profile's total order: all first-level weights, then the second level, then
-the third, then the string itself. Nulls stay null. Every expression here is code-generated and foldable, so
+the third, then (where a profile has such characters) the places of characters that the first three ignore, then the string itself. Nulls stay null. Every expression here is code-generated and foldable, so
 ``key(lit(x))`` becomes a constant.
 """
 
@@ -24,11 +24,17 @@ CH = ""
 
 @dataclass(frozen=True)
 class Profile:
-    """``pre`` pairs are replaced in order, then each level translates (a shorter target deletes characters)."""
+    """``pre`` pairs are replaced in order, then each level translates (a shorter target deletes characters). Characters of ``small`` count for nothing
+    on these levels; on a fourth they are compared with their places, every other character being ``OTHER`` there."""
 
     name: str
     levels: tuple[tuple[str, str], ...]
     pre: tuple[tuple[str, str], ...] = field(default=())
+    small: str = ""
+
+
+#: Names of the levels, and what stands for the other characters on the fourth: it sorts after all of them.
+LEVELS, OTHER = ("letter", "accent", "case", "smaller"), "\uffee"
 
 
 _accents = (UP, LOW)
@@ -43,6 +49,7 @@ PROFILES = {
         Profile("tail_new", (FOLD, _accents, SWAP)),
         Profile("ae", (FOLD, _accents, SWAP), (("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"))),
         Profile("hyphen", ((FOLD[0] + "e", FOLD[1]), _accents, SWAP)),
+        Profile("small", (FOLD, _accents, SWAP), small="hH"),
         Profile("same", (FOLD, _accents, SWAP)),
         Profile("bytes", ()),
     )
@@ -52,7 +59,7 @@ PROFILES = {
 def _pairs(p: Profile) -> list[tuple[str, str]]:
     out = []
     for src, dst in p.levels:
-        last = {c: (dst[i] if i < len(dst) else "") for i, c in enumerate(src)}  # a later rule for a character replaces an earlier one
+        last = {c: (dst[i] if i < len(dst) else "") for i, c in enumerate(src)} | dict.fromkeys(p.small, "")  # a later rule for a character replaces an earlier one
         keep = [c for c in last if last[c]]
         out.append(("".join(keep) + "".join(c for c in last if not last[c]), "".join(last[c] for c in keep)))
     return out
@@ -61,7 +68,12 @@ def _pairs(p: Profile) -> list[tuple[str, str]]:
 def levels(col: Column, p: Profile) -> list[Column]:
     for a, b in p.pre:
         col = F.replace(col, F.lit(a), F.lit(b))
-    return [F.translate(col, a, b) for a, b in _pairs(p)]
+    small = [F.regexp_replace(col, _others(p), OTHER)] if p.small else []
+    return [F.translate(col, a, b) for a, b in _pairs(p)] + small
+
+
+def _others(p: Profile) -> str:
+    return "[^" + "".join("\\" + c if c in "\\]^-[" else c for c in p.small) + "]"
 
 
 def key(col: Column, p: Profile) -> Column:
@@ -76,7 +88,8 @@ def quoted(s: str) -> str:
 def levels_sql(expr: str, p: Profile) -> list[str]:
     for a, b in p.pre:
         expr = f"replace({expr}, {quoted(a)}, {quoted(b)})"
-    return [f"translate({expr}, {quoted(a)}, {quoted(b)})" for a, b in _pairs(p)]
+    small = [f"regexp_replace({expr}, {quoted(_others(p))}, {quoted(OTHER)}, 'g')"] if p.small else []
+    return [f"translate({expr}, {quoted(a)}, {quoted(b)})" for a, b in _pairs(p)] + small
 
 
 def key_sql(expr: str, p: Profile) -> str:

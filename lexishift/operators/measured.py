@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexishift.operators.graphs import closure, include_order
 from lexishift.operators.rules import both_sides, strongest_state, sum_hash
+from lexishift.operators.strings import run_problems
 
 
 def ctype_changes(ctype: DataFrame) -> DataFrame:
@@ -155,18 +156,20 @@ def finding_groups(findings: DataFrame) -> DataFrame:
 
 
 def validate(runs: DataFrame, told: DataFrame, groups: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(locale, problem), a row a violation, none for a valid report: runs (locale, seq, first, last) that are empty or not after the run before,
-    counts ``told`` (locale, n) that are not those of the runs, and ``groups`` (locale) that are not the verdicts' changed locales."""
-    last = runs.select("locale", (F.col("seq") + 1).alias("seq"), F.col("last").alias("_last"))
-    empty = runs.filter(F.col("last") < F.col("first")).select("locale", F.lit("empty run").alias("problem"))
-    order = runs.join(last, ["locale", "seq"]).filter(F.col("first") <= F.col("_last")).select("locale", F.lit("run not after the one before").alias("problem"))
-    held = runs.groupBy("locale").agg(F.sum(F.col("last") - F.col("first") + 1).alias("_n"))
-    counts = told.join(held, "locale", "full_outer").filter(F.coalesce("n", F.lit(0)) != F.coalesce("_n", F.lit(0))).select("locale", F.lit("count differs").alias("problem"))
-    changed, grouped = verdicts.filter("verdict = 'changed'").select("locale").distinct(), groups.select("locale").distinct()
+    """(locale, problem), a row a violation, none for a valid report: what :func:`strings.run_problems` finds in the runs (locale, seq, first, last) of measured strings,
+    counts ``told`` (locale, n) that are missing or not those of the runs, and ``groups`` (locale) that are not the verdicts' changed locales."""
+    own = run_problems(runs).select("locale", "problem")
+    known = runs.filter("locale is not null and seq is not null and first.value is not null and last.value is not null")
+    held = known.groupBy("locale").agg(F.sum(F.col("last.value") - F.col("first.value") + 1).alias("_n"))
+    named = told.filter("locale is not null")
+    counts = named.join(held, "locale", "full_outer").filter(F.coalesce("n", F.lit(0)) != F.coalesce("_n", F.lit(0))).select("locale", F.lit("count differs").alias("problem"))
+    none = told.filter("locale is null or n is null").select("locale", F.lit("null").alias("problem"))
+    lacks = groups.filter("locale is null").select("locale", F.lit("null").alias("problem")).unionByName(verdicts.filter("locale is null or verdict is null").select("locale", F.lit("null").alias("problem")))
+    changed, grouped = verdicts.filter("verdict = 'changed' and locale is not null").select("locale").distinct(), groups.filter("locale is not null").select("locale").distinct()
     missing = changed.join(grouped, "locale", "left_anti").withColumn("problem", F.lit("changed and in no group"))
     extra = grouped.join(changed, "locale", "left_anti").withColumn("problem", F.lit("in a group and not changed"))
-    twice = groups.groupBy("locale").agg(F.count("*").alias("_n")).filter("_n > 1").select("locale", F.lit("in two groups").alias("problem"))
-    return empty.unionByName(order).unionByName(counts).unionByName(missing).unionByName(extra).unionByName(twice)
+    twice = groups.filter("locale is not null").groupBy("locale").agg(F.count("*").alias("_n")).filter("_n > 1").select("locale", F.lit("in two groups").alias("problem"))
+    return own.unionByName(counts).unionByName(none).unionByName(lacks).unionByName(missing).unionByName(extra).unionByName(twice)
 
 
 def report(verdicts: DataFrame, rules: DataFrame, groups: DataFrame) -> DataFrame:

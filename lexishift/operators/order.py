@@ -1,54 +1,65 @@
-"""Orders compared: ranks, violations, inversions, ties and digests without a single-task sort.
+"""Orders compared: ranks, violations, inversions, ties, digests and page drift without a single-task sort.
 
-A global rank takes bounds from a sample of keys, a window within each bucket, and an offset from the table of bucket
-counts. Buckets follow the number of rows; running maxima and minima work alike.
+A global rank deals rows into ranges of their keys, as a distributed sort does, writes them once, and adds to a window within each range the
+number of rows in earlier ranges. Ranges follow the number of rows; sums over them take two steps, so no task and no broadcast holds them all. Running
+maxima and minima work alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexishift.functions.keys import Profile, key, levels
-from lexishift.sources.corpus import settled
+from lexishift.functions.keys import LEVELS, Profile, key, levels
+from lexishift.sources.shared import settled
 
-#: Rows a bucket holds about in large and in small tables, buckets that a table of middle size has, and sampled keys a bound.
-ROWS, FEW_ROWS, BUCKETS, SAMPLE = 200_000, 2000, 200, 20
+#: Rows a range holds about in large and in small tables, ranges that a table of middle size has, and ranges whose totals are summed together.
+ROWS, FEW_ROWS, BUCKETS, TOGETHER = 200_000, 2000, 200, 1000
+
+
+def parts_of(n: int) -> int:
+    """How many ranges ``n`` rows are dealt into."""
+    return max(1, n // ROWS, min(BUCKETS, n // FEW_ROWS))
 
 
 def bucketed(df: DataFrame, k: str) -> DataFrame:
-    """``df`` with ``_bucket``: which range of column ``k`` a row lies in; null keys are range -1.
+    """``df``, written once, with ``_bucket``: which range of column ``k`` a row lies in; equal keys share a range, null keys are range -1."""
+    parts = parts_of(df.count())
+    held = df.withColumn("_bucket", F.lit(0)) if parts == 1 else df.repartitionByRange(parts, k).withColumn("_bucket", F.spark_partition_id())
+    return settled(held.withColumn("_bucket", F.when(F.col(k).isNull(), -1).otherwise(F.col("_bucket"))))
 
-    A range holds about ``ROWS`` rows of a large table, so the bounds (sampled keys; ranks stay exact) grow with the rows as one in
-    ``ROWS``. Rows find their range by binary search, a batch at a time.
-    """
-    n = df.count()
-    parts = max(1, n // ROWS, min(BUCKETS, n // FEW_ROWS))
-    if parts == 1:
-        return df.withColumn("_bucket", F.when(F.col(k).isNull(), -1).otherwise(0))
-    keys = sorted(r[0] for r in df.select(k).filter(F.col(k).isNotNull()).sample(min(1.0, SAMPLE * parts / n), seed=7).collect())  # SAMPLE keys a range
-    bounds = np.array(sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else [], object if df.schema[k].dataType.simpleString() == "string" else None)
 
-    @F.pandas_udf("int")
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.isna(), -1, np.searchsorted(bounds, x.where(~x.isna(), bounds[0] if len(bounds) else x), "right")))
+#: How the aggregate of earlier ranges is carried on: over rows in order, and between the totals of a group of ranges and what precedes within it.
+CARRY = {
+    "sum": (F.sum, lambda far, near: F.coalesce(far, F.lit(0)) + F.coalesce(near, F.lit(0))),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda far, near: F.coalesce(near, far)),
+    "max": (F.max, lambda far, near: F.greatest(far, near)),
+    "min": (F.min, lambda far, near: F.least(far, near)),
+}
 
-    return df.withColumn("_bucket", place(k))
 
+def before(per: DataFrame, value: str, name: str, how: str, by: str = "_bucket", descending: bool = False) -> DataFrame:
+    """(``by``, ``name``): of each row of ``per`` (one a range, numbered by ``by``) the aggregate of ``value`` over all earlier (or later) ranges.
 
-def _before(per: DataFrame, total: Column, name: str) -> DataFrame:
-    """Per bucket the aggregate of all earlier buckets: a table of a row a bucket."""
-    return per.withColumn(name, total.over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("_bucket", name)
+    Ranges are taken ``TOGETHER`` at a time: windows within these groups, and one over the groups' totals, a row for ``TOGETHER`` times ``ROWS`` rows of the table."""
+    total, both = CARRY[how]
+    way = F.desc if descending else F.asc
+    held = per.select(by, value).withColumn("_g", F.floor(F.col(by) / TOGETHER))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = held.withColumn("_near", total(F.col(value)).over(until(Window.partitionBy("_g").orderBy(way(by)))))
+    whole = held.groupBy("_g").agg((F.max_by(value, F.when(F.col(value).isNotNull(), -F.col(by) if descending else F.col(by))) if how == "last" else total(F.col(value))).alias("_t"))
+    far = whole.select("_g", total(F.col("_t")).over(until(Window.orderBy(way("_g")))).alias("_far"))
+    return inner.join(far, "_g").select(by, both(F.col("_far"), F.col("_near")).alias(name))
 
 
 def rank(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
     """O1: the place, from 1, of every row by ``order`` (a total order: keys end in the string)."""
     cut = bucketed(df.withColumn("_k", order), "_k")
-    sizes = _before(cut.groupBy("_bucket").agg(F.count("*").alias("_n")), F.sum("_n"), "_off")
+    sizes = before(cut.groupBy("_bucket").agg(F.count("*").alias("_n")), "_n", "_off", "sum")
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_k"))
-    return cut.withColumn("_own", own).join(F.broadcast(sizes), "_bucket").withColumn(name, (F.col("_own") + F.coalesce("_off", F.lit(0))).cast("long")).drop("_bucket", "_k", "_own", "_off")
+    return cut.withColumn("_own", own).join(sizes, "_bucket").withColumn(name, (F.col("_own") + F.col("_off")).cast("long")).drop("_bucket", "_k", "_own", "_off")
 
 
 def ranks(df: DataFrame, old: Profile, new: Profile, col: str = "w") -> DataFrame:
@@ -63,11 +74,11 @@ def rank_diff(df: DataFrame, old: Profile, new: Profile) -> DataFrame:
 
 
 def neighbours(df: DataFrame, old: Profile, col: str = "w") -> DataFrame:
-    """(prev, w): each string with the one before it in the old order; a window within buckets, edges carried over."""
+    """(prev, w): each string with the one before it in the old order; a window within ranges, edges carried over."""
     cut = bucketed(df.select(F.col(col).alias("w"), key(F.col(col), old).alias("_k")), "_k")
     inside = cut.withColumn("prev", F.lag("w").over(Window.partitionBy("_bucket").orderBy("_k")))
-    edge = _before(cut.groupBy("_bucket").agg(F.max_by("w", "_k").alias("_last")), F.last("_last", ignorenulls=True), "_edge")
-    return inside.join(F.broadcast(edge), "_bucket").select(F.coalesce("prev", "_edge").alias("prev"), "w").filter("prev is not null")
+    edge = before(cut.groupBy("_bucket").agg(F.max_by("w", "_k").alias("_last")), "_last", "_edge", "last")
+    return inside.join(edge, "_bucket").select(F.coalesce("prev", "_edge").alias("prev"), "w").filter("prev is not null")
 
 
 def order_violations(df: DataFrame, old: Profile, new: Profile) -> DataFrame:
@@ -80,25 +91,22 @@ def inversion_participants(df: DataFrame, old: Profile, new: Profile) -> DataFra
 
     Prefix maxima of the new rank over the old order, and prefix minima over the reversed old order.
     """
-    placed = bucketed(settled(ranks(df, old, new)), "old_rank")
+    placed = bucketed(ranks(df, old, new), "old_rank")
     up = Window.partitionBy("_bucket").orderBy("old_rank").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("_bucket").orderBy(F.desc("old_rank")).rowsBetween(Window.unboundedPreceding, -1)
     pair = F.struct("new_rank", "w")
     per = placed.groupBy("_bucket").agg(F.max(pair).alias("_max"), F.min(pair).alias("_min"))
-    edges = per.select(
-        "_bucket", F.max("_max").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_above"), F.min("_min").over(Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_below")
-    )
-    found = placed.withColumn("_hi", F.max(pair).over(up)).withColumn("_lo", F.min(pair).over(down)).join(F.broadcast(edges), "_bucket")
+    edges = before(per, "_max", "_above", "max").join(before(per, "_min", "_below", "min", descending=True), "_bucket")
+    found = placed.withColumn("_hi", F.max(pair).over(up)).withColumn("_lo", F.min(pair).over(down)).join(edges, "_bucket")
     hi, lo = F.greatest("_hi", "_above"), F.least("_lo", "_below")
     return found.select("w", "old_rank", "new_rank", F.when(hi["new_rank"] > F.col("new_rank"), hi["w"]).when(lo["new_rank"] < F.col("new_rank"), lo["w"]).alias("witness")).filter("witness is not null")
 
 
 def told_apart(pairs: DataFrame, p: Profile) -> DataFrame:
     """The first level at which the two strings of a pair differ."""
-    names = ["letter", "accent", "case"]
     a, b = levels(F.col("prev"), p), levels(F.col("w"), p)
     out = F.lit("bytes only")
-    for name, x, y in reversed(list(zip(names, a, b, strict=False))):
+    for name, x, y in reversed(list(zip(LEVELS, a, b, strict=False))):
         out = F.when(x != y, name).otherwise(out)
     return pairs.withColumn("level", out)
 
@@ -117,7 +125,7 @@ def ties(df: DataFrame, p: Profile, col: str = "w", depth: int = 1) -> DataFrame
 
 def order_digest(df: DataFrame, p: Profile, block: int = 1000) -> DataFrame:
     """One hash of an order: of the hashes of its blocks of ``block`` strings, in as many levels as leave one."""
-    held = rank(df, key(F.col("w"), p)).select((F.col("rank") - 1).alias("at"), "w")
+    held = settled(rank(df, key(F.col("w"), p)).select((F.col("rank") - 1).alias("at"), "w"))
     n = held.count()
     while True:
         rows = F.array_sort(F.collect_list(F.struct("at", "w")))
@@ -128,15 +136,6 @@ def order_digest(df: DataFrame, p: Profile, block: int = 1000) -> DataFrame:
             return held.agg(F.md5(F.array_join(F.transform(last, lambda x: x["w"]), ",")).alias("digest"))
 
 
-def runs(df: DataFrame, col: str = "cp") -> DataFrame:
-    """Consecutive code points as runs (first, last). Rows are numbered within blocks of 4,096, and runs that meet at a block's edge are joined."""
-    blocks = df.select(F.col(col).alias("cp")).distinct().withColumn("b", F.floor(F.col("cp") / 4096))
-    part = blocks.withColumn("g", F.col("cp") - F.row_number().over(Window.partitionBy("b").orderBy("cp"))).groupBy("b", "g").agg(F.min("cp").alias("first"), F.max("cp").alias("last"))
-    edge = F.lag("last").over(Window.orderBy("first"))  # at most one run a gap in 1.1 million code points
-    joined = part.withColumn("fresh", (F.coalesce(edge, F.lit(-2)) + 1 != F.col("first")).cast("int")).withColumn("r", F.sum("fresh").over(Window.orderBy("first")))
-    return joined.groupBy("r").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("r")
-
-
 def named_pairs(df: DataFrame, pairs: DataFrame, old: Profile, new: Profile, col: str = "w") -> DataFrame:
     """O3: (a, b, old, new): does ``a`` sort before ``b`` on either side, for pairs whose strings are both in ``df``."""
     have = df.select(F.col(col).alias("_s")).distinct()
@@ -161,23 +160,84 @@ def chain_union(ab: DataFrame, bc: DataFrame, ac: DataFrame, col: str = "w") ->
     return each.select(col, F.when((F.col("s") == 1) & (F.col("t") == 1), "both").when(F.col("s") == 1, "only steps").otherwise("only whole").alias("status"))
 
 
+FAN = 16  # parts that a range of old places is cut into at each level
+
+
+def _within(strict: bool):
+    """(q, n): for each cursor row (q, part, new) of a group, its rows (q null) of smaller ``part`` (or, where not ``strict``, at most so large) with a larger ``new``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        q = table["q"].to_numpy()
+        asks = ~np.isnan(q) if q.dtype.kind == "f" else np.ones(len(q), bool)
+        part, new = table["part"].to_numpy(), table["new"].to_numpy()
+        rows, cursors = np.flatnonzero(~asks), np.flatnonzero(asks)
+        # sorted by part, cursors after rows where equal parts count; then a merge tree over the new places
+        held = np.concatenate([rows, cursors])
+        late = np.concatenate([np.zeros(len(rows), np.int64), np.ones(len(cursors), np.int64)])
+        order = held[np.lexsort((-late if strict else late, part[held]))]
+        n = _larger_before(new[order], asks[order])
+        return pa.table([pa.array(q[order[asks[order]]].astype(np.int64)), pa.array(n[asks[order]])], names=["q", "n"])
+
+    return run
+
+
+def _larger_before(new: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """At each place of a sequence, how many earlier places that ask nothing hold a larger number: halves of twice the size at each step, each counted by a binary search."""
+    size = len(new)
+    out, step = np.zeros(size, np.int64), 1
+    base = np.int64(int(new.max()) - int(new.min()) + 2) if size else np.int64(1)
+    low = new - new.min() if size else new
+    while step < size:
+        block = np.arange(size) // step
+        left = (block % 2 == 0) & ~asks  # rows of the first half of each pair of blocks
+        pair = block // 2
+        keys = np.sort(pair[left] * base + low[left])
+        right = (block % 2 == 1) & asks
+        ends, starts = np.searchsorted(keys, (pair[right] + 1) * base, "left"), np.searchsorted(keys, pair[right] * base + low[right], "right")
+        out[right] += ends - starts
+        step *= 2
+    return out
+
+
+def dominance_counts(points: DataFrame, cursors: DataFrame, n: int, rows: int | None = None) -> DataFrame:
+    """(q, n): for each of ``cursors`` (q, old, new) the ``points`` (old, new) with old at most its own and new beyond its own. Both columns of ``points`` number ``n`` rows from 1 without gaps.
+
+    Old places are cut into blocks of about ``rows``, blocks into parents of ``FAN`` blocks, these again, up to one. Of all points before a cursor's own, those in its block are counted
+    there. At each level above, those in its parent but in an earlier block lie in the cursor's range of ``rows`` new places, where they are counted, or in a later one, where a count
+    a (parent, block, range) does. So each level moves each point once, and makes no more counts than points.
+    """
+    width = rows or max(FEW_ROWS, n // parts_of(n))
+    place = lambda c, w: F.floor((F.col(c) - 1) / w)
+    none = F.lit(None).cast("long")
+    both = points.select(none.alias("q"), "old", "new").unionByName(cursors.select("q", "old", "new"))
+    own = both.select(place("old", width).alias("g"), "q", F.col("old").alias("part"), "new")
+    found = [own.groupBy("g").applyInArrow(_within(False), "q long, n long")]
+    block = width
+    while block < n:
+        parent, child, band = place("old", block * FAN), F.pmod(place("old", block), F.lit(FAN)), place("new", width)
+        level = both.select(parent.alias("g"), band.alias("band"), "q", child.alias("part"), "new")
+        found.append(level.groupBy("g", "band").applyInArrow(_within(True), "q long, n long"))
+        counts = level.filter("q is null").groupBy("g", "band", "part").agg(F.count("*").alias("m"))
+        earlier = counts.filter(F.col("part") < FAN - 1).select("g", "band", F.explode(F.sequence(F.col("part") + 1, F.lit(FAN - 1).cast("long"))).alias("part"), "m")
+        earlier = earlier.groupBy("g", "part", "band").agg(F.sum("m").alias("m"))
+        asked = level.filter("q is not null").select("g", "part", "band", F.lit(0).cast("long").alias("m"), "q")
+        later = Window.partitionBy("g", "part").orderBy(F.desc("band")).rangeBetween(Window.unboundedPreceding, -1)
+        summed = earlier.select("g", "part", "band", "m", none.alias("q")).unionByName(asked).withColumn("n", F.coalesce(F.sum("m").over(later), F.lit(0)))
+        found.append(summed.filter("q is not null").select("q", "n"))
+        block *= FAN
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("q").agg(F.sum("n").alias("n"))
+
+
 def page_drift(df: DataFrame, size: int, old: Profile, new: Profile) -> DataFrame:
     """(page, w, n_skipped, n_twice) for the cursor at the end of each page of ``size`` rows of the old order: how many rows a client
     that goes on from it in the new order never sees, and how many it sees a second time.
 
-    With ``o`` and ``n`` the cursor's old and new place, rows up to ``o`` that now lie after ``n`` come twice, and ``n - o`` plus their number are
-    skipped. A row can come twice only at the pages from its own to the last whose cursor, or a later one, lies before it; these
-    are found by a running maximum over the new order, so rows meet cursors only over the pages that they have moved.
+    With ``o`` and ``n`` the cursor's old and new place, rows up to ``o`` that now lie after ``n`` come twice (:func:`dominance_counts`), and ``n - o`` plus their number are skipped.
     """
-    placed = settled(ranks(df, old, new).select("w", "old_rank", "new_rank"))
-    cursors = placed.filter(F.col("old_rank") % size == 0).select((F.col("old_rank") / size).cast("long").alias("page"), "w", F.col("old_rank").alias("o"), F.col("new_rank").alias("n")).withColumn("_b", F.floor(F.col("page") / ROWS))
-    later = Window.partitionBy("_b").orderBy(F.desc("page"))
-    beyond = cursors.groupBy("_b").agg(F.min("n").alias("_m")).select("_b", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_beyond"))  # a row for ROWS pages
-    least = cursors.withColumn("_in", F.min("n").over(later.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(beyond), "_b").select("page", F.least("_in", "_beyond").alias("pos"))
-    rows = placed.select(F.col("new_rank").alias("pos"), F.lit(None).cast("long").alias("page"), "old_rank")
-    events = rows.unionByName(least.select("pos", "page", F.lit(None).cast("long").alias("old_rank"))).withColumn("_b", F.floor(F.col("pos") / ROWS))
-    before = events.groupBy("_b").agg(F.max("page").alias("_m")).select("_b", F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for ROWS places
-    run = Window.partitionBy("_b").orderBy("pos", F.col("page").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    reach = events.withColumn("_in", F.max("page").over(run)).join(F.broadcast(before), "_b").filter("old_rank is not null").select("pos", F.ceil(F.col("old_rank") / size).alias("_p"), F.greatest("_in", "_before").alias("_k"))
-    met = reach.filter("_k >= _p").select("pos", F.explode(F.sequence("_p", "_k")).alias("page")).join(cursors.select("page", "n"), "page").filter("n < pos").groupBy("page").agg(F.count("*").alias("n_twice"))
-    return cursors.join(met, "page", "left").select("page", "w", (F.col("n") - F.col("o") + F.coalesce("n_twice", F.lit(0))).alias("n_skipped"), F.coalesce("n_twice", F.lit(0)).alias("n_twice"))
+    placed = settled(ranks(df, old, new).select("w", F.col("old_rank").alias("old"), F.col("new_rank").alias("new")))
+    cursors = placed.filter(F.col("old") % size == 0).select((F.col("old") / size).cast("long").alias("q"), "w", "old", "new")
+    twice = dominance_counts(placed.select("old", "new"), cursors, placed.count())
+    return cursors.join(twice, "q", "left").select(F.col("q").alias("page"), "w", (F.col("new") - F.col("old") + F.coalesce("n", F.lit(0))).alias("n_skipped"), F.coalesce("n", F.lit(0)).alias("n_twice"))

@@ -14,6 +14,7 @@ from lexishift.operators import confirm as V
 from lexishift.operators import ctype as C
 from lexishift.operators import order as O
 from lexishift.operators import rules as L
+from lexishift.operators import strings
 from lexishift.sources import corpus as S
 
 settled = S.settled
@@ -85,7 +86,7 @@ def _key_query(name: str, p):
     Q[name] = (lambda spark, sf: words(spark, sf).select("w", F.md5(key(F.col("w"), p)).alias("k")), f"with words as (select distinct unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents) select w, md5({key_sql('w', p)}) as k from words")
 
 
-for _name, _p in (("f1_key_vw", "vw_old"), ("f1_key_new", "vw_new"), ("f3_contraction_ch", "ch_new"), ("f4_expansion", "ae"), ("f5_ignored", "hyphen")):
+for _name, _p in (("f1_key_vw", "vw_old"), ("f1_key_new", "vw_new"), ("f3_contraction_ch", "ch_new"), ("f4_expansion", "ae"), ("f5_ignored", "hyphen"), ("f1_key_small", "small")):
     _key_query(_name, P[_p])
 
 
@@ -235,8 +236,21 @@ def o5(spark, sf):
 
 
 def _level_sql(p, a: str, b: str) -> str:
-    names = ["letter", "accent", "case"]
-    return "case " + " ".join(f"when {x} <> {y} then '{n}'" for n, x, y in zip(names, levels_sql(a, p), levels_sql(b, p), strict=True)) + " else 'bytes only' end"
+    return "case " + " ".join(f"when {x} <> {y} then '{n}'" for n, x, y in zip(keys.LEVELS, levels_sql(a, p), levels_sql(b, p), strict=False)) + " else 'bytes only' end"
+
+
+SMALL = "ws as (select distinct unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents), ks as (select w, {k} as ks from ws), n as (select lag(w) over (order by ks) as prev, w from ks)"
+
+
+@query("o6_smaller", "with " + SMALL.format(k=key_sql("w", P["small"])) + f" select prev, w, {_level_sql(P['small'], 'prev', 'w')} as level from n where {_level_sql(P['small'], 'prev', 'w')} = 'smaller'")
+def o6_smaller(spark, sf):
+    """Neighbours that only a character which the first three levels ignore tells apart."""
+    return O.told_apart(O.neighbours(settled(words(spark, sf)), P["small"]), P["small"]).filter("level = 'smaller'")
+
+
+@query("o7_smaller_diff", "with " + SMALL.format(k=key_sql("w", P["small"])) + f" select prev, w, {_level_sql(P['small'], 'prev', 'w')} as old_level, {_level_sql(P['same'], 'prev', 'w')} as new_level from n where prev is not null and {_level_sql(P['small'], 'prev', 'w')} <> {_level_sql(P['same'], 'prev', 'w')}")
+def o7_smaller(spark, sf):
+    return O.told_apart_diff(settled(words(spark, sf)), P["small"], P["same"])
 
 
 @query("o6_told_apart", cte(PREV) + f" select {_level_sql(OLD, 'prev', 'w')} as level, count(*) as n from n where prev is not null group by 1")
@@ -271,7 +285,7 @@ def o10(spark, sf):
 
 @query("o11_runs", "with c as (select distinct unicode(unnest(string_split(text, '')))::int as cp from documents), g as (select cp, cp - row_number() over (order by cp) as g from c where cp > 0) select min(cp) as first, max(cp) as last from g group by g")
 def o11(spark, sf):
-    return O.runs(C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp")))
+    return strings.runs(C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp")))
 
 
 @query("b1_partition_counts", cte(STORED) + " select part, count(*) as n from s group by part")

@@ -10,8 +10,8 @@ from lexishift.functions.keys import Profile, key_sql, levels
 from lexishift.operators import ctype as C
 from lexishift.operators import elements as E
 from lexishift.operators import measured as M
-from lexishift.operators import order as O
 from lexishift.operators import rules as L
+from lexishift.operators import strings
 from lexishift.plans.audit import CTYPE, EDGES, NEW, NUMBER, RULES, STATE, ctype, cte, edges, query, rules, words
 from lexishift.sources import corpus as S
 
@@ -205,7 +205,7 @@ def v6(spark, sf):
     "with c as (select distinct unicode(unnest(string_split(text, '')))::int as cp from documents), g as (select cp, cp - row_number() over (order by cp) as g from c where cp > 0), r as (select min(cp) as lo, max(cp) as hi from g group by g), x as (select lo, hi, coalesce(lead(lo) over (order by lo), 1114112) as nx, lag(hi) over (order by lo) is null as fi from r), e as (select lo as cp, 'first' as kind from x union select hi, 'last' from x union select hi + 1, 'gap first' from x where nx > hi + 1 union select nx - 1, 'gap last' from x where nx > hi + 1 union select 1, 'gap first' from x where fi and lo > 1 union select lo - 1, 'gap last' from x where fi and lo > 1 union select unnest([127, 128, 2047, 2048, 65535, 65536]), 'length') select cp::int as cp, kind from e where cp not between 55296 and 57343",
 )
 def o13(spark, sf):
-    runs = O.runs(C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp")).filter("cp > 0"))
+    runs = strings.runs(C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp")).filter("cp > 0"))
     return M.endpoints(runs.select(F.col("first").alias("lo"), F.col("last").alias("hi")))
 
 
@@ -215,18 +215,37 @@ def p3(spark, sf):
     return M.finding_groups(S.table(spark, sf, "documents").select(locale.alias("locale"), F.col("lang").alias("finding")))
 
 
-P4 = "with r as (select 'd' || (doc_id // 50) as locale, doc_id % 50 as seq, doc_id * 10 as first, doc_id * 10 + n_chars % 12 - 1 as last from documents), t as (select 'd' || (doc_id // 50) as locale, sum(n_chars % 12 + case when doc_id % 500 = 7 then 1 else 0 end)::bigint as n from documents group by 1), g as (select 'd' || (doc_id // 50) as locale from documents where doc_id % 50 = 0 union all select 'd' || (doc_id // 50) from documents where doc_id % 350 = 1), v as (select 'd' || (doc_id // 50) as locale, case when max(doc_id) % 3 = 0 then 'same' else 'changed' end as verdict from documents group by 1) "
+BYTES = "b as (select distinct w, encode(w) as e, octet_length(encode(w)) as n from (select unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents) where w <> '')"
+
+
+@query(
+    "o11_byte_runs",
+    "with " + BYTES + ", v as (select n, list_reduce(list_prepend(0::hugeint, [('0x' || substring(hex(e), 2 * i - 1, 2))::hugeint for i in range(1, n + 1)]), lambda x, y: x * 256 + y) as v from b where n <= 15), g as (select n, v, v - row_number() over (partition by n order by v) as g from v) select 'bytes' as kind, n::int as len, min(v)::varchar as first, max(v)::varchar as last from g group by n, g",
+)
+def o11_bytes(spark, sf):
+    """Runs of the words as byte strings."""
+    name = F.concat(F.lit("bytes "), F.rtrim(F.regexp_replace(F.hex(F.encode("w", "utf-8")), "(..)", "$1 ")))
+    found = strings.runs_of(words(spark, sf).select(strings.measured(name).alias("x")), "x")
+    return found.select(F.lit("bytes").alias("kind"), F.col("first.len").alias("len"), F.col("first.value").cast("string").alias("first"), F.col("last.value").cast("string").alias("last"))
+
+
+P4 = "with x as (select doc_id, n_chars, 'd' || (doc_id // 50) as locale, doc_id % 50 as seq, case when doc_id % 50 < 30 then 0 else 1 end as k, case when doc_id % 50 < 30 then 1 when doc_id % 50 < 45 then 2 else 3 end as l, case when doc_id % 50 >= 30 and doc_id % 211 = 0 then 1 else 0 end as m from documents), r as (select locale, case when doc_id % 997 = 3 then null else seq end as seq, k, l, l + m as l2, doc_id * 10 as first, case when doc_id % 331 = 5 then null else doc_id * 10 + n_chars % 12 - 1 end as last from x), ok as (select * from r where seq is not null and last is not null), t as (select locale, sum(coalesce(last - first + 1, 0) + case when first % 5000 = 70 then 1 else 0 end)::bigint as n from ok group by 1), g as (select 'd' || (doc_id // 50) as locale from documents where doc_id % 50 = 0 union all select 'd' || (doc_id // 50) from documents where doc_id % 350 = 1), v as (select 'd' || (doc_id // 50) as locale, case when max(doc_id) % 3 = 0 then 'same' else 'changed' end as verdict from documents group by 1) "
 
 
 @query(
     "p4_validate",
-    P4 + "select locale, 'empty run' as problem from r where last < first union all select r.locale, 'run not after the one before' from r join r p on p.locale = r.locale and p.seq + 1 = r.seq where r.first <= p.last union all select t.locale, 'count differs' from t join (select locale, sum(last - first + 1) as m from r group by 1) h on h.locale = t.locale where t.n <> h.m union all select locale, 'changed and in no group' from v where verdict = 'changed' and locale not in (select locale from g) union all select distinct locale, 'in a group and not changed' from g where locale not in (select locale from v where verdict = 'changed') union all select locale, 'in two groups' from g group by locale having count(*) > 1",
+    P4 + "select locale, 'null' as problem from r where seq is null or last is null union all select locale, 'ends of another kind or length' from ok where l <> l2 union all select locale, 'empty run' from ok where l = l2 and last < first union all select r.locale, 'run not after the one before' from ok r join ok p on p.locale = r.locale and p.seq + 1 = r.seq where (r.k, r.l, r.first) <= (p.k, p.l2, p.last) union all select t.locale, 'count differs' from t join (select locale, sum(last - first + 1) as m from ok group by 1) h on h.locale = t.locale where t.n <> h.m union all select locale, 'changed and in no group' from v where verdict = 'changed' and locale not in (select locale from g) union all select distinct locale, 'in a group and not changed' from g where locale not in (select locale from v where verdict = 'changed') union all select locale, 'in two groups' from g group by locale having count(*) > 1",
 )
 def p4(spark, sf):
     i, c = F.col("doc_id"), F.col("n_chars")
     d = S.table(spark, sf, "documents").withColumn("locale", F.concat(F.lit("d"), F.floor(i / 50).cast("string")))
-    runs = d.select("locale", (i % 50).alias("seq"), (i * 10).alias("first"), (i * 10 + c % 12 - 1).alias("last"))
-    told = d.groupBy("locale").agg(F.sum(c % 12 + F.when(i % 500 == 7, 1).otherwise(0)).alias("n"))
+    size = F.when(i % 50 < 30, 1).when(i % 50 < 45, 2).otherwise(3)
+    text = lambda length, value: F.struct(F.when(i % 50 < 30, 0).otherwise(1).cast("tinyint").alias("kind"), length.cast("int").alias("len"), value.cast("decimal(38,0)").alias("value"))
+    last = F.when(i % 331 != 5, i * 10 + c % 12 - 1)
+    odd = F.when((i % 50 >= 30) & (i % 211 == 0), 1).otherwise(0)
+    runs = d.select("locale", F.when(i % 997 != 3, i % 50).alias("seq"), text(size, i * 10).alias("first"), text(size + odd, last).alias("last"))
+    known = d.filter((i % 997 != 3) & last.isNotNull())
+    told = known.groupBy("locale").agg(F.sum(last - i * 10 + 1 + F.when(i * 10 % 5000 == 70, 1).otherwise(0)).alias("n"))
     groups = d.select(F.explode(F.array_compact(F.array(F.when(i % 50 == 0, F.col("locale")), F.when(i % 350 == 1, F.col("locale"))))).alias("locale"))
     return M.validate(runs, told, groups, d.groupBy("locale").agg(F.when(F.max("doc_id") % 3 == 0, "same").otherwise("changed").alias("verdict")))
 

@@ -228,6 +228,7 @@ def test_common_builds_pair_renamed_entries_and_changed_charmaps(spark):
 
 def test_a_valid_report_has_no_violations(spark):
     runs = spark.createDataFrame([("a", 0, 1, 3), ("a", 1, 5, 5), ("b", 0, 4, 2), ("c", 0, 1, 5), ("c", 1, 5, 6)], "locale string, seq int, first int, last int")
+    runs = runs.select("locale", "seq", *[F.struct(F.lit(0).cast("tinyint").alias("kind"), F.lit(1).alias("len"), F.col(c).cast("decimal(38,0)").alias("value")).alias(c) for c in ("first", "last")])
     told = spark.createDataFrame([("a", 4), ("b", -1), ("c", 9)], "locale string, n int")
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "locale string")
     verdicts = spark.createDataFrame([("a", "changed"), ("b", "same"), ("c", "changed")], "locale string, verdict string")
