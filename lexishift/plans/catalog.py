@@ -18,7 +18,7 @@ from lexishift.sources import corpus as S
 LOW, UP = keys.LOW + "àéèêçäöüóíñ", keys.UP + "ÀÉÈÊÇÄÖÜÓÍÑ"
 
 
-@query("o3_named_pairs", f"with words as (select distinct unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents), p as (select a.w as a, b.w as b from words a join words b on b.w = substring(a.w, 2)) select a, b, {key_sql('a', OLD)} < {key_sql('b', OLD)} as old, {key_sql('a', NEW)} < {key_sql('b', NEW)} as new from p")
+@query("o3_named_pairs", f"with words as materialized (select w, substring(w, 2) as tail from (select distinct unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as w from documents)), p as materialized (select a.w as a, b.w as b from words a join words b on b.w = a.tail) select a, b, {key_sql('a', OLD)} < {key_sql('b', OLD)} as old, {key_sql('a', NEW)} < {key_sql('b', NEW)} as new from p")
 def o3(spark, sf):
     w = settled(words(spark, sf))
     return O.named_pairs(w, w.select(F.col("w").alias("a"), F.expr("substring(w, 2)").alias("b")), OLD, NEW)

@@ -44,22 +44,6 @@ def codepoints(spark: SparkSession) -> DataFrame:
     return spark.range(1, 1114112).filter("id not between 55296 and 57343").select(F.col("id").cast("int").alias("cp"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """name|encoding|locale rows."""
-    return spark.read.schema("name string, encoding string, locale string").csv(path, sep="|", mode="FAILFAST")
-
-
-ANSWER_KINDS = ("header", "test", "collation", "gone", "end")
-
-
-def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(typed records, lines of no known kind). A test line is test|id|collation|sign|..."""
-    lines = spark.read.text(path).withColumn("f", F.split("value", r"\|"))
-    known = F.col("f")[0].isin(*ANSWER_KINDS)
-    typed = lines.filter(known).select(F.col("f")[0].alias("kind"), F.get("f", F.lit(1)).alias("id"), F.get("f", F.lit(2)).alias("collation"), F.get("f", F.lit(3)).alias("sign"), F.element_at("f", -1).alias("last"))
-    return typed, lines.filter(~known).select("value")
-
-
 def read_rows_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab-separated rows; ``#`` lines are comments and the trailer ``# rows N groups M`` must state how many rows and how
     many values of the first column there are (``groups M`` may be missing)."""
@@ -76,12 +60,6 @@ def read_rows_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return body.select(*[F.col("f")[i].alias(c) for i, c in enumerate(columns)])
 
 
-def write_findings(df: DataFrame, path: str) -> None:
-    """Findings by pair, and their counts beside them."""
-    df.write.mode("overwrite").partitionBy("pair").parquet(f"{path}/findings")
-    df.groupBy("pair").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
-
-
 def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """(rows that pass or are not known to fail, rows that fail)."""
     good = F.coalesce(ok, F.lit(True))

@@ -132,17 +132,6 @@ def test_strict_reader_refuses_a_short_file(spark, tmp_path):
             S.read_rows_tsv(spark, str(f), ["x", "y"])
 
 
-def test_readers_and_findings(spark, tmp_path):
-    (tmp_path / "catalog").write_text("sv_SE|UTF8|sv_SE.utf8\nC||C\n")
-    assert [(r.name, r.encoding, r.locale) for r in S.read_catalog(spark, str(tmp_path / "catalog")).collect()] == [("sv_SE", "UTF8", "sv_SE.utf8"), ("C", None, "C")]
-    (tmp_path / "answers").write_text("header|x\ntest|1|sv_FI|>|old\nnoise\nend|1\n")
-    typed, rest = S.read_answers(spark, str(tmp_path / "answers"))
-    assert [r.kind for r in typed.collect()] == ["header", "test", "end"] and [r.value for r in rest.collect()] == ["noise"]
-    found = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "pair string, x int")
-    S.write_findings(found, str(tmp_path / "out"))
-    assert {(r.pair, r.n) for r in spark.read.parquet(str(tmp_path / "out/counts")).collect()} == {("a", 2), ("b", 1)} and spark.read.parquet(str(tmp_path / "out/findings")).count() == 3
-
-
 def test_sources_split_and_names_of_several_characters(spark):
     df = spark.createDataFrame([("W",), ("é漢",)], "s string")
     assert [r.n for r in df.select(string_name(F.col("s")).alias("n")).collect()] == ["U+0057", "bytes C3 A9 E6 BC A2"]
