@@ -33,7 +33,7 @@ from lexishift.llm.storage import delete, materialise, task_fs, workspace
 
 SHARDS, LONGEST, LEAST, TOP, COVERED = 3, 4, 30, 2000, 80
 FEW_BITS, MOST_BITS, BITS_A_KEY, CHUNK = 20, 30, 8, 18  # sizes of the filter, as powers of two but for the third
-GROUP_BYTES, KNOWN = 4 << 20, 1 << 20
+GROUP_BYTES, KNOWN = 2 << 20, 1 << 20
 _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
@@ -48,6 +48,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    """``x`` to the powers from 1 to ``n``; those that groups of texts usually need are kept."""
+    held = _known_powers.get(int(x))
+    if held is None or len(held) < n:
+        held = np.cumprod(np.full(n if n > 2 * GROUP_BYTES else max(n, GROUP_BYTES + GROUP_BYTES // 4), x))
+        if n <= 2 * GROUP_BYTES:
+            _known_powers[int(x)] = held
+    return held[:n]
+
+
 class Tokens:
     """The words of some texts of one language: hashes, places in the lower-cased bytes, and the number of the piece each stands in."""
 
@@ -65,8 +78,7 @@ class Tokens:
         return self._hashed(_BYTE[1], _STEPS[1])
 
     def _hashed(self, table: np.ndarray, steps: tuple[np.uint64, np.uint64]) -> np.ndarray:
-        n = len(self.bytes)
-        power, back = (np.cumprod(np.full(n, x)) for x in steps)
+        power, back = (_powers(x, len(self.bytes)) for x in steps)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[self.bytes] * power)])
         own = np.array([sum(int(table[c]) * pow(int(steps[0]), i + 1, 1 << 64) for i, c in enumerate(self.lang)) + len(self.lang) & (1 << 64) - 1], np.uint64)
         return mixed((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64) + mixed(own)[0])
@@ -203,22 +215,31 @@ class Named:
     """Counts by both hashes of a phrase, and its text where a task first meets it."""
 
     def __init__(self):
-        self.parts, self.size, self.seen, self.texts = [], 0, np.zeros(0, np.uint64), {}
+        self.parts, self.size, self.seen, self.late, self.texts = [], 0, np.zeros(0, np.uint64), [], {}
 
     def add(self, tokens: Tokens, length: int, places: np.ndarray, names: np.ndarray, checks: np.ndarray) -> None:
         if not len(names):
             return
-        _, first, number, n = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-        if (checks != checks[first][number.ravel()]).any():  # two phrases share a name
-            _, first, n = np.unique(np.stack([names, checks], 1), axis=0, return_index=True, return_counts=True)
+        order = np.argsort(names)
+        held, told = names[order], checks[order]
+        same = held[1:] == held[:-1]
+        if (same & (told[1:] != told[:-1])).any():  # two phrases share a name
+            order = np.lexsort((checks, names))
+            held, told = names[order], checks[order]
+            same = (held[1:] == held[:-1]) & (told[1:] == told[:-1])
+        edge = np.flatnonzero(np.concatenate([[True], ~same]))
+        first, n = order[edge], np.diff(np.append(edge, len(order)))
         self.parts.append(np.stack([names[first], checks[first], n.astype(np.uint64)]))
         self.size += len(first)
         ids = self.ids(names[first], checks[first])
         at = np.minimum(np.searchsorted(self.seen, ids), max(0, len(self.seen) - 1))
         fresh = self.seen[at] != ids if len(self.seen) else np.ones(len(ids), bool)
         for k, own in zip(first[fresh].tolist(), ids[fresh].tolist(), strict=True):
-            self.texts[own] = tokens.text(int(places[k]), length)
-        self.seen = np.union1d(self.seen, ids[fresh])
+            if own not in self.texts:
+                self.texts[own] = tokens.text(int(places[k]), length)
+        self.late.append(ids[fresh])
+        if sum(map(len, self.late)) > KNOWN // 16:  # those that are not sorted in yet are told by ``texts``
+            self.seen, self.late = np.unique(np.concatenate([self.seen, *self.late])), []
 
     @staticmethod
     def ids(names: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -238,8 +259,7 @@ class Named:
         names, checks, n = self.parts[0] if self.parts else np.zeros((3, 0), np.uint64)
         texts = [self.texts.get(own) for own in self.ids(names, checks).tolist()]
         self.parts, self.size, self.texts = [], 0, {}
-        if len(self.seen) > 2 * KNOWN:
-            self.seen = np.zeros(0, np.uint64)
+        self.seen, self.late = np.unique(np.concatenate([self.seen, *self.late])) if len(self.seen) < 2 * KNOWN else np.zeros(0, np.uint64), []
         return _rows(lang, length, names, checks, texts, n)
 
 
@@ -337,7 +357,9 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(f"{root}/dealt")
     uri, bits = frequent(docs.sparkSession, f"{root}/dealt", root, shards, longest, least)
-    named = rows.mapInArrow(_named(uri, bits, longest), NAMED).groupBy("lang", "length", "name", "check").agg(F.sum("n").alias("n"), F.max("phrase").alias("phrase"))
+    # what a task names, others name too: this scan takes its input in fewer, larger parts
+    wide = rows.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 4))
+    named = wide.mapInArrow(_named(uri, bits, longest), NAMED).groupBy("lang", "length", "name", "check").agg(F.sum("n").alias("n"), F.max("phrase").alias("phrase"))
     return materialise(named.filter((F.col("n") >= least) | (F.col("length") == 0)).select("lang", "length", "phrase", "n"), f"{root}/phrases")
 
 
