@@ -41,7 +41,7 @@ from lexishift.llm.storage import materialise, workspace
 RATE, FRAME, HOP, BANDS = 4000, 512, 128, 12
 NOTE = 256  # samples a component of a derived recording
 QUERY_EVERY, MAX_ERROR, MIN_OVERLAP = 100, 0.25, 64
-WINDOW, STEP, RUN, TABLES, KEY_BITS, BITS, FIT_SAMPLE, FIT_NOISE = 32, 4, 32, 6, 32, 8, 64, 0.8  # the noise in parts of the sound's own deviation
+WINDOW, STEP, RUN, TABLES, KEY_BITS, BITS, FIT_SAMPLE, FIT_NOISE = 32, 8, 32, 12, 28, 8, 64, 0.8  # the noise in parts of the sound's own deviation
 # Fixed values: (kind, first band, bands, frames) of the sixteen filters; kinds compare halves as _responses says.
 FILTERS = [(0, 0, 4, 8), (0, 4, 4, 8), (0, 8, 4, 8), (0, 0, 12, 8), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (1, 2, 8, 8), (2, 0, 6, 8), (2, 6, 6, 8), (2, 3, 6, 4), (3, 0, 12, 9), (3, 0, 6, 9), (3, 6, 6, 9), (4, 0, 12, 8), (4, 3, 9, 8)]
 WIDEST = max(f[3] for f in FILTERS)
@@ -206,16 +206,18 @@ def keyed(classes: DataFrame, bits: np.ndarray, step: int, name: str, at: str) -
     return classes.select("rep", "print").mapInArrow(run, f"key long, {name} long, {at} int")
 
 
-def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> tuple[DataFrame, DataFrame]:
+def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP, sample: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, matches). Membership: (rec_id, class_id) for every recording, without a class where its fingerprint is empty.
     Matches: (query_id, class_id, match_id, match_members, shift, votes, bit_error) for each query row and matching class.
 
     ``class_id`` and ``match_id`` are the smallest ids of their classes; a query matches its own class with shift 0. Of several
-    offsets that match, that with the least ``bit_error`` is told.
+    offsets that match, that with the least ``bit_error`` is told. Bits are fitted on the first ``FIT_SAMPLE`` rows of ``sample`` (rec_id, audio), which is all of ``media`` where none is given, in the
+    order of their ids, so every run and partitioning takes the same.
     """
     root = workspace(media.sparkSession, "chroma")
     media = media.filter("rec_id is not null")
-    bits = best_bits([r.audio for r in media.filter("audio is not null").limit(FIT_SAMPLE).collect()])  # FIT_SAMPLE recordings
+    first = (media if sample is None else sample).filter("rec_id is not null and audio is not null").orderBy("rec_id", F.xxhash64("audio")).limit(FIT_SAMPLE)
+    bits = best_bits([r.audio for r in first.collect()])  # FIT_SAMPLE recordings
     table = materialise(fingerprints(media), f"{root}/prints")
     classes = table.filter(F.size("print") > 0).groupBy("print_a", "print_b").agg(F.min("rec_id").alias("rep"), F.count("*").alias("members"), F.first("print").alias("print"))
     classes = materialise(classes, f"{root}/classes")
@@ -243,7 +245,9 @@ def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = M
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each recording: its class, how many queries (every row whose id 100 divides) match it, and of these the one that
     fits best, with their alignment; null where none does. The pairs themselves are what :func:`align` returns."""
-    members, matches = align(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    first = table.filter("vec_id is not null and size(embedding) > 0").orderBy("vec_id", F.xxhash64("embedding")).limit(FIT_SAMPLE)
+    members, matches = align(recordings(table), sample=recordings(first))
     best = F.min(F.struct("bit_error", "query_id", "shift", "votes")).alias("top")
     per = matches.groupBy(F.col("match_id").alias("class_id")).agg(F.count("*").alias("n_queries"), best)
     told = members.join(per, "class_id", "left")
