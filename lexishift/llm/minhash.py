@@ -41,6 +41,7 @@ WIDTH, ROWS, ROUNDS = 5, 4, 2
 CONTRACT, GENERAL = 0.85, 0.8  # similarity of op2_minhash, and of near-duplicate stages
 BAND_MISS, SIGNATURE_MISS = 1e-5, 1e-8
 CHUNK = 1 << 15
+MEET = 2048  # rows of one frequent shingle that meet all others of it in a task
 
 
 @dataclass(frozen=True)
@@ -279,13 +280,16 @@ def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root:
     early = held.join(often, "s", "left").withColumn("place", place)
     early = early.filter((F.col("times") > 1) & (plan.denominator * (F.col("n") - F.col("place") + 1) >= plan.numerator * F.col("n"))).select("s", "rep", "comp", "n", "place")
     early = materialise(early, f"{root}/early")
-    met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("s")
-    early = materialise(early.join(met, "s", "left_semi"), f"{root}/met")  # written, so the join below is dealt anew and a frequent shingle's rows split
-    a, b = early.toDF("s", "u", "cu", "nu", "pu"), early.toDF("s", "v", "cv", "nv", "pv")
+    met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / MEET).alias("k")).filter("c0 <> c1").select("s", "k")
+    early = materialise(early.join(met, "s"), f"{root}/met")
+    # a shingle's rows are dealt into k parts of about MEET, and each part meets every row once: no task holds more of one shingle than that against it
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    a = early.select("s", F.pmod(F.xxhash64("rep"), "k").alias("part"), F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
+    b = early.select("s", every.alias("part"), F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"))
     least = plan.numerator * (F.col("nu") + F.col("nv"))
     rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1
     reach = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & ((plan.numerator + plan.denominator) * rest >= least)
-    return a.join(b, (a["s"] == b["s"]) & reach).select("u", "v").distinct()
+    return a.join(b, (a["s"] == b["s"]) & (a["part"] == b["part"]) & reach).select("u", "v").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
