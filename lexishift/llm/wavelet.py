@@ -38,6 +38,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
         planes, zeros, ranks, row = [], [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
             one = (row >> level & 1).astype(bool)
@@ -137,9 +139,15 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
 MANIFEST = "part int, seq int, temporary string, name string, n_docs long, n_tokens long"
 
 
-def write_token_shards(docs: DataFrame, folder: str, path: str, end: int = END, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as shards below ``folder``; the committed manifest."""
+def bits_of(path: str) -> int:
+    """Planes that the ids of a vocabulary file need."""
+    return max(1, (encoder(path, False).library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+
+
+def write_token_shards(docs: DataFrame, folder: str, path: str, end: int = END, bits: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Write ``docs`` (doc_id, text) as shards below ``folder``; the committed manifest. ``bits`` follow from the vocabulary where they are not given; an id that does not fit is an error."""
     spark, run = docs.sparkSession, uuid.uuid4().hex
+    bits = max(bits_of(path), int(end).bit_length()) if bits is None else bits
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path, False), np.array([end], "<u4").tobytes()
@@ -166,7 +174,8 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end: int = END,
             yield flush()
 
     SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("temporary", pa.string()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows that share one id are parted by their texts' hash, so none of them need lie in one task
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), f"{folder}/manifest")
     commit(manifest, folder)
     delete(spark, f"{folder}/_temporary_{run}")
@@ -204,10 +213,46 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     [pa.array(doc_ids, pa.int64()), pa.array(base + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
+    return _placed(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _placed(manifest: DataFrame) -> DataFrame:
+    """(name, base, n_tokens) of each shard: how many ids stand before it."""
     before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("name", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
     width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(width).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("name", F.coalesce(before, F.lit(0)).cast("long").alias("base"), "n_tokens").repartition(width)
+
+
+def search_token_shards(manifest: DataFrame, folder: str, symbols: list[int]) -> DataFrame:
+    """(name, symbol, n, first, last): of each shard that holds one of ``symbols``, how often and at which places of all ids it first and last stands, by rank and select on its file."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = task_fs(folder)
+        for batch in batches:
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(f"{root}/{name}") as f:
+                    matrix, _, _ = read_shard(f.read())
+                rows = [(s, matrix.count(s)) for s in symbols if s >> len(matrix.planes) == 0]
+                rows = [(name, s, n, base + matrix.select(s, 0), base + matrix.select(s, n - 1)) for s, n in rows if n]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(5)], names=["name", "symbol", "n", "first", "last"])
+
+    return _placed(manifest).mapInArrow(read, "name string, symbol long, n long, first long, last long")
+
+
+def token_at(manifest: DataFrame, folder: str, places: list[int]) -> DataFrame:
+    """(place, token) for those of ``places`` (from 0, over all ids) that there are, by access to the one shard that holds each."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = task_fs(folder)
+        for batch in batches:
+            for name, base, n in zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True):
+                own = [p for p in places if base <= p < base + n]
+                if own:
+                    with fs.open_input_stream(f"{root}/{name}") as f:
+                        matrix, _, _ = read_shard(f.read())
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([matrix.access(p - base) for p in own], pa.int64())], names=["place", "token"])
+
+    return _placed(manifest).mapInArrow(read, "place long, token long")
 
 
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
