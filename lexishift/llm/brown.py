@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from lexishift.llm.storage import delete, materialise, task_fs, workspace
 
 BLOCK_BYTES, PART_WORDS, CORE, CLASSES, SWEEPS = 16 << 20, 100_000, 512, 64, 6
+TOGETHER = 256  # blocks (or sums of so many) of a part of the words that a task sums up
 FOLDS, HELD = 7, 2
 PASSES, STILL = 4, 0.01
 SMALL, AT_ONCE = 4, 2048  # counts up to SMALL have their gains in a table; words whose gains are computed together
@@ -280,17 +281,64 @@ def _summed(key, table):
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([distinct[seen].tobytes()]), pa.array([total[seen].tobytes()])], names=["p", "words", "counts"])
 
 
+def _pooled(key, table):
+    """Several rows of neighbour counts of a part's words as one, with counts of 64 bits."""
+    (words, _), (was, _), (sizes, _) = _joined(table, "words", "<u8"), _joined(table, "label", np.uint8), _joined(table, "sizes", "<u4")
+    k, n = _neighbours(table)
+    distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
+    who = np.repeat(which, sizes).astype(np.int64) << 8 | k
+    pair, place = np.unique(who, return_inverse=True)
+    total = np.zeros(len(pair), np.int64)
+    np.add.at(total, place, n)
+    size = np.bincount(pair >> 8, minlength=len(distinct)).astype("<u4")
+    data = {"words": distinct, "label": was[first], "sizes": size, "keys": (pair & 255).astype(np.uint8), "n": total}
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in data.values()]], names=["p", *data])
+
+
+POOLED = "p int, words binary, label binary, sizes binary, keys binary, n binary"
+
+
+def _neighbours(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all rows; counts are of 32 bits as blocks give them, of 64 once summed."""
+    keys, counts = table.column("keys").to_pylist(), table.column("n").to_pylist()
+    n = [np.frombuffer(y, "<u4" if len(y) == 4 * len(x) else "<i8").astype(np.int64) for x, y in zip(keys, counts, strict=True)]
+    return np.frombuffer(b"".join(keys), np.uint8), np.concatenate(n) if n else np.zeros(0, np.int64)
+
+
+def pooled(df: DataFrame, groups: int, together: int, combine, schema: str) -> DataFrame:
+    """Rows (p, g, ...) of the parts' blocks, combined within their groups g, ``together`` groups at a time, until each part has one group: no task takes in more than that many."""
+    while groups > 1:
+
+        def run(key, table):
+            out = combine(key, table)
+            return out.append_column("g", pa.array([key[1].as_py()] * out.num_rows, pa.int64()))
+
+        df = df.groupBy("p", "g").applyInArrow(run, schema + ", g long")
+        groups = -(-groups // together)
+        df = df.withColumn("g", F.pmod("g", F.lit(groups)))
+    return df
+
+
+def _relabelled(key, left, right):
+    """The classes that the words of each block's slice (left) go to, from those of the part (right)."""
+    (words, _), (label, _) = _joined(right, "words", "<u8"), _joined(right, "label", np.uint8)
+    asked, per = _joined(left, "words", "<u8")
+    data, at = label[np.searchsorted(words, asked)].tobytes(), np.concatenate([[0], np.cumsum(per)]).tolist()
+    return pa.table([left.column("p"), left.column("block"), pa.array([data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["p", "block", "label"])
+
+
 LABELS = "p int, block long, label binary, words binary, counts binary, was binary, moved long"
 
 
 def _decided(big: np.ndarray, turn: int):
-    """A part's words, each with its class now, its count and the class it goes to; and every block's slice of new classes."""
+    """A part's words, each with its class now, its count and the class it goes to; and every block's slice of new classes, or where counts come summed over blocks,
+    under block -1 the classes of all its words."""
     classes = len(big)
     keys, gains = 2 * classes + 1, Gains(big)
 
     def run(key, table):
         (words, per), (was, _), (sizes, _) = _joined(table, "words", "<u8"), _joined(table, "label", np.uint8), _joined(table, "sizes", "<u4")
-        (k, _), (n, _) = _joined(table, "keys", np.uint8), _joined(table, "n", "<u4")
+        k, n = _neighbours(table)
         distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
         order = np.argsort(np.repeat(which, sizes), kind="stable")
         who, k, n = np.repeat(which, sizes)[order], k[order], n[order]
@@ -307,14 +355,17 @@ def _decided(big: np.ndarray, turn: int):
         goes = np.ones(len(distinct), bool) if turn == 0 else (distinct & np.uint64(1)) == turn % 2
         label = np.where(goes, best, was).astype(np.uint8)
         data, at = label[which].tobytes(), np.concatenate([[0], np.cumsum(per)]).tolist()
-        blocks = table.column("block").to_pylist()
+        blocks = table.column("block").to_pylist() if "block" in table.column_names else [-1]
+        if blocks == [-1]:
+            data, at = label.tobytes(), [0, len(label)]
+        every_word = [distinct.tobytes()] if blocks == [-1] else [None] * len(blocks)
         moved = int(count[best != was].sum())
         own = [key[0].as_py()] * (len(blocks) + 1)
         seen = count > 0
         return pa.table(
             [
                 pa.array(own, pa.int32()), pa.array([*blocks, None], pa.int64()), pa.array([*[data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], label[seen].tobytes()], pa.binary()),
-                pa.array([None] * len(blocks) + [distinct[seen].tobytes()], pa.binary()), pa.array([None] * len(blocks) + [count[seen].astype("<i8").tobytes()], pa.binary()),
+                pa.array([*every_word, distinct[seen].tobytes()], pa.binary()), pa.array([None] * len(blocks) + [count[seen].astype("<i8").tobytes()], pa.binary()),
                 pa.array([None] * len(blocks) + [was[seen].astype(np.uint8).tobytes()], pa.binary()), pa.array([None] * len(blocks) + [moved], pa.int64()),
             ],
             names=["p", "block", "label", "words", "counts", "was", "moved"],
@@ -347,12 +398,15 @@ def _read(folder: str, block: int) -> bytes:
         return f.read()
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words: int = CORE, classes: int = CLASSES, passes: int = PASSES) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words: int = CORE, classes: int = CLASSES, passes: int = PASSES, together: int = TOGETHER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     root = workspace(spark, "brown")
     table = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(block_bytes), BLOCK), f"{root}/blocks")
-    parts = int((table.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS) + 1
+    n_blocks, n_words = table.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    parts, groups = int(n_words // PART_WORDS) + 1, max(1, -(-n_blocks // together))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("long").alias("g")
+    for_each_group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g")
 
     def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +415,8 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
                 yield _rows(block.as_py(), _slices(w, parts), words=w, counts=_array(counts, "<i8"))
 
     told = table.select("block", "words", "counts").mapInArrow(counted_words, "p int, block long, words binary, counts binary")
-    vocabulary = materialise(told.groupBy("p").applyInArrow(_summed, VOCABULARY), f"{root}/vocabulary")
+    summed = pooled(told.select("p", group, "words", "counts"), groups, together, _summed, VOCABULARY)
+    vocabulary = materialise(summed.groupBy("p").applyInArrow(_summed, VOCABULARY), f"{root}/vocabulary")
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,6 +497,15 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
 
         return lean.mapInArrow(run, "p int, block long, words binary, label binary, sizes binary, keys binary, n binary")
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(*batch.columns, strict=True):
+                w = _array(words, "<u8")
+                yield _rows(block.as_py(), _slices(w, parts), words=w)
+
+    def words_of_blocks() -> DataFrame:
+        return table.select("block", "words").mapInArrow(asked, "p int, block long, words binary")
+
     known, settled, best, turn = None, total == 0, -np.inf, 0
     while not settled:
         big = bigrams(labels_in(folder))
@@ -452,11 +516,17 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
         best = reached
         if turn == passes:
             break
-        decided = materialise(counted(labels_in(folder)).groupBy("p").applyInArrow(_decided(big, turn), LABELS), f"{root}/decided-{turn}")
+        counts = counted(labels_in(folder))
+        if groups > 1:
+            counts = pooled(counts.select("p", group, "words", "label", "sizes", "keys", "n"), groups, together, _pooled, POOLED).drop("g")
+        decided = materialise(counts.groupBy("p").applyInArrow(_decided(big, turn), LABELS), f"{root}/decided-{turn}")
         wish = decided.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
         known = decided.filter("block is null").select("p", "words", "counts", "label")
         folder = f"{root}/labels-{turn}"
         slices = decided.filter("block is not null").select("p", "block", "label")
+        if groups > 1:
+            to = decided.filter("block = -1").select("p", for_each_group, "words", "label")
+            slices = words_of_blocks().select("p", group, "block", "words").groupBy("p", "g").cogroup(to.groupBy("p", "g")).applyInArrow(_relabelled, "p int, block long, label binary")
         slices.groupBy("block").applyInArrow(_writer(folder, ["label"]), "block long").write.format("noop").mode("overwrite").save()
         turn, settled = turn + 1, wish <= STILL * total
 
@@ -484,15 +554,10 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, core_words:
         cut = lambda data, size: pa.array([data[size * x : size * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
         return pa.table([left.column("p"), left.column("block"), cut(kind, 1), cut(count, 8)], names=["p", "block", "label", "counts"])
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words in zip(*batch.columns, strict=True):
-                w = _array(words, "<u8")
-                yield _rows(block.as_py(), _slices(w, parts), words=w)
-
     end_kind, final = _end_class(known), f"{root}/final"
-    slices = table.select("block", "words").mapInArrow(asked, "p int, block long, words binary")
-    met = slices.groupBy("p").cogroup(known.groupBy("p")).applyInArrow(matched, "p int, block long, label binary, counts binary")
+    slices = words_of_blocks().select("p", group, "block", "words")
+    each = known.select("p", for_each_group, "words", "counts", "label")
+    met = slices.groupBy("p", "g").cogroup(each.groupBy("p", "g")).applyInArrow(matched, "p int, block long, label binary, counts binary")
     met.groupBy("block").applyInArrow(_writer(final, ["label", "counts"]), "block long").write.format("noop").mode("overwrite").save()
 
     def last_labels(block: int, words: np.ndarray) -> np.ndarray:
