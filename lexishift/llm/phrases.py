@@ -215,7 +215,8 @@ class Named:
     """Counts by both hashes of a phrase, and its text where a task first meets it."""
 
     def __init__(self):
-        self.parts, self.size, self.seen, self.late, self.texts = [], 0, np.zeros(0, np.uint64), [], {}
+        self.parts, self.size, self.seen, self.late = [], 0, np.zeros(0, np.uint64), []
+        self.told: list[tuple[np.ndarray, pa.Array]] = []
 
     def add(self, tokens: Tokens, length: int, places: np.ndarray, names: np.ndarray, checks: np.ndarray) -> None:
         if not len(names):
@@ -234,11 +235,10 @@ class Named:
         ids = self.ids(names[first], checks[first])
         at = np.minimum(np.searchsorted(self.seen, ids), max(0, len(self.seen) - 1))
         fresh = self.seen[at] != ids if len(self.seen) else np.ones(len(ids), bool)
-        for k, own in zip(first[fresh].tolist(), ids[fresh].tolist(), strict=True):
-            if own not in self.texts:
-                self.texts[own] = tokens.text(int(places[k]), length)
-        self.late.append(ids[fresh])
-        if sum(map(len, self.late)) > KNOWN // 16:  # those that are not sorted in yet are told by ``texts``
+        if fresh.any():
+            self.told.append((ids[fresh], pa.array([tokens.text(int(places[k]), length) for k in first[fresh]], pa.binary())))
+            self.late.append(ids[fresh])
+        if sum(map(len, self.late)) > KNOWN // 16:  # those that are not sorted in yet may be told again
             self.seen, self.late = np.unique(np.concatenate([self.seen, *self.late])), []
 
     @staticmethod
@@ -257,15 +257,20 @@ class Named:
         """What has been counted, folded; counting begins anew, and texts told are not told again."""
         self.fold()
         names, checks, n = self.parts[0] if self.parts else np.zeros((3, 0), np.uint64)
-        texts = [self.texts.get(own) for own in self.ids(names, checks).tolist()]
-        self.parts, self.size, self.texts = [], 0, {}
+        texts = pa.nulls(len(names), pa.binary())
+        if self.told:
+            ids, own = self.ids(names, checks), np.concatenate([x for x, _ in self.told])
+            order = np.argsort(own)
+            at = np.minimum(np.searchsorted(own, ids, sorter=order), len(own) - 1)
+            texts = pa.concat_arrays([x for _, x in self.told]).take(pa.array(order[at], mask=own[order[at]] != ids))
+        self.parts, self.size, self.told = [], 0, []
         self.seen, self.late = np.unique(np.concatenate([self.seen, *self.late])) if len(self.seen) < 2 * KNOWN else np.zeros(0, np.uint64), []
         return _rows(lang, length, names, checks, texts, n)
 
 
 def _rows(lang: str, length: int, names, checks, texts, n) -> pa.RecordBatch:
     size = len(names)
-    columns = [pa.array([lang] * size, pa.string()), pa.array(np.full(size, length, np.int32)), pa.array(names.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))]
+    columns = [pa.array([lang] * size, pa.string()), pa.array(np.full(size, length, np.int32)), pa.array(names.view(np.int64)), pa.array(checks.view(np.int64)), texts.cast(pa.string()), pa.array(n.astype(np.int64))]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "length", "name", "check", "phrase", "n"])
 
 
@@ -279,6 +284,7 @@ def _named(uri: str | None, bits: int, longest: int):
         now, nothing = Filter(uri, bits), Filter(None, bits)
         held: dict[tuple[str, int], Named] = {}
         words: dict[str, int] = {}
+        size, floor = lambda: sum(x.size for x in held.values()), 0
         for batch in batches:
             for lang, texts in languages(batch):
                 tokens = Tokens(texts, lang.encode("utf-8"))
@@ -290,17 +296,19 @@ def _named(uri: str | None, bits: int, longest: int):
                         checks = tokens.longer(checks, tokens.check, reached)
                     good = now.has(names)
                     held.setdefault((lang, length), Named()).add(tokens, length, places[good], names[good], checks[places[good]])
-                if sum(x.size for x in held.values()) > KNOWN:
+                if size() > floor + KNOWN:
                     for x in held.values():
                         x.fold()
-                    if sum(x.size for x in held.values()) > KNOWN // 2:
+                    floor = size()
+                    if floor > KNOWN:
                         for (a, k), x in held.items():
                             yield x.batch(a, k)
+                        floor = 0
         for (lang, length), x in held.items():
             yield x.batch(lang, length)
         for lang, n in words.items():
             zero = np.zeros(1, np.uint64)
-            yield _rows(lang, 0, zero, zero, [b""], np.array([n]))
+            yield _rows(lang, 0, zero, zero, pa.array([b""]), np.array([n]))
 
     return run
 
