@@ -122,6 +122,11 @@ def normalize_codeset(name: Column) -> Column:
     return F.when(bare.rlike("^[0-9]+$"), F.concat(F.lit("iso"), bare)).otherwise(bare)
 
 
+def normal_name(name: Column) -> Column:
+    """A locale name with its codeset as F9 writes it, language and modifier kept; names without a codeset stay."""
+    return F.when(name.rlike("^[^@.]*[.]"), F.concat(F.regexp_extract(name, "^[^@.]*", 0), F.lit("."), normalize_codeset(name), F.regexp_extract(name, "@.*$", 0))).otherwise(name)
+
+
 def is_c_like(locale: Column) -> Column:
     """F16: the locales whose order is that of bytes."""
     return F.when(locale.isin("C", "POSIX") | locale.rlike("^[Cc][.]"), "byte order").otherwise("exposed")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexishift.functions.keys import Profile, sign
+from lexishift.functions.keys import Profile, normal_name, sign
 
 
 def answer_tests(tests: DataFrame, p: Profile) -> DataFrame:
@@ -58,10 +60,14 @@ def verdict_counts(found: DataFrame, column: str, domain: list[str]) -> DataFram
     return want.join(found.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def version_blind_spots(collations: DataFrame) -> DataFrame:
-    """Recorded against actual version: mismatch, equal, both unknown."""
+def version_blind_spots(collations: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Recorded against actual version: mismatch, equal, both unknown. Of ``listed`` names (name) each has a row, ``not there`` where no collation (name, ...) is so called."""
     r, a = F.col("recorded_version"), F.col("actual_version")
-    return collations.withColumn("status", F.when(r.isNull() & a.isNull(), "both unknown").when(r.eqNullSafe(a), "equal").otherwise("mismatch"))
+    status = F.when(r.isNull() & a.isNull(), "both unknown").when(r.eqNullSafe(a), "equal").otherwise("mismatch")
+    if listed is None:
+        return collations.withColumn("status", status)
+    met = listed.select("name").distinct().join(collations.withColumn("status", status), "name", "left")
+    return met.withColumn("status", F.coalesce("status", F.lit("not there")))
 
 
 def database_exposure(databases: DataFrame) -> DataFrame:
@@ -70,9 +76,11 @@ def database_exposure(databases: DataFrame) -> DataFrame:
     return databases.withColumn("verdict", F.when(F.col("provider") != "c", "not libc").when(c.isin("C", "POSIX") | c.rlike("^[Cc][.]"), "byte order").otherwise("exposed"))
 
 
-def gone_names_in_use(uses: DataFrame, names: DataFrame) -> DataFrame:
-    """Names in use that the new side lacks, with how many uses."""
-    return uses.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n")).join(names.select("name").distinct(), "name", "left_anti")
+def gone_names_in_use(uses: list[DataFrame], gone: DataFrame) -> DataFrame:
+    """(kind, obj, value): the databases, collations and settings (each of ``uses``: kind, obj, value) that name a locale of ``gone`` (name), however its codeset is
+    spelt on either side. Each use once; nulls name nothing."""
+    every = reduce(DataFrame.unionByName, uses).filter("value is not null").distinct().withColumn("_n", normal_name(F.col("value")))
+    return every.join(gone.select(normal_name(F.col("name")).alias("_n")).distinct(), "_n", "left_semi").select("kind", "obj", "value")
 
 
 def dedup_warnings(warnings: DataFrame) -> DataFrame:

@@ -21,9 +21,13 @@ def characters(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(F.filter(F.split(F.coalesce(F.col(col), F.lit("")), ""), lambda x: x != ""))).alias("c")).distinct()
 
 
+# The answers that a side gives for a character, and what a change of each is called.
+ANSWERS = {"lower": "other lower case", "upper": "other upper case", "title": "other title case", "classes": None}
+
+
 def ctype_blocks(ctype: DataFrame, width: int = 4096) -> DataFrame:
-    """(side, block, digest, n) of all answers of a block of code points."""
-    answer = F.concat_ws("|", F.col("cp").cast("string"), "lower", "classes")
+    """(side, block, digest, n) of all answers (lower, upper, title, classes; those that the table has) of a block of code points. A null answer is told from an empty one."""
+    answer = F.concat_ws("|", F.col("cp").cast("string"), *[F.coalesce(c, F.lit("\x00")) for c in ANSWERS if c in ctype.columns])
     return ctype.groupBy("side", F.floor(F.col("cp") / width).cast("int").alias("block")).agg(sum_hash(answer).alias("digest"), F.count("*").alias("n"))
 
 
@@ -33,11 +37,16 @@ def changed_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def ctype_detail(ctype: DataFrame, blocks: DataFrame, width: int = 4096) -> DataFrame:
-    """Code points of changed blocks that differ, and how."""
+    """(cp, change): code points of changed blocks that differ, and in what; all that differs is told."""
     inside = ctype.withColumn("block", F.floor(F.col("cp") / width).cast("int")).join(blocks, "block", "left_semi").drop("block")
-    d = both_sides(inside, ["cp"]).filter(~(F.col("old_lower").eqNullSafe(F.col("new_lower")) & F.col("old_classes").eqNullSafe(F.col("new_classes"))))
-    change = F.when(F.col("in_old").isNull(), "newly classified").when(F.col("in_new").isNull(), "gone").when(F.col("old_classes") != F.col("new_classes"), F.concat("old_classes", F.lit(" -> "), "new_classes")).otherwise("other lower case")
-    return d.select("cp", change.alias("change"))
+    d, told = both_sides(inside, ["cp"]), []
+    for name, what in ANSWERS.items():
+        if name in ctype.columns:
+            old, new = F.col(f"old_{name}"), F.col(f"new_{name}")
+            of = F.lit(what) if what else F.concat(F.coalesce(old, F.lit("none")), F.lit(" -> "), F.coalesce(new, F.lit("none")))
+            told.append(F.when(~old.eqNullSafe(new), of))
+    change = F.when(F.col("in_old").isNull(), "newly classified").when(F.col("in_new").isNull(), "gone").otherwise(F.concat_ws("; ", *told))
+    return d.select("cp", change.alias("change")).filter("change <> ''")
 
 
 def text_exposure(df: DataFrame, col: str, by: str, changed: DataFrame) -> DataFrame:

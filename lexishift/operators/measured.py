@@ -120,12 +120,20 @@ def rules_by_measured_name(names: DataFrame, aliases: DataFrame, compared: DataF
     )
 
 
+CASES = ("lower", "upper", "title")
+
+
 def answer_ctype(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """V6: (cp, f, answer, like) of class and case tests (cp, f, o, n) under a side's character rules (cp, lower, classes): ``lower``
-    asks for a string, every other ``f`` for membership in that class."""
-    met = rows.join(side.select("cp", "lower", "classes"), "cp", "left")
+    """V6: (cp, f, answer, like) of class and case tests (cp, f, o, n) under a side's character rules (cp, lower, upper, title, classes): the three cases
+    ask for a string, every other ``f`` for membership in that class. A character that the side lacks is its own case and in no class."""
+    held = [c for c in CASES if c in side.columns]
+    met = rows.join(side.select("cp", *held, "classes"), "cp", "left")
     member = F.when(F.array_contains(F.split(F.coalesce("classes", F.lit("")), ","), F.col("f")), "t").otherwise("f")
-    d = met.withColumn("answer", F.when(F.col("f") == "lower", F.col("lower")).otherwise(member))
+    own = F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "utf-32")
+    answer = F.when(~F.col("f").isin(*CASES), member)
+    for c in held:
+        answer = F.coalesce(answer, F.when(F.col("f") == c, F.coalesce(F.col(c), own)))
+    d = met.withColumn("answer", answer)
     o, n = F.col("answer").eqNullSafe(F.col("o")), F.col("answer").eqNullSafe(F.col("n"))
     return d.select("cp", "f", "answer", F.when(o & n, "both").when(o, "old").when(n, "new").otherwise("neither").alias("like"))
 

@@ -532,15 +532,18 @@ def l20(spark, sf):
     return L.group_alike(L.compare_rules(rules(spark, sf)), ["state"], "locale")
 
 
-CTYPE = f"""with ch as (select distinct unnest(string_split(text, '')) as c from documents), o as (select unicode(c)::int as cp, c, translate(c, '{keys.UP}', '{keys.LOW}') as lower, {CLASS_SQL} as classes from ch where c <> ''),
-n as (select cp, c, case when c = 'É' then 'é' else lower end as lower, case when classes = 'punct,print,graph' and c in ('.', '-') then 'space' else classes end as classes from o),
-df as (select o.cp, o.c, case when o.classes <> n.classes then o.classes || ' -> ' || n.classes else 'other lower case' end as change from o join n on n.cp = o.cp where o.lower <> n.lower or o.classes <> n.classes)
+CTYPE = f"""with ch as (select distinct unnest(string_split(text, '')) as c from documents), o as (select unicode(c)::int as cp, c, translate(c, '{keys.UP}', '{keys.LOW}') as lower, translate(c, '{keys.LOW}', '{keys.UP}') as upper, translate(c, '{keys.LOW}', '{keys.UP}') as title, {CLASS_SQL} as classes from ch where c <> ''),
+n as (select cp, c, case when c = 'É' then 'é' else lower end as lower, case when c in ('é', 'ü') then case c when 'é' then 'É' else 'Ü' end else upper end as upper, case when c = 'ß' then 'Ss' else title end as title, case when classes = 'punct,print,graph' and c in ('.', '-') then 'space' else classes end as classes from o),
+df as (select o.cp, o.c, concat_ws('; ', case when o.lower <> n.lower then 'other lower case' end, case when o.upper <> n.upper then 'other upper case' end, case when o.title <> n.title then 'other title case' end, case when o.classes <> n.classes then o.classes || ' -> ' || n.classes end) as change from o join n on n.cp = o.cp where o.lower <> n.lower or o.upper <> n.upper or o.title <> n.title or o.classes <> n.classes)
 """
 
 
 def ctype(spark, sf):
-    o = C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp"), "c", F.translate("c", keys.UP, keys.LOW).alias("lower"), C.char_class(F.col("c")).alias("classes"))
-    n = o.withColumn("lower", F.when(F.col("c") == "É", "é").otherwise(F.col("lower"))).withColumn("classes", F.when((F.col("classes") == "punct,print,graph") & F.col("c").isin(".", "-"), "space").otherwise(F.col("classes")))
+    c = F.col("c")
+    upper = F.translate("c", keys.LOW, keys.UP)
+    o = C.characters(S.table(spark, sf, "documents"), "text").select(F.ascii("c").alias("cp"), "c", F.translate("c", keys.UP, keys.LOW).alias("lower"), upper.alias("upper"), upper.alias("title"), C.char_class(c).alias("classes"))
+    n = o.withColumn("lower", F.when(c == "É", "é").otherwise(F.col("lower"))).withColumn("upper", F.when(c == "é", "É").when(c == "ü", "Ü").otherwise(F.col("upper"))).withColumn("title", F.when(c == "ß", "Ss").otherwise(F.col("title")))
+    n = n.withColumn("classes", F.when((F.col("classes") == "punct,print,graph") & c.isin(".", "-"), "space").otherwise(F.col("classes")))
     return o.withColumn("side", F.lit("old")).unionByName(n.withColumn("side", F.lit("new")))
 
 
@@ -644,15 +647,28 @@ def x8(spark, sf):
     return V.database_exposure(databases(spark, sf)).select("doc_id", "verdict")
 
 
-@query("x9_version_blind_spots", DBS + "select case when recorded_version is null and actual_version is null then 'both unknown' when recorded_version is not distinct from actual_version then 'equal' else 'mismatch' end as status, count(*) as n from d group by 1")
+@query("x9_version_blind_spots", DBS + ", li as (select distinct lang || '_' || upper(lang) as name from documents union all select * from (values ('C.UTF-8'), ('xx_XX'))) select li.name, case when d.doc_id is null then 'not there' when recorded_version is null and actual_version is null then 'both unknown' when recorded_version is not distinct from actual_version then 'equal' else 'mismatch' end as status, count(*) as n from li left join d on d.datcollate = li.name group by 1, 2")
 def x9(spark, sf):
-    return V.version_blind_spots(databases(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+    listed = S.table(spark, sf, "documents").select(F.concat("lang", F.lit("_"), F.upper("lang")).alias("name")).distinct().unionByName(spark.createDataFrame([("C.UTF-8",), ("xx_XX",)], "name string"))
+    return V.version_blind_spots(databases(spark, sf).withColumnRenamed("datcollate", "name"), listed).groupBy("name", "status").agg(F.count("*").alias("n"))
 
 
-@query("x10_gone_names", DBS + "select datcollate as name, count(*) as n from d where datcollate not in (select lang || '_' || upper(lang) from documents where lang in ('en', 'de')) group by 1")
+NORMAL = "case when regexp_matches({x}, '^[^@.]*[.]') then regexp_extract({x}, '^[^@.]*') || '.' || case when regexp_matches({c}, '^[0-9]+$') then 'iso' || {c} else {c} end || regexp_extract({x}, '@.*$') else {x} end"
+
+
+def _normal_sql(x: str) -> str:
+    return NORMAL.format(x=x, c=f"lower(regexp_replace(regexp_extract({x}, '^[^@.]*[.]([^@]*)', 1), '[^A-Za-z0-9]', '', 'g'))")
+
+
+@query("x10_gone_names", DBS + f", u as (select 'database' as kind, doc_id::varchar as obj, datcollate as value from d union select 'collation', source, lang || '_' || upper(lang) || '.8859-' || (doc_id % 3) || case when doc_id % 2 = 0 then '@euro' else '' end from documents union select 'setting', 'lc_time', lang || '_' || upper(lang) || '.UTF-8' from documents), g as (select * from (values ('fr_FR'), ('es_ES.iso8859_1@euro'), ('de_DE.utf8'), ('C.utf8'), ('nowhere')) t(name)) select distinct kind, obj, value from u where {_normal_sql('value')} in (select {_normal_sql('name')} from g)")
 def x10(spark, sf):
-    have = S.table(spark, sf, "documents").filter("lang in ('en', 'de')").select(F.concat("lang", F.lit("_"), F.upper("lang")).alias("name"))
-    return V.gone_names_in_use(databases(spark, sf).select(F.col("datcollate").alias("name")), have)
+    d, i = S.table(spark, sf, "documents"), F.col("doc_id")
+    locale = F.concat("lang", F.lit("_"), F.upper("lang"))
+    db = databases(spark, sf).select(F.lit("database").alias("kind"), i.cast("string").alias("obj"), F.col("datcollate").alias("value"))
+    co = d.select(F.lit("collation").alias("kind"), F.col("source").alias("obj"), F.concat(locale, F.lit(".8859-"), (i % 3).cast("string"), F.when(i % 2 == 0, "@euro").otherwise("")).alias("value"))
+    se = d.select(F.lit("setting").alias("kind"), F.lit("lc_time").alias("obj"), F.concat(locale, F.lit(".UTF-8")).alias("value"))
+    gone = spark.createDataFrame([("fr_FR",), ("es_ES.iso8859_1@euro",), ("de_DE.utf8",), ("C.utf8",), ("nowhere",)], "name string")
+    return V.gone_names_in_use([db, co, se], gone)
 
 
 @query("x7_best_rank", DBS + ", h as (select datcollate as obj, doc_id % 3 as rank, provider as label from d), m as (select obj, min(rank) as rank from h group by obj) select h.obj, h.rank, string_agg(distinct label, ', ' order by label) as labels from h join m on m.obj = h.obj and m.rank = h.rank group by 1, 2")

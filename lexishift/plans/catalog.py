@@ -142,7 +142,7 @@ def f14(spark, sf):
     return words(spark, sf).select("w", *[keys.case_map(F.col("w"), LOW, UP, to).alias(to) for to in ("lower", "upper", "initcap")])
 
 
-@query("c1_ctype_blocks", CTYPE + ", b as (select 'old' as side, cp, lower, classes from o union all select 'new', cp, lower, classes from n), m as (select side, cp // 4096 as block, md5(cp || '|' || lower || '|' || classes) as h from b) select side, block::int as block, sum(('0x' || substring(h, 1, 16))::ubigint::hugeint)::varchar || ':' || sum(('0x' || substring(h, 17, 16))::ubigint::hugeint)::varchar as digest, count(*) as n from m group by 1, 2")
+@query("c1_ctype_blocks", CTYPE + ", b as (select 'old' as side, cp, lower, upper, title, classes from o union all select 'new', cp, lower, upper, title, classes from n), m as (select side, cp // 4096 as block, md5(concat_ws('|', cp, lower, upper, title, classes)) as h from b) select side, block::int as block, sum(('0x' || substring(h, 1, 16))::ubigint::hugeint)::varchar || ':' || sum(('0x' || substring(h, 17, 16))::ubigint::hugeint)::varchar as digest, count(*) as n from m group by 1, 2")
 def c1(spark, sf):
     return C.ctype_blocks(ctype(spark, sf).drop("c"))
 

@@ -184,17 +184,20 @@ def l18(spark, sf):
     return M.rules_by_measured_name(d.select(name.alias("name")), aliases, compared, charmaps, keys.locale_source, unread, untraced)
 
 
-_MEMBER = "case when list_contains(string_split({c}, ','), f) then 't' else 'f' end"
+_MEMBER = "case when f = 'lower' then {t}.lower when f = 'upper' then {t}.upper when f = 'title' then {t}.title when list_contains(string_split({t}.classes, ','), f) then 't' else 'f' end"
+ASKED = ("lower", "upper", "title", "punct", "space", "alpha")
 
 
 @query(
     "v6_answer_ctype",
-    CTYPE + ", te as (select o.cp, f, case when f = 'lower' then o.lower else " + _MEMBER.format(c="o.classes") + " end as a, case when f = 'lower' then n.lower else " + _MEMBER.format(c="n.classes") + " end as b from o join n on n.cp = o.cp, (select unnest(['lower', 'punct', 'space', 'alpha']) as f)) select cp, f, case when cp % 7 = 0 then a else b end as answer, case when a = b then 'both' when cp % 7 = 0 then 'old' else 'new' end as \"like\" from te",
+    CTYPE + f", te as (select o.cp, f, {_MEMBER.format(t='o')} as a, {_MEMBER.format(t='n')} as b from o join n on n.cp = o.cp, (select unnest([{', '.join(repr(f) for f in ASKED)}]) as f)) select cp, f, case when cp % 7 = 0 then a else b end as answer, case when a = b then 'both' when cp % 7 = 0 then 'old' else 'new' end as \"like\" from te",
 )
 def v6(spark, sf):
     d = ctype(spark, sf).drop("c")
     side = lambda s: d.filter(F.col("side") == s).drop("side")
-    asked = lambda s, name: side(s).select("cp", F.explode(F.array(*map(F.lit, ("lower", "punct", "space", "alpha")))).alias("f"), "lower", "classes").select("cp", "f", F.when(F.col("f") == "lower", F.col("lower")).otherwise(F.when(F.array_contains(F.split("classes", ","), F.col("f")), "t").otherwise("f")).alias(name))
+    member = F.when(F.array_contains(F.split("classes", ","), F.col("f")), "t").otherwise("f")
+    case = F.when(F.col("f") == "lower", F.col("lower")).when(F.col("f") == "upper", F.col("upper")).when(F.col("f") == "title", F.col("title"))
+    asked = lambda s, name: side(s).withColumn("f", F.explode(F.array(*map(F.lit, ASKED)))).select("cp", "f", F.when(F.col("f").isin(*M.CASES), case).otherwise(member).alias(name))
     tests = asked("old", "o").join(asked("new", "n"), ["cp", "f"])
     server = side("new").filter("cp % 7 <> 0").unionByName(side("old").filter("cp % 7 = 0"))
     return M.answer_ctype(tests, server)
