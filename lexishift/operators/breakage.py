@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexishift.functions.keys import Profile, key
 from lexishift.operators.order import rank, ranks
+from lexishift.sources.shared import settled
 
 
 def route(col: Column, bounds: list[tuple[str, str | None, str | None]], p: Profile) -> Column:
@@ -115,7 +116,7 @@ def prefix_sweep(df: DataFrame, stats: DataFrame, block: str, length: int, p: Pr
 
 def histogram(df: DataFrame, p: Profile, n: int) -> DataFrame:
     """N + 1 equi-depth bounds, exact."""
-    placed = rank(df, key(F.col("w"), p))
+    placed = settled(rank(df, key(F.col("w"), p)))
     total = placed.agg(F.max("rank")).first()[0] or 0
     at = sorted({1 + (i * (total - 1)) // n for i in range(n + 1)}) if total else []
     return placed.filter(F.col("rank").isin(at)).select("rank", "w")
@@ -167,7 +168,7 @@ def stale_expression_key(df: DataFrame, stored: str, expression: Column) -> Data
 
 def histogram_check(df: DataFrame, old: Profile, new: Profile, n: int) -> DataFrame:
     """The old bounds (rank, w), whether each sorts before its predecessor now, and rows to the next bound as expected and now (0 at the last)."""
-    placed = ranks(df, old, new)
+    placed = settled(ranks(df, old, new))
     total = placed.agg(F.max("old_rank")).first()[0] or 0
     at = sorted({1 + (i * (total - 1)) // n for i in range(n + 1)}) if total else []
     own = Window.orderBy("old_rank")  # n + 1 rows

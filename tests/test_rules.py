@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexishift.functions.keys import PROFILES as P
 from lexishift.functions.keys import locale_source, sign
 from lexishift.operators import charmaps as C
+from lexishift.operators import confirm as V
+from lexishift.operators import ctype as T
 from lexishift.operators import elements as E
 from lexishift.operators import graphs as G
 from lexishift.operators import measured as M
@@ -228,3 +230,30 @@ def test_a_search_that_comes_back_is_unsettled(spark):
     assert old == {("s", 1): ("built", [65]), ("s", 2): ("unsettled", None), ("s", 3): ("built", [67])}
     new = M.translit_resolve(elements, roots, includes, entries, one("cp int", (65,), (66,), (68,)))
     assert {(r.cp, r.state, str(r.old), str(r.new)) for r in M.translit_diff(got, new).collect()} == {(2, "not compared", "None", "None"), (3, "not compared", "[67]", "None")}
+
+
+def test_answers_of_case_and_class(spark):
+    side = spark.createDataFrame([(65, "a", "A", "A", "alpha,upper"), (223, "ß", "ß", "Ss", "alpha,lower")], "cp int, lower string, upper string, title string, classes string")
+    rows = [(65, "lower", "a", "A"), (65, "upper", "A", "A"), (223, "title", "ß", "Ss"), (223, "lower", "x", "y"), (65, "upper_", "t", "f"), (65, "alpha", "t", "f"), (66, "lower", "b", "B"), (66, "alpha", "t", "f")]
+    got = {(r.cp, r.f): (r.answer, r.like) for r in M.answer_ctype(spark.createDataFrame(rows, "cp int, f string, o string, n string"), side).collect()}
+    assert got == {
+        (65, "lower"): ("a", "old"), (65, "upper"): ("A", "both"), (223, "title"): ("Ss", "new"), (223, "lower"): ("ß", "neither"), (65, "upper_"): ("f", "new"), (65, "alpha"): ("t", "old"), (66, "lower"): ("B", "new"), (66, "alpha"): ("f", "new"),
+    }
+
+
+def test_listed_names_and_uses_of_gone_names(spark):
+    one = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    coll = one("name string, recorded_version string, actual_version string", ("a", "1", "2"), ("b", None, None), ("c", "1", "1"))
+    assert {(r.name, r.status) for r in V.version_blind_spots(coll, one("name string", ("a",), ("b",), ("z",), ("z",))).collect()} == {("a", "mismatch"), ("b", "both unknown"), ("z", "not there")}
+    use = "kind string, obj string, value string"
+    uses = [one(use, ("database", "d", "sv_SE.UTF-8"), ("database", "d", "sv_SE.UTF-8"), ("database", "e", None)), one(use, ("collation", "c", "sv_SE.utf8@euro"), ("collation", "k", "sv_SE"), ("collation", "l", "sv_FI.8859-1"))]
+    got = V.gone_names_in_use(uses, one("name string", ("sv_SE.utf8",), ("sv_FI.iso88591",)))
+    assert {tuple(r) for r in got.collect()} == {("database", "d", "sv_SE.UTF-8"), ("collation", "l", "sv_FI.8859-1")}
+
+
+def test_characters_that_differ_and_in_what(spark):
+    rows = [("old", 1, "a", "A", "A", "x"), ("new", 1, "a", "B", "C", "y"), ("old", 2, None, "A", "A", "x"), ("new", 2, "", "A", "A", "x"), ("old", 3, "a", "A", "A", "x"), ("new", 3, "a", "A", "A", "x"), ("new", 4, "a", "A", "A", "x"), ("old", 5000, "a", "A", "A", "x")]
+    df = spark.createDataFrame(rows, "side string, cp int, lower string, upper string, title string, classes string")
+    blocks = T.changed_blocks(T.ctype_blocks(df))
+    assert {r.block for r in blocks.collect()} == {0, 1}
+    assert {tuple(r) for r in T.ctype_detail(df, blocks).collect()} == {(1, "other upper case; other title case; x -> y"), (2, "other lower case"), (4, "newly classified"), (5000, "gone")}
