@@ -33,7 +33,7 @@ from lexishift.llm.storage import delete, materialise, task_fs, workspace
 
 SHARDS, LONGEST, LEAST, TOP, COVERED = 3, 4, 30, 2000, 80
 FEW_BITS, MOST_BITS, BITS_A_KEY, CHUNK = 20, 30, 8, 18  # sizes of the filter, as powers of two but for the third
-GROUP_BYTES, KNOWN = 2 << 20, 1 << 20
+GROUP_BYTES, KNOWN = 1 << 20, 1 << 20
 _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
@@ -296,7 +296,7 @@ def _named(uri: str | None, bits: int, longest: int):
                         checks = tokens.longer(checks, tokens.check, reached)
                     good = now.has(names)
                     held.setdefault((lang, length), Named()).add(tokens, length, places[good], names[good], checks[places[good]])
-                if size() > floor + KNOWN:
+                if size() > floor + KNOWN // 4:
                     for x in held.values():
                         x.fold()
                     floor = size()
