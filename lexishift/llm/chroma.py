@@ -215,7 +215,7 @@ def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = M
     order of their ids, so every run and partitioning takes the same.
     """
     root = workspace(media.sparkSession, "chroma")
-    media = media.filter("rec_id is not null")
+    media = media.select("rec_id", "audio").filter("rec_id is not null")
     first = (media if sample is None else sample).filter("rec_id is not null and audio is not null").orderBy("rec_id", F.xxhash64("audio")).limit(FIT_SAMPLE)
     bits = best_bits([r.audio for r in first.collect()])  # FIT_SAMPLE recordings
     table = materialise(fingerprints(media), f"{root}/prints")
