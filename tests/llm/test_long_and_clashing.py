@@ -93,7 +93,7 @@ def test_very_long_texts_are_scored_whole(spark):
         words = [*t.split(), None]
         want[i] = (held[i], len(words), sum(w in count for w in words), n, round(sum(float(np.log10((count[w] + 1) / (n + v + 1))) for w in words), 5))
     docs = beside(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    for size in (1 << 24, 100_000):
+    for size in (1 << 24, 4_000):
         got = brown.score_documents(docs, block_bytes=size, classes=8).collect()
         assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got} == want
         assert all(np.isfinite(r.score) and r.score < 0 for r in got)
