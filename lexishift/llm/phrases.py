@@ -11,8 +11,9 @@ it is counted at step t if it passes the filter of step t and not that of ``SHAR
 state in the tasks. A bit set by another phrase lets a phrase be counted in vain; none is missed, and a full filter costs time, not results.
 Counts of phrases in the middle of their cycle are one table, summed by hash; those that reach the threshold or end their cycle leave it.
 
-A last scan counts what has passed the filter by 128 bits of two independent hashes, and takes down its text where a task first meets it, so results do not rest on the 64 bits
-that the filter and the tables of sums go by. Scores are exact: products are taken as decimals.
+A last scan counts what has passed the filter by 128 bits, and takes down its text where a task first meets it, so results do not rest on the 64 bits
+that the filter and the tables of sums go by. Words of up to 16 bytes have 128 bits each of their own, longer ones those of a BLAKE2b digest, so no words that are made
+to share a name do. Scores are exact: products are taken as decimals.
 
 Defined results: a null or empty text has no words; a null ``lang`` is ``und``; repeated rows count again; ties in score go to the more frequent
 phrase, then to the smaller in byte order; an empty table gives an empty result; other columns are ignored; words may have any length.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,7 @@ _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_STEPS = [(np.uint64(x), np.uint64(pow(x, -1, 1 << 64))) for x in (0x9E3779B97F4A7C15 | 3, 0xD1342543DE82EF95 | 3)]
-_BYTE = np.random.Generator(np.random.PCG64(21)).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FILL = np.array([(1 << 64) - (1 << 8 * n) for n in range(9)], np.uint64)  # what a word of n bytes leaves of eight
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,40 +49,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_known_powers: dict[int, np.ndarray] = {}
-
-
-def _powers(x: np.uint64, n: int) -> np.ndarray:
-    """``x`` to the powers from 1 to ``n``; those that groups of texts usually need are kept."""
-    held = _known_powers.get(int(x))
-    if held is None or len(held) < n:
-        held = np.cumprod(np.full(n if n > 2 * GROUP_BYTES else max(n, GROUP_BYTES + GROUP_BYTES // 4), x))
-        if n <= 2 * GROUP_BYTES:
-            _known_powers[int(x)] = held
-    return held[:n]
+def digest(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(blake2b(data, digest_size=size).digest(), "<u8")
 
 
 class Tokens:
     """The words of some texts of one language: hashes, places in the lower-cased bytes, and the number of the piece each stands in."""
 
     def __init__(self, texts: list[bytes], lang: bytes):
-        self.bytes, self.lang = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)], lang
+        self.bytes = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 16, np.uint8)]  # every word has 16 bytes from its start
         kind = _KIND[self.bytes]
         edge = np.flatnonzero(np.diff(kind == 0, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
-        self.word = self._hashed(_BYTE[0], _STEPS[0])
-        self.piece = np.cumsum(kind == 2)[self.start] if len(kind) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(kind == 2)[self.start]
+        low, self.high = self._keys()
+        self.word = mixed(low ^ mixed(self.high + digest(lang, 8)))
 
     @cached_property
     def check(self) -> np.ndarray:
-        """A second hash of each word, independent of the first."""
-        return self._hashed(_BYTE[1], _STEPS[1])
-
-    def _hashed(self, table: np.ndarray, steps: tuple[np.uint64, np.uint64]) -> np.ndarray:
-        power, back = (_powers(x, len(self.bytes)) for x in steps)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[self.bytes] * power)])
-        own = np.array([sum(int(table[c]) * pow(int(steps[0]), i + 1, 1 << 64) for i, c in enumerate(self.lang)) + len(self.lang) & (1 << 64) - 1], np.uint64)
-        return mixed((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64) + mixed(own)[0])
+        """A second name of each word; both names together tell its key, so words with different keys differ in one of them."""
+        return mixed(self.high ^ mixed(self.word + np.uint64(0x9E3779B97F4A7C15)))
+
+    def _keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of each word's key: its own bytes up to 16 of them, filled up with a byte that no text holds; a digest of a longer word."""
+        eight = np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, 0, (1,))
+        size = self.end - self.start
+        low, high = (eight[self.start + at] | _FILL[np.clip(size - at, 0, 8)] for at in (0, 8))
+        for k in np.flatnonzero(size > 16):
+            low[k], high[k] = digest(self.bytes[self.start[k] : self.end[k]], 16)
+        return low, high
 
     def longer(self, hashes: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
         """Names of the phrases of ``length`` words that begin at each place, from those of one word less and the words' own."""

@@ -106,3 +106,28 @@ def test_arithmetic_beyond_64_bits(spark):
     a = 2**62
     row = spark.sql(f"select cast(cast({a}L as decimal(20,0)) * 2000000 div (cast({a}L as decimal(20,0)) + {a}L) as bigint) as s").first()
     assert row.s == 1_000_000
+
+
+def mirrored(rounds):
+    """Two words of 2 ** rounds letters whose sums of letters times powers are equal modulo 2 ** 64, whatever the letters' values and the (odd) base, from 10 rounds on."""
+    x, y = "a", "b"
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_made_to_share_sums_of_powers_are_told_apart(spark):
+    docs = []
+    for rounds in (10, 11):
+        x, y = mirrored(rounds)
+        docs += [("en", f"{x} up")] * 31 + [("en", f"{y} up")] * 37 + [("en", f"see {x}. go")] * 40
+    assert told(phrases.collocations(frame(spark, docs))) == brute(docs)
+
+
+def test_words_of_other_bytes_have_other_names():
+    words = [b"a" * n for n in range(1, 40)] + [b"a" * n + b"\0" for n in range(39)] + ["é漢"[k % 2 :].encode() * (k + 1) for k in range(9)] + [w.encode() for w in mirrored(10)]
+    tokens = phrases.Tokens([b" ".join(words)], b"en")
+    assert len({*zip(tokens.word.tolist(), tokens.check.tolist(), strict=True)}) == len({*words}) == len(tokens.word)
+    again = phrases.Tokens([b"x," + b" ".join(words[::-1])], b"en")
+    assert again.word[1:].tolist() == tokens.word[::-1].tolist() and again.check[1:].tolist() == tokens.check[::-1].tolist()
+    assert not {*phrases.Tokens([b" ".join(words)], b"de").word.tolist()} & {*tokens.word.tolist()}
