@@ -12,7 +12,9 @@ hold are merged into components, and buckets that have become one component are
 ``ROUNDS`` rounds are mostly texts just below the similarity to their bucket's origin. Their shingles are put in
 one order, rarest first: the first shingle that a linked pair shares stands so early in both sets that the rest
 can still reach the similarity. Texts meet only at such a shingle, and only if their components differ. What a
-variant shares with all others comes last, so it meets those that share its own changes, not the group.
+variant shares with all others comes last, so it meets those that share its own changes, not the group. In
+``FEW_ROUNDS`` rounds before, each meets only a few of a shingle: two large parts of one group that the pivots
+have not joined thus become one component by some of their links, before all their pairs would be made.
 
 Components are found by alternating large-star and small-star steps over written tables; nothing is collected.
 
@@ -41,6 +43,7 @@ WIDTH, ROWS, ROUNDS = 5, 4, 2
 CONTRACT, GENERAL = 0.85, 0.8  # similarity of op2_minhash, and of near-duplicate stages
 BAND_MISS, SIGNATURE_MISS = 1e-5, 1e-8
 CHUNK = 1 << 15
+FEW_ROUNDS, FEW = 2, 8  # rounds in which a frequent shingle's rows meet only about so many others, so that groups that hang together become one component first
 MEET = 2048  # rows of one frequent shingle that meet all others of it in a task
 
 
@@ -206,7 +209,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links: DataFrame | None = None
     tested: DataFrame | None = None
     open_ = member.select("k", "h", "rep").join(weight, "rep")
-    for turn in range(ROUNDS + 1):
+    early: DataFrame | None = None
+    last = ROUNDS + FEW_ROUNDS
+    for turn in range(last + 1):
         labelled = open_ if comp is None else open_.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
         labelled = labelled.withColumn("comp", F.col("rep") if comp is None else F.coalesce("comp", "rep"))
         spread = labelled.groupBy("k", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("top")).filter("c0 <> c1")
@@ -221,7 +226,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 pairs = pairs.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc")), "pivot", "left").filter(F.coalesce("pc", "pivot") != F.col("comp"))
             pairs = pairs.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
         else:
-            pairs = _early_pairs(labelled, spread, texts, root, plan)
+            early = _early(labelled, spread, texts, root, plan) if early is None else early
+            pairs = _early_pairs(early, comp, f"{root}/met-{turn}", plan, None if turn == last else turn)
         pairs = materialise(pairs, f"{root}/pairs-{turn}")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -230,7 +236,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         b = seen.select(F.col("rep").alias("v"), F.col("sig").alias("sv"), F.col("n").alias("nv"))
         agreed = pairs.join(a, "u").join(b, "v").withColumn("agree", agreement(F.col("su"), F.col("sv"))).select("u", "v", "nu", "nv", "agree")
         agreed = materialise(agreed, f"{root}/agreed-{turn}")
-        if agreed.isEmpty():  # these pivots' pairs have all been compared; the last turn takes what is still open
+        if agreed.isEmpty():  # this turn's pairs have all been compared; the last turn takes what is still open
             continue
         fits = (plan.denominator * F.least("nu", "nv") >= plan.numerator * F.greatest("nu", "nv")) & (F.col("agree") >= plan.close)
         likely = agreed.filter(fits)
@@ -266,25 +272,32 @@ def _untested_pivot(labelled: DataFrame, spread: DataFrame, tested: DataFrame) -
     return pool.groupBy("k", "h").agg(F.max(rank).alias("top"))
 
 
-def _early_pairs(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root: str, plan: Plan) -> DataFrame:
-    """Pairs (u, v) of different components in open buckets that share a shingle early enough in both sets.
+def _early(labelled: DataFrame, spread: DataFrame, texts: DataFrame, root: str, plan: Plan) -> DataFrame:
+    """(s, rep, n, place): the shingles of open buckets' members that stand early enough in a set, rarest first, to be the first that a linked pair shares."""
+    member = labelled.join(spread.select("k", "h"), ["k", "h"], "left_semi").select("rep").distinct()
+    member = materialise(_sets_of(texts, member), f"{root}/open-sets")
+    held = member.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "s"))
+    early = held.join(often, "s", "left").withColumn("place", place)
+    early = early.filter((F.col("times") > 1) & (plan.denominator * (F.col("n") - F.col("place") + 1) >= plan.numerator * F.col("n"))).select("s", "rep", "n", "place")
+    return materialise(early, f"{root}/early")
+
+
+def _early_pairs(early: DataFrame, comp: DataFrame | None, path: str, plan: Plan, few: int | None) -> DataFrame:
+    """Pairs (u, v) of different components that share a shingle early enough in both sets; with ``few`` (a seed) each row meets about ``FEW`` of a shingle only.
 
     With ``n`` shingles each and the first shared one at places p and q (from 1, rarest first), a pair shares at most
     min(n_u - p + 1, n_v - q + 1) of them, which must reach numerator / (numerator + denominator) of n_u + n_v.
     """
-    member = labelled.join(spread.select("k", "h"), ["k", "h"], "left_semi").select("rep", "comp").distinct()
-    member = materialise(member.join(_sets_of(texts, member), "rep"), f"{root}/open-sets")
-    held = member.select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = held.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "s"))
-    early = held.join(often, "s", "left").withColumn("place", place)
-    early = early.filter((F.col("times") > 1) & (plan.denominator * (F.col("n") - F.col("place") + 1) >= plan.numerator * F.col("n"))).select("s", "rep", "comp", "n", "place")
-    early = materialise(early, f"{root}/early")
-    met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / MEET).alias("k")).filter("c0 <> c1").select("s", "k")
-    early = materialise(early.join(met, "s"), f"{root}/met")
-    # a shingle's rows are dealt into k parts of about MEET, and each part meets every row once: no task holds more of one shingle than that against it
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    a = early.select("s", F.pmod(F.xxhash64("rep"), "k").alias("part"), F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
+    early = early.withColumn("comp", F.col("rep")) if comp is None else early.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    met = early.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / (MEET if few is None else FEW)).alias("k")).filter("c0 <> c1").select("s", "k")
+    early = materialise(early.join(met, "s"), path)
+    # a shingle's rows are dealt into k parts of about MEET, and each part meets every row once: no task holds more of one shingle than that against it.
+    # Of ``few``, parts are of about FEW rows, and meet themselves
+    own = F.pmod(F.xxhash64(F.lit(few or 0), "rep"), "k")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)) if few is None else own
+    a = early.select("s", own.alias("part"), F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
     b = early.select("s", every.alias("part"), F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"))
     least = plan.numerator * (F.col("nu") + F.col("nv"))
     rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1

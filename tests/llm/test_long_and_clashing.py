@@ -97,3 +97,22 @@ def test_very_long_texts_are_scored_whole(spark):
         got = brown.score_documents(docs, block_bytes=size, classes=8).collect()
         assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got} == want
         assert all(np.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_a_group_that_no_pivot_has_joined_is_not_paired_with_itself(spark, monkeypatch):
+    """300 variants of one text, linked with each other, reach the early shingles as 300 components: they become one by some of their 44,850 links."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    made, write = [], minhash.materialise
+
+    def counted(df, path):
+        out = write(df, path)
+        if path.rsplit("/", 1)[-1].startswith("pairs-"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(words[: (at := 5 + i % 190)] + [f"own{i}"] + words[at + 1 :])) for i in range(300)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert len(got) == 300 and {r.component_id for r in got} == {0}
+    assert sum(made) < 300 * 20
