@@ -42,6 +42,8 @@ RATE, FRAME, HOP, BANDS = 4000, 512, 128, 12
 NOTE = 256  # samples a component of a derived recording
 QUERY_EVERY, MAX_ERROR, MIN_OVERLAP = 100, 0.25, 64
 WINDOW, STEP, RUN, TABLES, KEY_BITS, BITS, FIT_SAMPLE, FIT_NOISE = 32, 8, 32, 12, 28, 8, 64, 0.8  # the noise in parts of the sound's own deviation
+# Integers of the fingerprints of a part of the queries and of all others, least number of parts of the latter, and integers compared at once.
+HELD, CELLS, TOGETHER = (1 << 20, 1 << 22), 64, 1 << 20
 # Fixed values: (kind, first band, bands, frames) of the sixteen filters; kinds compare halves as _responses says.
 FILTERS = [(0, 0, 4, 8), (0, 4, 4, 8), (0, 8, 4, 8), (0, 0, 12, 8), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (1, 2, 8, 8), (2, 0, 6, 8), (2, 6, 6, 8), (2, 3, 6, 4), (3, 0, 12, 9), (3, 0, 6, 9), (3, 6, 6, 9), (4, 0, 12, 8), (4, 3, 9, 8)]
 WIDEST = max(f[3] for f in FILTERS)
@@ -206,6 +208,80 @@ def keyed(classes: DataFrame, bits: np.ndarray, step: int, name: str, at: str) -
     return classes.select("rep", "print").mapInArrow(run, f"key long, {name} long, {at} int")
 
 
+def compared(votes: DataFrame, asked: DataFrame, classes: DataFrame, max_error: float, min_overlap: int) -> DataFrame:
+    """(a, b, shift, votes, bit_error) of those ``votes`` (a, b, shift, votes) at which recording a of ``asked`` matches b of ``classes``.
+
+    Chance votes grow with the product of both, so no vote carries a fingerprint: both sides are cut by hashes of their ids into parts of about ``HELD`` integers,
+    the cell of two parts gets both parts' fingerprints first and then its votes, which a task compares as they come.
+    """
+    parts = lambda df, held, least: max(least, (df.agg(F.sum(F.size("print").cast("long"))).first()[0] or 0) // held)
+    n, m = parts(asked, HELD[0], 1), parts(classes, HELD[1], CELLS)
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    none, no_print = F.lit(None), F.lit(None).cast("array<int>")
+    row = lambda df, cell, kind, a, b, shift, count, x: df.select(cell.cast("long").alias("cell"), F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), shift.cast("int").alias("shift"), count.cast("long").alias("votes"), x.alias("print"))
+    xs = asked.select("rep", "print", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other"))
+    ys = classes.select("rep", "print", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    rows = row(xs, part("rep", n) * m + F.col("other"), 0, F.col("rep"), none, none, none, F.col("print"))
+    rows = rows.unionByName(row(ys, F.col("other") * m + part("rep", m), 1, none, F.col("rep"), none, none, F.col("print")))
+    rows = rows.unionByName(row(votes, part("a", n) * m + part("b", m), 2, F.col("a"), F.col("b"), F.col("shift"), F.col("votes"), no_print))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, held = None, ([], []), None
+        for batch in batches:
+            cell, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if now != cell[lo]:
+                    now, sides, held = cell[lo], ([], []), None
+                piece = batch.slice(lo, hi - lo)
+                if kind[lo] < 2:
+                    sides[kind[lo]].append((piece.column("ab"[kind[lo]]).to_numpy(), piece.column("print")))
+                    continue
+                if held is None:
+                    held, sides = [_Prints(x) for x in sides], ([], [])
+                yield from _matching(piece, *held, max_error, min_overlap)
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "a long, b long, shift int, votes long, bit_error double")
+
+
+class _Prints:
+    """Fingerprints by id: ``flat`` holds one after another, each from its place in ``start``."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, pa.Array]]):
+        ids = np.concatenate([i for i, _ in parts])
+        size = np.concatenate([np.diff(x.offsets.to_numpy()) for _, x in parts])
+        self.flat = np.concatenate([x.flatten().to_numpy() for _, x in parts]).view(np.uint32)
+        order = np.argsort(ids)
+        self.ids, self.start, self.size = ids[order], (np.cumsum(size, dtype=np.int64) - size)[order], size[order]
+
+    def at(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.searchsorted(self.ids, ids)
+        return self.start[found], self.size[found]
+
+
+def _matching(part: pa.RecordBatch, x: _Prints, y: _Prints, max_error: float, min_overlap: int) -> Iterator[pa.RecordBatch]:
+    """Those votes of ``part`` at whose offset enough frames lie over each other and differ in few enough bits."""
+    (x0, nx), (y0, ny), shift = x.at(part.column("a").to_numpy()), y.at(part.column("b").to_numpy()), part.column("shift").to_numpy().astype(np.int64)
+    low = np.maximum(0, -shift)
+    overlap = np.minimum(nx, ny - shift) - low
+    asked = np.flatnonzero(overlap >= max(1, min_overlap))
+    ends, at = np.cumsum(overlap[asked]), 0
+    while at < len(asked):
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+        rows, at = asked[at:until], until
+        n = overlap[rows]
+        first = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        turned = np.bitwise_count(x.flat[np.repeat(x0[rows] + low[rows], n) + step] ^ y.flat[np.repeat(y0[rows] + low[rows] + shift[rows], n) + step])
+        error = np.add.reduceat(turned, first, dtype=np.int64) / (32.0 * n)
+        good = error <= max_error
+        if good.any():
+            kept = part.select(["a", "b", "shift", "votes"]).take(pa.array(rows[good]))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(error[good])], names=["a", "b", "shift", "votes", "bit_error"])
+
+
 def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP, sample: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, matches). Membership: (rec_id, class_id) for every recording, without a class where its fingerprint is empty.
     Matches: (query_id, class_id, match_id, match_members, shift, votes, bit_error) for each query row and matching class.
@@ -224,19 +300,14 @@ def align(media: DataFrame, query_every: int = QUERY_EVERY, max_error: float = M
     queries = table.filter(f"rec_id % {query_every} = 0").select("rec_id", "print_a", "print_b").join(classes.select("print_a", "print_b", "rep"), ["print_a", "print_b"]).select(F.col("rec_id").alias("query_id"), "rep")
     queries = materialise(queries, f"{root}/queries")
     asked = materialise(classes.join(queries.select("rep").distinct(), "rep", "left_semi"), f"{root}/asked")
-    met = keyed(asked, bits, 1, "a", "i").join(keyed(classes, bits, STEP, "b", "j"), "key").filter("a <> b")
+    # sizes of files tell nothing about what keys they hold (less than 400 bytes of a recording make 87 KB of a hash table), so Spark must not choose a broadcast by them
+    met = keyed(asked, bits, 1, "a", "i").hint("merge").join(keyed(classes, bits, STEP, "b", "j"), "key").filter("a <> b")
     votes = materialise(met.groupBy("a", "b", (F.col("j") - F.col("i")).alias("shift")).agg(F.count("*").alias("votes")), f"{root}/votes")
-    pa_, pb = asked.select(F.col("rep").alias("a"), F.col("print").alias("x")), classes.select(F.col("rep").alias("b"), F.col("print").alias("y"))
-    low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("x"), F.size("y") - F.col("shift"))
-    both = votes.join(pa_, "a").join(pb, "b").withColumn("overlap", high - low).filter(F.col("overlap") >= min_overlap)
-    differing = F.aggregate(
-        F.zip_with(F.slice("x", low + 1, F.col("overlap")), F.slice("y", low + F.col("shift") + 1, F.col("overlap")), lambda p, q: F.bit_count(p.bitwiseXOR(q).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, v: s + v
-    )
-    scored = both.select("a", "b", "shift", "votes", (differing / (32.0 * F.col("overlap"))).alias("bit_error")).filter(F.col("bit_error") <= max_error)
+    scored = compared(votes, asked, classes, max_error, min_overlap)
     best = scored.groupBy("a", "b").agg(F.min(F.struct("bit_error", F.abs("shift").alias("far"), "shift", "votes")).alias("top"))
     best = best.select("a", "b", "top.shift", "top.votes", "top.bit_error")
     same = asked.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("shift"), F.size("print").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
-    found = best.unionByName(same).join(classes.select(F.col("rep").alias("b"), "members"), "b")
+    found = best.unionByName(same).hint("merge").join(classes.select(F.col("rep").alias("b"), "members"), "b")
     matches = queries.join(found, queries.rep == found.a).select("query_id", F.col("a").alias("class_id"), F.col("b").alias("match_id"), F.col("members").alias("match_members"), "shift", "votes", "bit_error")
     members = table.select("rec_id", "print_a", "print_b").join(classes.select("print_a", "print_b", F.col("rep").alias("class_id")), ["print_a", "print_b"], "left").select("rec_id", "class_id")
     return members, matches

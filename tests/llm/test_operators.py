@@ -9,6 +9,7 @@ from collections import Counter
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexishift.llm import automaton, brown, chroma, linededup, minhash, packing, pii, quality, warc, wavelet
@@ -314,6 +315,47 @@ def test_chroma_query_tells_class_and_best_query_of_each_recording(spark, tmp_pa
     assert got == Counter([*copies, (300, 300, 1, 300, 0), (7, 7, 1, 300, 16), (8, 8, 0, None, None), (9, None, 0, None, None)])
 
 
+def test_chroma_keys_are_not_broadcast_by_the_size_of_a_file(spark, monkeypatch):
+    """A compressed file doesn't tell how many keys are made of it; with 615,384 recordings the driver could not hold them."""
+    plans, write = {}, chroma.materialise
+
+    def told(df, path, *more):
+        plans[path.rpartition("/")[2]] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, path, *more)
+
+    monkeypatch.setattr(chroma, "materialise", told)
+    vectors = np.random.default_rng(8).normal(size=(6, 64))
+    rows = [(100 * i, v.tolist()) for i, v in enumerate(vectors)] + [(7, vectors[0].tolist()), (9, [*vectors[2][:8].tolist(), *vectors[1][:56].tolist()])]
+    matches = chroma.align(chroma.recordings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))[1]
+    assert "SortMergeJoin" in plans["votes"] and "BroadcastHashJoin" not in plans["votes"]
+    assert {(r.query_id, r.match_id, r.shift) for r in matches.filter("match_id <> class_id").collect()} == {(100, 9, 16)}
+
+
+@pytest.mark.parametrize(("held", "cells"), [((1 << 20, 1 << 22), 64), ((300, 500), 3), ((1 << 20, 1 << 22), 1)])
+def test_chroma_votes_are_compared_in_cells(spark, monkeypatch, held, cells):
+    """Fingerprints of any lengths and offsets of both signs, whatever cells they are dealt into, against each vote alone."""
+    monkeypatch.setattr(chroma, "HELD", held)
+    monkeypatch.setattr(chroma, "CELLS", cells)
+    rng = np.random.default_rng(21)
+    prints = {int(i): rng.integers(0, 1 << 32, int(rng.integers(64, 150)), np.uint64).astype(np.uint32) for i in rng.choice(10**12, 40, False) - 5 * 10**11}
+    ids = list(prints)
+    for i in range(0, 30, 3):
+        prints[ids[i + 1]] = np.concatenate([prints[ids[i + 1]][: 7 * i], prints[ids[i]]])  # a later beginning
+    votes = {(ids[i], ids[j], int(s)) for i in range(10) for j in range(40) if i != j for s in rng.integers(-120, 120, 3)} | {(ids[i], ids[i + 1], min(7 * i, len(prints[ids[i + 1]]) - len(prints[ids[i]]))) for i in range(0, 10, 3)}
+    table = lambda some: spark.createDataFrame([(i, prints[i].view(np.int32).tolist()) for i in some], "rep long, print array<int>")
+    want = {}
+    for a, b, s in votes:
+        low, high = max(0, -s), min(len(prints[a]), len(prints[b]) - s)
+        if high - low >= 64 and (error := np.bitwise_count(prints[a][low:high] ^ prints[b][low + s : high + s]).sum() / (32.0 * (high - low))) <= 0.5:
+            want[a, b, s, 1] = error
+    got = chroma.compared(spark.createDataFrame([(*v, 1) for v in sorted(votes)], "a long, b long, shift int, votes long"), table(ids[:10]), table(ids), 0.5, 64).collect()
+    assert len(want) > 100 and 0.0 in want.values() and len(got) == len(want) and {(r.a, r.b, r.shift, r.votes): r.bit_error for r in got} == want
+    monkeypatch.setattr(chroma, "TOGETHER", 100)
+    part = pa.RecordBatch.from_pylist([{"a": a, "b": b, "shift": s, "votes": 1} for a, b, s in sorted(votes)], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shift", pa.int32()), ("votes", pa.int64())]))
+    held = lambda *some: chroma._Prints([(np.array(x), pa.array([prints[i].view(np.int32) for i in x], pa.list_(pa.int32()))) for x in some])
+    assert sum(x.num_rows for x in chroma._matching(part, held(ids[:10]), held(ids[:25], ids[25:]), 0.5, 64)) == len(want)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
